@@ -1,4 +1,6 @@
 """All registered queries of the core and their SQL."""
 
-QUERIES: dict = {}
+from arborlake import nested_queries
+
+QUERIES: dict = {**nested_queries.QUERIES}
 SQL: dict = {}
