@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arborlake.llm.cooccurrence import cooccurrence
 from arborlake.llm.frequency import term_frequencies
+from arborlake.llm.handwritten import source_origin
 from arborlake.llm.percentiles import merge_summaries, percentile_summary, radix_percentiles, summary_percentiles
 from arborlake.llm.setjoin import set_similarity_classes, set_similarity_pairs
 from arborlake.runtime import clean, one_per_key, read
@@ -101,6 +102,23 @@ select language, n, p / 100.0::double as q, min(v) as value from r, (values (25)
 )
 
 
+# 4 ---------------------------------------------------------------------------------------------------------------------------------------
+
+
+def _origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_origin(read(spark, sf_dir, "files").select("repo_id", "relative_path", "name", "ext", "content"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_per_key(_origins(spark, sf_dir).filter("origin <> 'handwritten'").select("repo_id", "relative_path"), ["repo_id", "relative_path"])
+
+
+def p4_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by language and origin."""
+    files = _origins(spark, sf_dir).filter("origin is not null").select("repo_id", "relative_path", "language", "origin")
+    return one_per_key(files, ["repo_id", "relative_path"]).groupBy("language", "origin").agg(F.count("*").alias("files"))
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -168,7 +186,7 @@ _P6_FOUND_SQL = _TERMS_SQL + "select field, term, mark from m where mark is not
 _P6_TERMS_SQL = _TERMS_SQL + "select field, term, occurrences, records, field_records, mark from m"
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_percentiles, p2_span_bounds, p5_found, p5_classes, p6_found, p6_terms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_percentiles, p2_span_bounds, p4_found, p4_origins, p5_found, p5_classes, p6_found, p6_terms)}
 SQL = {
     "p1_found": _P1_FOUND_SQL,
     "p1_pairs": _P1_PAIRS_SQL,
