@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from arborlake.llm.cooccurrence import cooccurrence
 from arborlake.llm.frequency import term_frequencies
 from arborlake.llm.handwritten import source_origin
+from arborlake.llm.mixing import Mix, mix
+from arborlake.llm.packing import divided, fill, pack_texts
 from arborlake.llm.percentiles import merge_summaries, percentile_summary, radix_percentiles, summary_percentiles
 from arborlake.llm.setjoin import set_similarity_classes, set_similarity_pairs
+from arborlake.llm.splitting import split_texts
+from arborlake.llm.tokens import token_counts
 from arborlake.runtime import clean, one_per_key, read
 
 
@@ -186,7 +190,75 @@ _P6_FOUND_SQL = _TERMS_SQL + "select field, term, mark from m where mark is not
 _P6_TERMS_SQL = _TERMS_SQL + "select field, term, occurrences, records, field_records, mark from m"
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_percentiles, p2_span_bounds, p4_found, p4_origins, p5_found, p5_classes, p6_found, p6_terms)}
+# 7 ---------------------------------------------------------------------------------------------------------------------------------------
+
+
+def _limits(spark: SparkSession, sf_dir: str, purpose: str) -> tuple[int, int]:
+    """Limit and overlap of one purpose; the table has a row per purpose."""
+    row = read(spark, sf_dir, "token_limits").filter(F.col("purpose") == purpose).select("limit_tokens", "overlap_tokens").first()
+    return int(row[0]), int(row[1])
+
+
+def _packs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    capacity = _limits(spark, sf_dir, "pack")[0]
+    return pack_texts(read(spark, sf_dir, "documents"), "doc_id", "text", capacity), capacity
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packs, _ = _packs(spark, sf_dir)
+    return divided(packs).select(F.col("id").alias("doc_id"))
+
+
+def p7_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pack of every text; of divided ones, of every part."""
+    packs, _ = _packs(spark, sf_dir)
+    return packs.withColumnRenamed("id", "doc_id")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of packs and the share of their capacity that is used."""
+    return fill(*_packs(spark, sf_dir))
+
+
+# 8 ---------------------------------------------------------------------------------------------------------------------------------------
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> Mix:
+    sizes = token_counts(read(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id"), "source": clean(F.col("source"))}, "text")
+    return mix(sizes, "doc_id", "n_tokens", ["source"], read(spark, sf_dir, "mix_targets"), "target_share", "max_repeats", seed=20)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).report.filter("short").select("source")
+
+
+def p8_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used."""
+    return _mix(spark, sf_dir).items.select(F.col("id").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "uses")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of the sources."""
+    return _mix(spark, sf_dir).report
+
+
+# 9 ---------------------------------------------------------------------------------------------------------------------------------------
+
+
+def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    limit, overlap = _limits(spark, sf_dir, "split")
+    return split_texts(read(spark, sf_dir, "documents").filter("doc_id is not null"), {"doc_id": F.col("doc_id")}, "text", limit, overlap, with_text=with_text)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir, False).filter("forced").select("doc_id").distinct()
+
+
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir, True)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_percentiles, p2_span_bounds, p4_found, p4_origins, p5_found, p5_classes, p6_found, p6_terms, p7_found, p7_packs, p7_fill, p8_found, p8_uses, p8_shares, p9_found, p9_pieces)}
 SQL = {
     "p1_found": _P1_FOUND_SQL,
     "p1_pairs": _P1_PAIRS_SQL,
