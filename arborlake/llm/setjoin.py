@@ -33,8 +33,8 @@ SPLITS = 3
 #: Length classes grow by this ratio; a class of short sets is a single length.
 CLASS_RATIO = 1.08
 
-_SIGNATURES = "signature bigint, probe boolean, deleted boolean, sid bigint, size int, bits bigint"
-_SCHEMA = pa.schema([("signature", pa.int64()), ("probe", pa.bool_()), ("deleted", pa.bool_()), ("sid", pa.int64()), ("size", pa.int32()), ("bits", pa.int64())])
+_SIGNATURES = "signature bigint, deleted boolean, sid bigint, size int, bits bigint"
+_SCHEMA = pa.schema([("signature", pa.int64()), ("deleted", pa.bool_()), ("sid", pa.int64()), ("size", pa.int32()), ("bits", pa.int64())])
 
 
 def max_difference(larger: int, smaller: int, threshold: Fraction) -> int:
@@ -75,16 +75,19 @@ def _split(tokens: list[int], top: int, count: int, split: int) -> list[list[int
     return out
 
 
-def signatures_of(tokens: list[int], threshold: Fraction) -> Iterator[tuple[int, bool, bool]]:
-    """(signature, probe, deleted) of a set given as sorted 64-bit token hashes."""
-    own = length_class(len(tokens))
+def probes_of(tokens: list[int], threshold: Fraction) -> Iterator[tuple[int, bool]]:
+    """(signature, deleted) of a set of sorted 64-bit token hashes as the larger partner: those of its most even split."""
+    top = length_class(len(tokens))
+    count = segments(top, threshold)
+    split = max(range(SPLITS), key=lambda s: min(map(len, _split(tokens, top, count, s))))
+    return _segment_signatures(_split(tokens, top, count, split), top, split)
+
+
+def entries_of(tokens: list[int], threshold: Fraction) -> Iterator[tuple[int, bool]]:
+    """(signature, deleted) of a set as the smaller partner: all splits of all classes that a larger partner may be in."""
     for top, count in classes_of_partners(len(tokens), threshold):
-        parts = [_split(tokens, top, count, s) for s in range(SPLITS)]
-        if top == own:
-            best = max(range(SPLITS), key=lambda s: min(map(len, parts[s])))
-            yield from ((h, True, d) for h, d in _segment_signatures(parts[best], top, best))
-        for s in range(SPLITS):
-            yield from ((h, False, d) for h, d in _segment_signatures(parts[s], top, s))
+        for split in range(SPLITS):
+            yield from _segment_signatures(_split(tokens, top, count, split), top, split)
 
 
 def _segment_signatures(parts: list[list[int]], top: int, split: int) -> Iterator[tuple[int, bool]]:
@@ -94,7 +97,7 @@ def _segment_signatures(parts: list[list[int]], top: int, split: int) -> Iterato
             yield _hash(part[:k] + part[k + 1 :], top, split, i), True
 
 
-def _signatures(threshold: Fraction):
+def _signatures(make, threshold: Fraction):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
@@ -104,7 +107,7 @@ def _signatures(threshold: Fraction):
                 for h in hashes:
                     bits |= 1 << (h >> 58)
                 bits -= (bits >> 63) << 64
-                rows += [(*x, sid, len(hashes), bits) for x in dict.fromkeys(signatures_of(hashes, threshold))]
+                rows += [(*x, sid, len(hashes), bits) for x in dict.fromkeys(make(hashes, threshold))]
                 if len(rows) > 50_000:
                     yield _batch(rows)
                     rows = []
@@ -144,15 +147,17 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     exact = Fraction(str(threshold))
     if not 0 < exact <= 1:
         raise ValueError("the threshold lies above 0 and at most at 1")
-    made = classes.select("sid", "tokens").mapInArrow(_signatures(exact), _SIGNATURES)
-    probe = made.filter("probe").select("signature", F.col("deleted").alias("deleted_b"), F.col("sid").alias("sid_b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
-    index = made.filter("not probe").select("signature", F.col("deleted").alias("deleted_a"), F.col("sid").alias("sid_a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"))
+    sets = classes.select("sid", "tokens")
+    made = {
+        side: sets.mapInArrow(_signatures(make, exact), _SIGNATURES).select("signature", *(F.col(c).alias(f"{c}_{side}") for c in ("deleted", "sid", "size", "bits")))
+        for side, make in (("a", entries_of), ("b", probes_of))
+    }
     order = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("sid_a") < F.col("sid_b")))
     p, q = exact.numerator, exact.denominator
     # bits in which the two bitmaps differ never outnumber the values in which the sets differ
     near = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) * (q + p) <= (q - p) * (F.col("size_a") + F.col("size_b"))
     once = ~(F.col("deleted_a") & F.col("deleted_b"))
-    candidates = index.join(probe, "signature").filter(order & near & once).select("sid_a", "sid_b").distinct()
+    candidates = made["a"].join(made["b"], "signature").filter(order & near & once).select("sid_a", "sid_b").distinct()
     left = classes.select(F.col("sid").alias("sid_a"), F.col("tokens").alias("tokens_a"))
     right = classes.select(F.col("sid").alias("sid_b"), F.col("tokens").alias("tokens_b"))
     both = candidates.join(left, "sid_a").join(right, "sid_b")
