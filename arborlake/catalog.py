@@ -1,6 +1,6 @@
 """All registered queries of the core and their SQL."""
 
-from arborlake import nested_queries
+from arborlake import nested_queries, oracle, queries
 
-QUERIES: dict = {**nested_queries.QUERIES}
-SQL: dict = {}
+QUERIES: dict = {**queries.QUERIES, **nested_queries.QUERIES}
+SQL: dict = oracle.build()

@@ -38,3 +38,8 @@ def drop_lines(content: Column, keep: Callable[[Column], Column]) -> Column:
 def json_value(content: Column) -> Column:
     """The JSON text as VARIANT, read once more without trailing commas if it can't be read; null for anything else."""
     return F.coalesce(F.try_parse_json(content), F.try_parse_json(F.regexp_replace(content, r",(\s*[}\]])", "$1")))
+
+
+def json_source(content: Column) -> Column:
+    """The text that ``json_value`` read."""
+    return F.when(F.try_parse_json(content).isNotNull(), content).otherwise(F.regexp_replace(content, r",(\s*[}\]])", "$1"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.functions import ancestors, dirname, drop_lines, json_value, line_count, lines_of, readable, trim
+from arborlake.functions import ancestors, dirname, drop_lines, json_source, json_value, line_count, lines_of, readable, trim
 from arborlake.operators.rulejoin import by_extension, by_name, by_token, containing, first_wins, stage, under_folder
 from arborlake.plans import rules as R
 
@@ -22,6 +22,23 @@ def primary(files: DataFrame) -> DataFrame:
     return files.filter(~F.col("is_secondary"))
 
 
+#: Files whose text any rule reads; the texts of all others are only counted.
+READ_NAMES = tuple(
+    dict.fromkeys(
+        [n for n, _ in R.SINGLE_VERSION_FILES] + [n for n, _, _ in R.MANIFESTS] + [*R.COMPONENT_MANIFESTS, "requirements.txt", "build.sbt", ".tool-versions", "mise.toml", ".mise.toml"]
+        + ["settings.gradle", "settings.gradle.kts", "go.work", "pnpm-workspace.yaml", ".scanignore"]
+    )
+)
+READ_EXTENSIONS = (".csproj", ".sln")
+
+
+def compact(files: DataFrame) -> DataFrame:
+    """Files with ``lines`` and the ``content`` of those alone whose text is read: one pass over the texts for all detectors."""
+    wanted = F.col("name").isin(*READ_NAMES) | F.col("ext").isin(*READ_EXTENSIONS)
+    counted = F.when(F.col("ext").isin(*(e for e, _ in R.EXT_TO_LANGUAGE)), line_count(F.col("content")))
+    return files.select("repo_id", "relative_path", "name", "ext", "segments", "is_secondary", counted.alias("lines"), F.when(wanted, F.col("content")).alias("content"))
+
+
 def named(files: DataFrame, *names: str) -> DataFrame:
     """Primary files of these names with their readable ``text``."""
     rows = primary(files).filter(F.col("name").isin(*names)).withColumn("text", readable(F.col("content")))
@@ -29,13 +46,14 @@ def named(files: DataFrame, *names: str) -> DataFrame:
 
 
 def as_json(files: DataFrame, *names: str) -> DataFrame:
-    """Primary files of these names with their parsed ``json``; no size limit holds for these."""
-    return primary(files).filter(F.col("name").isin(*names)).withColumn("json", json_value(F.col("content"))).filter(F.col("json").isNotNull())
+    """Primary files of these names with their parsed ``json`` and its ``json_text``; no size limit holds for these."""
+    rows = primary(files).filter(F.col("name").isin(*names)).withColumn("json", json_value(F.col("content")))
+    return rows.filter(F.col("json").isNotNull()).withColumn("json_text", json_source(F.col("content")))
 
 
-def keys_of(json: Column, member: str) -> Column:
-    """Member names of an object within a JSON value, in their order; empty if it is none."""
-    return F.coalesce(F.json_object_keys(F.to_json(F.try_variant_get(json, f"$.{member}", "variant"))), F.array().cast("array<string>"))
+def keys_of(json_text: Column, member: str) -> Column:
+    """Member names of an object within a JSON text, in their order; empty if it is none."""
+    return F.coalesce(F.json_object_keys(F.get_json_object(json_text, f"$.{member}")), F.array().cast("array<string>"))
 
 
 def text_of(json: Column, path: str) -> Column:
@@ -52,7 +70,7 @@ def framework_config(files: DataFrame) -> DataFrame:
 
 
 def framework_npm(files: DataFrame) -> DataFrame:
-    hits = by_token(as_json(files, "package.json"), keys_of(F.col("json"), "dependencies"), R.NPM_FRAMEWORKS)
+    hits = by_token(as_json(files, "package.json"), keys_of(F.col("json_text"), "dependencies"), R.NPM_FRAMEWORKS)
     return stage(hits, 2, 0.95, F.concat(F.lit("npm dependency: "), "token", F.lit(" in "), PATH), PATH, 0, F.col("pos"))
 
 
@@ -99,7 +117,7 @@ def framework_jvm(files: DataFrame) -> DataFrame:
 
 
 def framework_php(files: DataFrame) -> DataFrame:
-    hits = by_token(as_json(files, "composer.json"), keys_of(F.col("json"), "require"), R.PHP_FRAMEWORKS)
+    hits = by_token(as_json(files, "composer.json"), keys_of(F.col("json_text"), "require"), R.PHP_FRAMEWORKS)
     return stage(hits, 10, 0.95, F.concat(F.lit("Composer dep: "), "token", F.lit(" in "), PATH), PATH, 0, F.col("pos"))
 
 
@@ -288,7 +306,8 @@ def runtime_findings(files: DataFrame) -> DataFrame:
 def file_languages(files: DataFrame) -> DataFrame:
     """``repo_id, relative_path, language, lines`` of every file with a known extension, tests and examples included."""
     hits = by_extension(files, R.EXT_TO_LANGUAGE)
-    return hits.select("repo_id", "relative_path", F.col("value").alias("language"), line_count(F.col("content")).alias("lines"))
+    lines = F.col("lines") if "lines" in files.columns else line_count(F.col("content"))
+    return hits.select("repo_id", "relative_path", F.col("value").alias("language"), lines.alias("lines"))
 
 
 def share_of_files(files: Column, total: Column) -> Column:

@@ -10,6 +10,7 @@ from arborlake.operators.components import discovered
 from arborlake.operators.rulejoin import by_extension, by_name
 from arborlake.plans import rules as R
 from arborlake.plans.detectors import primary, text_of
+from arborlake.runtime import cut
 
 _HINT = ("repo_id", "stage", "rule", "sub", "path", "name", "description", "manifest_path", "manifest_name")
 _NO_TEXT = "cast(null as string)"
@@ -125,7 +126,8 @@ def uv_members(raw: DataFrame) -> DataFrame:
 
 def component_hints(files: DataFrame, raw: DataFrame) -> DataFrame:
     """Hints of all stages, a path's later hints dropped as the stages do: ``repo_id, ord, path, name, description, manifest_path, manifest_name, kind``."""
-    found = discovered(files)
+    # a row per component, read by five stages
+    found = cut(discovered(files))
     umbrella = root_texts(raw, "mix.exs").filter(F.col("text").contains("apps_path")).select("repo_id", F.lit("apps").alias("parent"))
     pubspecs = primary(files).filter((F.col("name") == "pubspec.yaml") & (F.size("segments") > 1)).join(having(files, "melos.yaml"), "repo_id", "left_semi")
     pubspecs = pubspecs.withColumns({"folder": dirname(F.col("relative_path")), "json": json_value(F.col("content"))})
