@@ -24,13 +24,13 @@ DIGIT_BITS = 16
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def double_code(values: pd.Series) -> pd.Series:
     bits = (values.to_numpy(np.float64) + 0.0).view(np.int64)  # + 0.0: -0.0 becomes 0.0
     return pd.Series(bits ^ ((bits >> 63) & 0x7FFFFFFFFFFFFFFF))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def double_value(codes: pd.Series) -> pd.Series:
     bits = codes.to_numpy(np.int64)
     return pd.Series((bits ^ ((bits >> 63) & 0x7FFFFFFFFFFFFFFF)).view(np.float64))

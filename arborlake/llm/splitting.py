@@ -187,12 +187,13 @@ def split_text(text: str | None, limit: int, overlap: int, counts: Counter) -> l
     ranks = [r for _, _, r in opened]
     chunks = tree_chunks([n for _, n, _ in opened], ranks, room)
     at = [0, *accumulate(len(t) for t, _, _ in opened)]
+    broken = INSIDE in ranks
     pieces = []
     last_from = 0
     for k, (lo, hi) in enumerate(chunks):
         own = sum(n for _, n, _ in opened[lo:hi])
         chars = shared = 0
-        n, torn = own, k > 0 and ranks[lo] == INSIDE
+        n, torn = own, broken and INSIDE in ranks[lo:hi]
         if k and overlap:
             chars, shared, within = _overlap(opened, lo, last_from, overlap, limit - own, counts)
             n, torn = own + shared, torn or within
