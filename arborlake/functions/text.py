@@ -35,11 +35,21 @@ def drop_lines(content: Column, keep: Callable[[Column], Column]) -> Column:
     return F.array_join(F.filter(lines_of(content), keep), "\n")
 
 
+def _strict_json(content: Column) -> Column:
+    """The text as VARIANT if it is one JSON value and nothing else; the parser alone would pass over what follows a value."""
+    listed = F.try_parse_json(F.concat(F.lit("["), content, F.lit("]")))
+    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
+def _without_trailing_commas(content: Column) -> Column:
+    return F.regexp_replace(content, r",(\s*[}\]])", "$1")
+
+
 def json_value(content: Column) -> Column:
     """The JSON text as VARIANT, read once more without trailing commas if it can't be read; null for anything else."""
-    return F.coalesce(F.try_parse_json(content), F.try_parse_json(F.regexp_replace(content, r",(\s*[}\]])", "$1")))
+    return F.coalesce(_strict_json(content), _strict_json(_without_trailing_commas(content)))
 
 
 def json_source(content: Column) -> Column:
     """The text that ``json_value`` read."""
-    return F.when(F.try_parse_json(content).isNotNull(), content).otherwise(F.regexp_replace(content, r",(\s*[}\]])", "$1"))
+    return F.when(_strict_json(content).isNotNull(), content).otherwise(_without_trailing_commas(content))

@@ -104,7 +104,7 @@ def scan_results(raw: DataFrame, detectors: Iterable[str] | None = None) -> Data
     chosen = selection(detectors)
     raw = cut(D.compact(raw))
     files = cut(indexed_files(raw)) if chosen else raw
-    found = cut(D.frameworks(files)) if "framework" in chosen else None
+    frameworks = cut(D.frameworks(files)) if "framework" in chosen else None
     out = raw.select("repo_id").distinct()
     stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     columns: list[Column] = [F.col("repo_id"), stamp.alias("scannedAt")]
@@ -112,7 +112,7 @@ def scan_results(raw: DataFrame, detectors: Iterable[str] | None = None) -> Data
     lists = [c for d, c in (("language", "languages"), *_LISTS) if d in chosen]
     if lists:  # findings are few; the texts were read above
         # a pivot over fixed categories: one pass, one row per repository
-        wide = cut(inventory_values(files, chosen, found)).groupBy("repo_id").agg(*(F.array_sort(F.collect_set(F.when(F.col("category") == c, F.col("value")))).alias(c) for c in lists))
+        wide = cut(inventory_values(files, chosen, frameworks)).groupBy("repo_id").agg(*(F.array_sort(F.collect_set(F.when(F.col("category") == c, F.col("value")))).alias(c) for c in lists))
         out = out.join(wide, "repo_id", "left")
         inventory += [F.coalesce(c, _empty("array<string>")).alias(c) for c in lists]
     if "runtime" in chosen:
@@ -124,7 +124,7 @@ def scan_results(raw: DataFrame, detectors: Iterable[str] | None = None) -> Data
     if inventory:
         columns.append(F.struct(*inventory).alias("inventory"))
     if "monorepo" in chosen:
-        rows = component_rows(files, raw, chosen, found)
+        rows = component_rows(files, raw, chosen, frameworks)
         order = F.struct(F.col("component.kind").alias("a"), F.collate("component.name", "UNICODE").alias("b"), F.col("component.path").alias("c"), "component")
         packed = rows.groupBy("repo_id").agg(F.array_sort(F.collect_list(order)).alias("c"))
         packed = packed.select("repo_id", F.transform("c", lambda x: x["component"]).alias("components"))
