@@ -113,9 +113,13 @@ def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checkouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored files, one row per repository and path, with a derived extension where it is missing."""
-    files = one_per_key(read(spark, sf_dir, "files").select("repo_id", "relative_path", "name", "ext", "content"), ["repo_id", "relative_path"])
-    return files.withColumns({"ext": F.lower(F.coalesce("ext", extension(F.col("name")))), "is_secondary": is_secondary(F.col("relative_path"))})
+    """The stored files, one row per repository and path, with a derived extension where it is missing.
+
+    Lines are counted before copies are removed, so only manifests' texts are ever shuffled.
+    """
+    files = read(spark, sf_dir, "files").select("repo_id", "relative_path", "name", F.lower(F.coalesce("ext", extension(F.col("name")))).alias("ext"), "segments", "content")
+    files = files.withColumn("is_secondary", is_secondary(F.col("relative_path")))
+    return one_per_key(D.compact(files), ["repo_id", "relative_path"])
 
 
 @_query
