@@ -128,7 +128,7 @@ def layout_statistics(df: DataFrame, content: str = "content") -> DataFrame:
 
 
 def source_origin(df: DataFrame, path: str = "relative_path", name: str = "name", ext: str = "ext", content: str = "content") -> DataFrame:
-    """``df`` with ``language``, the layout statistics and ``origin`` of each file.
+    """``df`` with ``language``, the layout statistics and ``origin`` of each file; columns of these names are replaced.
 
     ``origin`` is null for files that are no source (language null as well),
     'handwritten', or the first that holds of 'vendored', 'generated',
@@ -162,6 +162,8 @@ def source_origin(df: DataFrame, path: str = "relative_path", name: str = "name"
     return measured.withColumn("origin", origin)
 
 
-def handwritten_source(df: DataFrame, **columns: str) -> DataFrame:
-    """The rows of ``df`` that are hand-written source, with their own columns only."""
-    return source_origin(df, **columns).filter("origin = 'handwritten'").select(*df.columns)
+def handwritten_source(df: DataFrame, path: str = "relative_path", name: str = "name", ext: str = "ext", content: str = "content") -> DataFrame:
+    """The rows of ``df`` that are hand-written source, with their own columns only, whatever these are called."""
+    names = {"_path": path, "_name": name, "_ext": ext, "_content": content}
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *(F.col(c).alias(k) for k, c in names.items()))
+    return source_origin(rows, *names).filter("origin = 'handwritten'").select("_row.*")

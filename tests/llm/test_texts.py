@@ -52,6 +52,8 @@ def test_origin_of_files(spark):
     assert {FILES[i][0]: o for i, o in got.items()} == {p: o for p, _, _, o in FILES}
     kept = handwritten_source(df.unionByName(df))
     assert kept.columns == df.columns and kept.count() == 2 * sum(o == "handwritten" for *_, o in FILES)
+    mine = handwritten_source(df.withColumn("language", F.lit("mine")).withColumn("chars", F.lit("own")))
+    assert {(r.language, r.chars) for r in mine.collect()} == {("mine", "own")}
     assert source_origin(df.limit(0)).count() == 0
     assert source_origin(spark.createDataFrame([(None,) * 5], df.schema)).collect()[0].origin is None
 
