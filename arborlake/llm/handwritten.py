@@ -37,7 +37,7 @@ _GENERATED_NAME = (
 _MINIFIED_NAME = r"(?i)[.\-_]min\.[a-z]+$|[.-](?:bundle|chunk|packed|prod)\.(?:js|mjs|cjs)$|^(?:bundle|chunk)[.-][0-9a-f]{6,}\.|^[\w-]+[.-](?=[0-9a-f]*\d)[0-9a-f]{8,20}\.(?:chunk\.)?(?:js|mjs|cjs)$"
 
 # What may stand before a notice on its line: comment signs and blanks alone, so that a string that holds such words is no notice.
-_LEAD = r"(?im)^[ \t]*(?:[/*#;%<!'\-]|--|\{-|REM\b)+[ \t]*"
+_LEAD = r"(?im)^[ \t]*+(?:[/*#;%<!'{\-]++|REM\b)[ \t]*+"
 _GENERATED_NOTICE = _LEAD + (
     r"(?:"
     r"@generated\b"
@@ -45,7 +45,7 @@ _GENERATED_NOTICE = _LEAD + (
     r"|(?:this|the) (?:file|code|class|source|module)(?: here)? (?:is|was|has been) (?:an? |the )?(?:auto[- ]?)?(?:automatically |machine )?(?:generated|produced|created|written) (?:file|by|from|automatically)"
     r"|this (?:file|code) (?:is|was) auto"
     r"|this is an? (?:auto[- ]?)?(?:automatically )?generated file"
-    r"|(?:code |file |automatically |auto[- ]?|machine[- ])+generated\b(?! (?:client|code|file|parser|bundle)s? (?:lives?|is|are|elsewhere))(?=[^\n]*(?:\bby\b|\bfrom\b|\bfile\b|\bon\b|edit|modify|;|\.|$))"
+    r"|(?:code |file |automatically |auto[- ]?|machine[- ]){1,4}generated\b(?! (?:client|code|file|parser|bundle)s? (?:lives?|is|are|elsewhere))(?=[^\n]*(?:\bby\b|\bfrom\b|\bfile\b|\bon\b|edit|modify|;|\.|$))"
     r"|generated (?:\w+ )?(?:from|by|with|using|automatically|on)\b"
     r"|machine[- ](?:written|made) by\b"
     r"|do not (?:edit|modify|change)(?: (?:this|the) file| by hand| manually)?[ \t]*(?:[.!;:,*-]|$)"
@@ -69,9 +69,11 @@ _VENDOR_NOTICE = _LEAD + (
 )
 _MINIFIED_NOTICE = r"(?m)^[ \t]*//[#@] sourceMappingURL="
 
-_STRINGS = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`]*`"""
+# Java's matcher recurses into repeated groups: what may be long is matched by possessive character classes only. An escaped quote ends a
+# string here, which misjudges the rest of its line at most.
+_STRINGS = r""""[^"\n]*+"|'[^'\n]*+'|`[^`]*+`"""
 _NUMBERS = r"(?<![\w.])-?(?:0[xX][0-9A-Fa-f]+|\d+(?:\.\d+)?)(?![\w])"
-_ENCODED = r"[A-Za-z0-9+/=_\-]{40,}|(?:\\x[0-9A-Fa-f]{2}){10,}"
+_ENCODED = r"[A-Za-z0-9+/=_\-]{40,}+|[\\x0-9A-Fa-f]{40,}+"
 
 #: Layout thresholds: (line length, mean line length, white space at most) that make a text minified; (numeric literals per 100 characters,
 #: share of letters outside literals at most, share of encoded runs) that make it data.

@@ -58,6 +58,12 @@ def test_origin_of_files(spark):
     assert source_origin(spark.createDataFrame([(None,) * 5], df.schema)).collect()[0].origin is None
 
 
+def test_long_lines_of_all_kinds(spark):
+    long = ["/" * 300_000, "-" * 300_000 + "x", "# " + "code " * 50_000, '"' + "a" * 500_000 + '"', '"' + '\\"' * 200_000, "\\x41" * 200_000, "`" + "\n" * 300_000, "1 " * 300_000, " " * 300_000 + "x", "'" * 300_001]
+    df = spark.createDataFrame([(f"a{i}.js", f"a{i}.js", ".js", t) for i, t in enumerate(long)], "relative_path string, name string, ext string, content string")
+    assert source_origin(df).filter("origin is not null").count() == len(long)
+
+
 # 7
 
 
