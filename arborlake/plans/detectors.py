@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from arborlake.functions import ancestors, dirname, drop_lines, json_source, json_value, line_count, lines_of, readable, trim
 from arborlake.operators.rulejoin import by_extension, by_name, by_token, containing, first_wins, stage, under_folder
 from arborlake.plans import rules as R
+from arborlake.runtime import cut
 
 PATH = "relative_path"
 
@@ -130,7 +131,15 @@ FRAMEWORK_STAGES = (
 )
 
 
+def _once(files: DataFrame, names: tuple[str, ...], exts: tuple[str, ...] = ()) -> DataFrame:
+    """The files that a detector's stages look at, read once and kept: stages then scan manifests, not the whole tree."""
+    rows = primary(files).filter(F.col("name").isin(*names) | F.col("ext").isin(*exts)) if exts else primary(files).filter(F.col("name").isin(*names))
+    return cut(rows.select("repo_id", "relative_path", "name", "ext", "is_secondary", "content"))
+
+
 def frameworks(files: DataFrame) -> DataFrame:
+    names = (*(n for n, _ in R.CONFIG_FRAMEWORKS), *READ_NAMES)
+    files = _once(files, names, READ_EXTENSIONS)
     return first_wins([s(files) for s in FRAMEWORK_STAGES], "framework")
 
 
@@ -179,6 +188,8 @@ def pm_pip(files: DataFrame) -> DataFrame:
 
 
 def package_managers(files: DataFrame) -> DataFrame:
+    names = (*(n for n, _ in R.LOCKFILES), *(n for n, _, _ in R.MANIFESTS), "package.json", "requirements.txt")
+    files = _once(files, names, tuple(e for e, _ in R.MANIFEST_EXTENSIONS))
     return first_wins([s(files) for s in (pm_lockfile, pm_manifest, pm_extension, pm_field, pm_pip)], "packageManager")
 
 
@@ -278,6 +289,7 @@ RUNTIME_STAGES = (runtime_single, runtime_go, runtime_gemfile, runtime_engines,
 
 def runtime_facts(files: DataFrame) -> DataFrame:
     """One row per repository, language, version and file: the first source."""
+    files = _once(files, READ_NAMES)
     union = RUNTIME_STAGES[0](files)
     for s in RUNTIME_STAGES[1:]:
         union = union.unionByName(s(files))
