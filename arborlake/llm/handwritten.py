@@ -76,17 +76,17 @@ _NUMBERS = r"(?<![\w.])-?(?:0[xX][0-9A-Fa-f]+|\d+(?:\.\d+)?)(?![\w])"
 _ENCODED = r"[A-Za-z0-9+/=_\-]{40,}+|[\\x0-9A-Fa-f]{40,}+"
 
 #: Layout thresholds: (line length, mean line length, white space at most) that make a text minified; (numeric literals per 100 characters,
-#: share of letters outside literals at most, share of encoded runs) that make it data.
-DEFAULT_LIMITS = (500, 160.0, 0.15, 5.0, 0.10, 0.25)
+#: share of letters outside literals at most, share of encoded runs, alphanumeric share) that make it data.
+DEFAULT_LIMITS = (500, 160.0, 0.15, 5.0, 0.10, 0.25, 0.85)
 LIMITS = {
     # scripts for browsers are what minifiers write, often wrapped at some hundred columns
-    "JavaScript": (300, 110.0, 0.15, 5.0, 0.10, 0.25),
-    "TypeScript": (400, 130.0, 0.15, 5.0, 0.10, 0.25),
+    "JavaScript": (300, 110.0, 0.15, 5.0, 0.10, 0.25, 0.85),
+    "TypeScript": (400, 130.0, 0.15, 5.0, 0.10, 0.25, 0.85),
     # white space is syntax here, so single-line code keeps more of it
-    "Python": (500, 160.0, 0.20, 5.0, 0.10, 0.25),
+    "Python": (500, 160.0, 0.20, 5.0, 0.10, 0.25, 0.85),
     # quoting words is common in shell and R scripts
-    "Shell": (500, 200.0, 0.15, 6.0, 0.06, 0.30),
-    "R": (500, 200.0, 0.15, 6.0, 0.08, 0.30),
+    "Shell": (500, 200.0, 0.15, 6.0, 0.06, 0.30, 0.88),
+    "R": (500, 200.0, 0.15, 6.0, 0.08, 0.30, 0.88),
 }
 #: Texts with fewer characters than this have no layout to speak of.
 LEAST_CHARS = 200
@@ -144,15 +144,16 @@ def source_origin(df: DataFrame, path: str = "relative_path", name: str = "name"
     pairs = [F.lit(x) for item in LANGUAGE_OF_EXTENSION.items() for x in item]
     language = F.create_map(*pairs)[suffix]
     measured = layout_statistics(df, content).withColumn("language", language)
-    kinds = [F.create_map(*[F.lit(x) for k, v in LIMITS.items() for x in (k, float(v[i]))])[F.col("language")] for i in range(6)]
-    longest, mean, white, numbers, letters, encoded = (F.coalesce(k, F.lit(float(d))) for k, d in zip(kinds, DEFAULT_LIMITS))
+    kinds = [F.create_map(*[F.lit(x) for k, v in LIMITS.items() for x in (k, float(v[i]))])[F.col("language")] for i in range(7)]
+    longest, mean, white, numbers, letters, encoded, alnum = (F.coalesce(k, F.lit(float(d))) for k, d in zip(kinds, DEFAULT_LIMITS))
     folders = F.lower(F.coalesce(F.col(path), F.lit("")))
     in_folder = lambda names: folders.rlike(r"(?:^|/)(?:" + "|".join(n.replace("-", r"\-") for n in names) + r")/(?=.)")
     text = F.coalesce(F.col(content), F.lit(""))
     named = lambda pattern: F.coalesce(file_name.rlike(pattern), F.lit(False))
     enough = F.col("chars") >= LEAST_CHARS
     packed = enough & (F.col("max_line") >= longest) & (F.col("mean_line") >= mean) & (F.col("white_share") <= white)
-    data = enough & (F.col("letter_share") <= 2 * letters) & ((F.col("number_density") >= numbers) | (F.col("encoded_share") >= encoded) | (F.col("letter_share") <= letters))
+    signs = (F.col("letter_share") <= letters) | (F.col("number_density") >= numbers) | (F.col("encoded_share") >= encoded) | (F.col("alnum_share") >= alnum)
+    data = enough & (F.col("letter_share") <= 2 * letters) & signs
     origin = (
         F.when(F.col("language").isNull(), F.lit(None).cast("string"))
         .when(in_folder(VENDOR_FOLDERS) | named(_VENDOR_NAME) | text.rlike(_VENDOR_NOTICE), "vendored")
