@@ -8,7 +8,7 @@ texts are read for manifests only.
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlake.functions import ancestors, dirname, drop_lines, json_source, json_value, line_count, lines_of, readable, trim
@@ -329,9 +329,9 @@ def share_of_files(files: Column, total: Column) -> Column:
 
 def with_shares(counted: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Add ``total_files``, ``total_lines`` and ``percentage`` to rows of (keys, language, files, lines)."""
-    totals = counted.groupBy(*keys).agg(F.sum("files").alias("total_files"), F.sum("lines").alias("total_lines"))
-    # both sides come from the same aggregate and have a row per key and language
-    out = counted.join(totals, list(keys))
+    # a window holds a row per language, however many files a repository has
+    w = Window.partitionBy(*keys)
+    out = counted.withColumns({"total_files": F.sum("files").over(w), "total_lines": F.sum("lines").over(w)})
     return out.withColumn("percentage", share_of_files(F.col("files"), F.col("total_files")))
 
 
