@@ -45,6 +45,11 @@ def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _item_pairs(spark, sf_dir, 2).withColumns({"lift": F.round("lift", 4), "llr": F.round("llr", 3)})
 
 
+def p1_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair, those of a single scan included, with lift and signed log-likelihood ratio."""
+    return _item_pairs(spark, sf_dir, 1).withColumns({"lift": F.round("lift", 4), "llr": F.round("llr", 3)})
+
+
 _ITEMS_SQL = """with s as (select scan_id, any_value(inventory) as inv from scan_results where scan_id is not null group by scan_id),
 u as (select scan_id, 'frameworks:' || lower(trim(v, ' ' || chr(9))) as item from (select scan_id, unnest(inv.frameworks) as v from s) where v is not null
 union all select scan_id, 'packageManagers:' || lower(trim(v, ' ' || chr(9))) from (select scan_id, unnest(inv.packageManagers) as v from s) where v is not null),
@@ -61,6 +66,7 @@ select item_a, item_b, n_a, n_b, n_ab, n_records, round(l, 4) as lift, round(cas
  case when k11 > 0 then k11 * ln(k11 * n / (n_a::double * n_b)) else 0 end + case when k12 > 0 then k12 * ln(k12 * n / (n_a::double * (n - n_b))) else 0 end
  + case when k21 > 0 then k21 * ln(k21 * n / ((n - n_a) * n_b)) else 0 end + case when k22 > 0 then k22 * ln(k22 * n / ((n - n_a) * (n - n_b))) else 0 end), 3) as llr from k"""
 )
+_P1_ALL_PAIRS_SQL = _P1_PAIRS_SQL.replace(" from j where n_ab >= 2)", " from j)")
 
 
 # 2 ---------------------------------------------------------------------------------------------------------------------------------------
@@ -258,10 +264,11 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir, True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_percentiles, p2_span_bounds, p4_found, p4_origins, p5_found, p5_classes, p6_found, p6_terms, p7_found, p7_packs, p7_fill, p8_found, p8_uses, p8_shares, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_all_pairs, p2_found, p2_percentiles, p2_span_bounds, p4_found, p4_origins, p5_found, p5_classes, p6_found, p6_terms, p7_found, p7_packs, p7_fill, p8_found, p8_uses, p8_shares, p9_found, p9_pieces)}
 SQL = {
     "p1_found": _P1_FOUND_SQL,
     "p1_pairs": _P1_PAIRS_SQL,
+    "p1_all_pairs": _P1_ALL_PAIRS_SQL,
     "p2_found": _P2_FOUND_SQL,
     "p2_percentiles": _P2_PERCENTILES_SQL,
     "p5_found": _P5_FOUND_SQL,

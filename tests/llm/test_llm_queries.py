@@ -1,5 +1,7 @@
 import duckdb
 import os
+from collections import Counter
+from itertools import combinations
 
 import pytest
 
@@ -27,3 +29,13 @@ def test_found_queries_have_their_columns(spark, sf_dir, name):
     columns = {"p4_found": ["repo_id", "relative_path"], "p7_found": ["doc_id"], "p8_found": ["source"], "p9_found": ["doc_id"]}
     df = QUERIES[name](spark, sf_dir)
     assert df.columns == columns[name] and df.count() == df.distinct().count()
+
+
+def test_every_pair_comes_out(spark, sf_dir):
+    records = {}
+    for r in spark.read.parquet(f"{sf_dir}/scan_results.parquet").select("scan_id", "inventory.frameworks", "inventory.packageManagers").collect():
+        if r.scan_id is not None:
+            records[r.scan_id] = {f"{c}:{v.strip(' \t').lower()}" for c in ("frameworks", "packageManagers") for v in r[c] or [] if v is not None}
+    want = Counter(p for items in records.values() for p in combinations(sorted(items), 2))
+    got = {(r.item_a, r.item_b): r.n_ab for r in QUERIES["p1_all_pairs"](spark, sf_dir).collect()}
+    assert got == want and 1 in want.values()
