@@ -69,11 +69,15 @@ _VENDOR_NOTICE = _LEAD + (
 )
 _MINIFIED_NOTICE = r"(?m)^[ \t]*//[#@] sourceMappingURL="
 
-# Java's matcher recurses into repeated groups: what may be long is matched by possessive character classes only. An escaped quote ends a
-# string here, which misjudges the rest of its line at most.
-_STRINGS = r""""[^"\n]*+"|'[^'\n]*+'|`[^`]*+`"""
+# Java's matcher recurses into repeated groups: what may be long is matched by possessive classes or possessive groups only. No literal opens
+# at an escaped quote, so an unclosed one is tried once a line and not at each quote in it. Triple quotes are signs of their own here: what
+# they enclose counts line by line, as notes on code often stand in them.
+_STRINGS = r"""(?<!\\)(?:"{3}|'{3})|(?<!\\)"(?:[^"\\\n]++|\\.)*+"|(?<!\\)'(?:[^'\\\n]++|\\.)*+'|`[^`]*+`"""
+_LONG_STRINGS = r"""(?<!\\)"{3}(?:[^"\\]++|\\[\s\S]|"(?!""))*+"{3}|(?<!\\)'{3}(?:[^'\\]++|\\[\s\S]|'(?!''))*+'{3}"""
 _NUMBERS = r"(?<![\w.])-?(?:0[xX][0-9A-Fa-f]+|\d+(?:\.\d+)?)(?![\w])"
 _ENCODED = r"[A-Za-z0-9+/=_\-]{40,}+|[\\x0-9A-Fa-f]{40,}+"
+# Encoded runs that can't be rulers, paths or long names: with some digits, or long and of letters and digits alone.
+_BLOBS = r"(?<![A-Za-z0-9+/=_\-])(?=(?:[A-Za-z+/=_\-]*+\d){3})[A-Za-z0-9+/=_\-]{40,}+|[A-Za-z0-9+]{60,}+|(?:\\x[0-9A-Fa-f]{2}){10,}+"
 
 #: Layout thresholds: (line length, mean line length, white space at most) that make a text minified; (numeric literals per 100 characters,
 #: share of letters outside literals at most, share of encoded runs, alphanumeric share) that make it data.
@@ -103,18 +107,21 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def layout_statistics(df: DataFrame, content: str = "content") -> DataFrame:
-    """``df`` with layout statistics of the whole text: ``max_line``, ``mean_line``, ``white_share``, ``alnum_share``, ``number_density``, ``encoded_share``, ``letter_share``.
+    """``df`` with layout statistics of the whole text: ``max_line``, ``mean_line``, ``white_share``, ``alnum_share``, ``number_density``, ``encoded_share``,
+    ``blob_share``, ``letter_share``, ``open_share``.
 
     A null text counts as an empty one, whose statistics are 0.  CRLF ends a
     line like LF.  ``letter_share`` is the share of letters outside string
-    literals in all that is not white space.
+    literals and encoded runs in all that is not white space; ``open_share``
+    leaves out what stands between triple quotes as well.  ``blob_share`` is
+    the share of encoded runs other than rulers, paths and long names.
     """
     text = F.coalesce(F.col(content), F.lit(""))
     chars = F.length(text)
     lengths = F.transform(F.split(text, r"\r?\n"), lambda line: F.length(F.rtrim(line)))
     filled = F.size(F.filter(lengths, lambda n: n > 0))
     dense = F.length(F.regexp_replace(text, r"\s+", ""))
-    bare = F.regexp_replace(F.regexp_replace(text, _STRINGS + "|" + _NUMBERS, ""), r"[^A-Za-z\u0080-\uffff]+", "")
+    bare = lambda literals: F.regexp_replace(F.regexp_replace(text, "|".join((literals, _BLOBS, _NUMBERS)), ""), r"[^A-Za-z\u0080-\uffff]+", "")
     return df.withColumns(
         {
             "chars": chars,
@@ -124,7 +131,9 @@ def layout_statistics(df: DataFrame, content: str = "content") -> DataFrame:
             "alnum_share": _share(F.length(F.regexp_replace(text, r"[^A-Za-z0-9\u0080-\uffff]+", "")), chars),
             "number_density": 100 * _share(F.regexp_count(text, F.lit(_NUMBERS)), chars),
             "encoded_share": _share(chars - F.length(F.regexp_replace(text, _ENCODED, "")), chars),
-            "letter_share": _share(F.length(bare), dense),
+            "blob_share": _share(chars - F.length(F.regexp_replace(text, _BLOBS, "")), chars),
+            "letter_share": _share(F.length(bare(_STRINGS)), dense),
+            "open_share": _share(F.length(bare(_LONG_STRINGS + "|" + _STRINGS)), dense),
         }
     )
 
@@ -152,8 +161,10 @@ def source_origin(df: DataFrame, path: str = "relative_path", name: str = "name"
     named = lambda pattern: F.coalesce(file_name.rlike(pattern), F.lit(False))
     enough = F.col("chars") >= LEAST_CHARS
     packed = enough & (F.col("max_line") >= longest) & (F.col("mean_line") >= mean) & (F.col("white_share") <= white)
-    signs = (F.col("letter_share") <= letters) | (F.col("number_density") >= numbers) | (F.col("encoded_share") >= encoded) | (F.col("alnum_share") >= alnum)
-    data = enough & (F.col("letter_share") <= 2 * letters) & signs
+    signs = (F.col("number_density") >= numbers) | (F.col("encoded_share") >= encoded) | (F.col("alnum_share") >= alnum)
+    few = (F.col("letter_share") <= letters) | ((F.least("letter_share", "open_share") <= 2 * letters) & signs)
+    # a text that is encoded for the most part is data whatever else it holds; a small blob in code is not
+    data = enough & (few | (F.col("blob_share") >= 2 * encoded))
     origin = (
         F.when(F.col("language").isNull(), F.lit(None).cast("string"))
         .when(in_folder(VENDOR_FOLDERS) | named(_VENDOR_NAME) | text.rlike(_VENDOR_NOTICE), "vendored")

@@ -64,6 +64,42 @@ def test_long_lines_of_all_kinds(spark):
     assert source_origin(df).filter("origin is not null").count() == len(long)
 
 
+def encoded(rng, lines):
+    return "".join("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=76)) + "\n" for _ in range(lines))
+
+
+def test_data_in_literals_of_all_kinds(spark):
+    rng = random.Random(9)
+    blob, record = encoded(rng, 60), '{"name": "left pad", "owner": "some one", "licence": "free to use"}'
+    escaped = record.replace('"', '\\"')
+    long_names = "".join(f"    void shouldReturnNothingWhenTheRepositoryHoldsNoFilesOfKind{c}() {{\n        check(repository, kind);\n    }}\n" for c in "ABCDEFGHIJKLMNOP")
+    imports = "".join(f'\t_ "example.com/some/organisation/repository-name/internal/drivers/of_{c}"\n' for c in "abcdefgh")
+    files = [
+        ("a.py", 'ICON = """\n' + blob + '"""\n', "data"),
+        ("b.py", "ICON = '''\n" + ("QUJD" * 19 + "\n") * 60 + "'''\n", "data"),
+        ("c.sh", "base64 -d > icon.png <<'EOF'\n" + blob + "EOF\n", "data"),
+        ("d.java", 'class D {\n    static final String ICON = """\n' + blob + '        """;\n}\n', "data"),
+        ("e.lua", "return [[\n" + blob + "]]\n", "data"),
+        ("f.c", "static const char t[] =\n" + f'    "{escaped}"\n' * 40 + ";\n", "data"),
+        ("g.py", 'ROWS = """' + f"{record}," * 4 + '"""\n', "data"),
+        ("h.py", BODY + 'ICON = """\n' + blob + '"""\n', "data"),
+        ("i.py", '"""' + "What this module is for, and how its parts hang together.\n" * 40 + '"""\nfrom own import main\n', "handwritten"),
+        ("j.py", BODY * 4 + 'ICON = """\n' + encoded(rng, 10) + '"""\n', "handwritten"),
+        ("k.c", ("/*" + "-" * 74 + "*/\n" + "int total(int left, int right);\n" * 2) * 30, "handwritten"),
+        ("l.go", "package main\n\nimport (\n" + imports + ")\n\n" + "// What this program is for.\n" * 40, "handwritten"),
+        ("m.java", "class M {\n" + long_names + "}\n", "handwritten"),
+        ("n.py", BODY + '# it\'s the \\"total\\" that isn\'t shown\n' * 20, "handwritten"),
+    ]
+    df = spark.createDataFrame([(n, n, None, t) for n, t, _ in files], "relative_path string, name string, ext string, content string")
+    assert {r.name: r.origin for r in source_origin(df).collect()} == {n: o for n, _, o in files}
+
+
+def test_unclosed_literals_of_all_kinds(spark):
+    long = ['"' + '\\"' * 200_000, "'" + "\\'" * 200_000, '"""' + '\\"""' * 100_000, "[[" * 200_000, "-a" * 200_000, "\\x4" * 100_000, ("a" * 59 + "_") * 6_000, '"""' + "\\" * 300_001, '""" "' * 100_000]
+    df = spark.createDataFrame([(f"a{i}.py", f"a{i}.py", ".py", t) for i, t in enumerate(long)], "relative_path string, name string, ext string, content string")
+    assert source_origin(df).filter("origin is not null").count() == len(long)
+
+
 # 7
 
 
