@@ -14,6 +14,7 @@ are the sum of those of its units.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
@@ -189,14 +190,17 @@ def split_text(text: str | None, limit: int, overlap: int, counts: Counter) -> l
     at = [0, *accumulate(len(t) for t, _, _ in opened)]
     broken = INSIDE in ranks
     pieces = []
-    last_from = 0
+    last_start = 0
     for k, (lo, hi) in enumerate(chunks):
         own = sum(n for _, n, _ in opened[lo:hi])
         chars = shared = 0
         n, torn = own, broken and INSIDE in ranks[lo:hi]
         if k and overlap:
-            chars, shared, within = _overlap(opened, lo, last_from, overlap, limit - own, counts)
-            n, torn = own + shared, torn or within
+            # the piece before is repeated with its own overlap, but not beyond it
+            chars, shared, within = _overlap(opened, lo, bisect_right(at, last_start) - 1, overlap, limit - own, counts)
+            beyond = chars > at[lo] - last_start
+            chars = min(chars, at[lo] - last_start)
+            n, torn = own + shared, torn or within or beyond or (broken and INSIDE in ranks[bisect_right(at, at[lo] - chars) - 1 : lo])
         if torn:
             # tokens need not add up where a word is cut
             n = counts.count(text[at[lo] - chars : at[hi]])
@@ -206,7 +210,7 @@ def split_text(text: str | None, limit: int, overlap: int, counts: Counter) -> l
             shared = counts.count(text[at[lo] - chars : at[lo]])
         cut = "end" if hi == len(opened) else NAMES[ranks[hi]]
         pieces.append((at[lo] - chars, at[lo], at[hi], n, shared, cut, hi in inside))
-        last_from = lo
+        last_start = at[lo] - chars
     return pieces
 
 

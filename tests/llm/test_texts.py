@@ -221,6 +221,21 @@ def test_pieces(sf_dir, spark, limit, overlap):
             assert any(f for *_, f in pieces) == (stretch > limit)
 
 
+@needs_vocabulary
+def test_overlaps_reach_past_short_pieces():
+    counts = counter(DEFAULT_VOCABULARY)
+    rng = random.Random(8)
+    section = lambda n: "# Part\n\n" + "".join("some plain words stand here\n" for _ in range(n)) + "\n"
+    crafted = "".join(section(n) for n in (68, 1, 68, 2, 1, 68))
+    mixed = "".join(section(rng.choice([1, 2, 5, 66, 68, 70])) for _ in range(120))
+    for text in (crafted, mixed):
+        pieces = split_text(text, 512, 64, counts)
+        assert "".join(text[a:b] for _, a, b, *_ in pieces) == text
+        for before, (start, new, end, n, shared, *_) in zip(pieces, pieces[1:]):
+            assert n == counts.count(text[start:end]) <= 512 and shared == counts.count(text[start:new])
+            assert before[0] <= start and (64 <= shared <= 80 or start == before[0])
+
+
 @needs_vocabulary
 def test_cuts_follow_the_structure():
     counts = counter(DEFAULT_VOCABULARY)
