@@ -129,6 +129,11 @@ def p4_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_per_key(files, ["repo_id", "relative_path"]).groupBy("language", "origin").agg(F.count("*").alias("files"))
 
 
+def p4_handwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hand-written source files, the opposite of p4_found among files with a source extension."""
+    return one_per_key(_origins(spark, sf_dir).filter("origin = 'handwritten'").select("repo_id", "relative_path", "language"), ["repo_id", "relative_path"])
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -264,7 +269,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir, True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_all_pairs, p2_found, p2_percentiles, p2_span_bounds, p4_found, p4_origins, p5_found, p5_classes, p6_found, p6_terms, p7_found, p7_packs, p7_fill, p8_found, p8_uses, p8_shares, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_all_pairs, p2_found, p2_percentiles, p2_span_bounds, p4_found, p4_origins, p4_handwritten, p5_found, p5_classes, p6_found, p6_terms, p7_found, p7_packs, p7_fill, p8_found, p8_uses, p8_shares, p9_found, p9_pieces)}
 SQL = {
     "p1_found": _P1_FOUND_SQL,
     "p1_pairs": _P1_PAIRS_SQL,

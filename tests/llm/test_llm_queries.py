@@ -39,3 +39,16 @@ def test_every_pair_comes_out(spark, sf_dir):
     want = Counter(p for items in records.values() for p in combinations(sorted(items), 2))
     got = {(r.item_a, r.item_b): r.n_ab for r in QUERIES["p1_all_pairs"](spark, sf_dir).collect()}
     assert got == want and 1 in want.values()
+
+
+def test_handwritten_files_come_out(spark, sf_dir):
+    from arborlake.llm.handwritten import LANGUAGE_OF_EXTENSION
+
+    language = {}
+    for r in spark.read.parquet(f"{sf_dir}/files.parquet").select("repo_id", "relative_path", "name", "ext").collect():
+        ext = (r.ext if r.ext is not None else os.path.splitext(r.name)[1]).lower()
+        if ext in LANGUAGE_OF_EXTENSION:
+            language[r.repo_id, r.relative_path] = LANGUAGE_OF_EXTENSION[ext]
+    other = {tuple(r) for r in QUERIES["p4_found"](spark, sf_dir).collect()}
+    got = [tuple(r) for r in QUERIES["p4_handwritten"](spark, sf_dir).collect()]
+    assert sorted(got) == sorted((*k, v) for k, v in language.items() if k not in other) and got
