@@ -137,7 +137,9 @@ def pack_items(items: DataFrame, key: str, size: str, capacity: int) -> DataFram
     finished = [packed.filter("done")]
     rest = packed.filter("not done")
     partitions, before = packed.rdd.getNumPartitions(), rest.count()
-    while before > 1 and partitions > 1:
+    # a single partition may have been packed in several runs
+    several = partitions > 1 or (packed.agg(F.sum(F.size("members"))).first()[0] or 0) > ITEMS_AT_ONCE
+    while before > 1 and several:
         partitions = max(-(-partitions // FAN_IN), -(-before // BINS_PER_PARTITION))
         packed = cut(rest.repartition(partitions).mapInArrow(_later_round(capacity), _DDL))
         finished.append(packed.filter("done"))
@@ -146,7 +148,7 @@ def pack_items(items: DataFrame, key: str, size: str, capacity: int) -> DataFram
         # bins that can't be joined with one another stay as they are
         if after > 0.98 * before and partitions > 1:
             break
-        before = after
+        before, several = after, partitions > 1
     bins = rest
     for part in finished:
         bins = bins.unionByName(part)

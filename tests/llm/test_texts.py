@@ -135,6 +135,16 @@ def test_packs(spark, partitions):
     assert full.filled > (0.9 if partitions == 1 else 0.85) and full.packs == len(by_pack)
 
 
+def test_runs_of_one_partition_are_merged(spark, monkeypatch):
+    monkeypatch.setattr("arborlake.llm.packing.ITEMS_AT_ONCE", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        packs = pack_items(spark.range(0, 600, 1, 1).selectExpr("id as key", "1L as size"), "key", "size", 200).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len({r.id for r in packs}) == 600 and len({r.pack_id for r in packs}) == 3
+
+
 def test_packs_of_nothing_and_of_big_halves(spark):
     assert pack_items(spark.createDataFrame([], "key bigint, size bigint"), "key", "size", 10).count() == 0
     halves = spark.range(400).selectExpr("id as key", "60L as size").repartition(8)
