@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -115,6 +116,53 @@ def test_found_query_agrees_with_a_plain_walk(spark, sf_dir, rows):
     assert found == seen and found
 
 
+def plain_entries(payload):
+    """The rows of p3_found from a payload, by json.loads alone."""
+
+    def load(text):
+        for t in (text, re.sub(r",(?=\s*[\]}])", "", text)):
+            try:
+                return load(v) if isinstance(v := json.loads(t), str) else v
+            except ValueError:
+                pass
+
+    def get(value, name):
+        return next((v for k, v in value.items() if k.replace("_", "").lower() == name), None) if isinstance(value, dict) else None
+
+    def listed(value, key):
+        if isinstance(value, dict):
+            return [(next((x for x in [get(v, key)] if x is not None), k), v) for k, v in value.items()]
+        return [(get(v, key), v) for v in value or [] if isinstance(v, dict)]
+
+    def components(value, root, above):
+        for path, c in listed(value, "path"):
+            scoped = get(c, "scoped")
+            stats = get(load(scoped) if isinstance(scoped, str) else scoped, "languagestats")
+            for language, _ in listed(get(load(stats) if isinstance(stats, str) else stats, "perlanguage"), "language"):
+                yield root, above, path, language
+            yield from components(get(c, "components"), root, path)
+
+    def results(value):
+        if isinstance(value, list):
+            for v in value:
+                yield from results(v)
+        elif isinstance(value, dict):
+            if any(get(value, k) is not None for k in ("rootpath", "scannedat", "inventory", "architecture", "languagestats")):
+                yield from components(get(get(value, "architecture"), "components"), get(value, "rootpath"), "")
+            else:
+                for v in value.values():
+                    yield from results(v)
+
+    return results(load(payload)) if payload else ()
+
+
+def test_found_query_agrees_with_json_loads(spark, sf_dir):
+    from arborlake.nested_queries import p3_found
+
+    want = {(r.raw_id, *row) for r in spark.read.parquet(f"{sf_dir}/raw_scans.parquet").collect() for row in plain_entries(r.payload)}
+    assert {tuple(r) for r in p3_found(spark, sf_dir).collect()} == want and want
+
+
 def test_long_and_odd_texts(spark):
     big = {"rootPath": "/r", "architecture": {"components": [{"path": f"p{i}", "description": "x" * 1000, "scoped": {"languageStats": {"perLanguage": [{"language": "é\ud800"}]}}} for i in range(3000)]}}
     df = spark.createDataFrame([(1, json.dumps(big))], "id int, payload string")
