@@ -125,7 +125,7 @@ def uv_members(raw: DataFrame) -> DataFrame:
 
 
 def component_hints(files: DataFrame, raw: DataFrame) -> DataFrame:
-    """Hints of all stages, a path's later hints dropped as the stages do: ``repo_id, ord, path, name, description, manifest_path, manifest_name, kind``."""
+    """Hints of all stages, a path's later hints dropped as the stages do: ``repo_id, ord, place, path, name, description, manifest_path, manifest_name, kind``."""
     # a row per component, read by five stages
     found = cut(discovered(files))
     umbrella = root_texts(raw, "mix.exs").filter(F.col("text").contains("apps_path")).select("repo_id", F.lit("apps").alias("parent"))
@@ -151,11 +151,12 @@ def component_hints(files: DataFrame, raw: DataFrame) -> DataFrame:
     for s in stages[1:]:
         union = union.unionByName(s)
     order = F.col("stage").cast("bigint") * 100_000_000 + F.least("rule", F.lit(9_999)) * 10_000 + F.least("sub", F.lit(9_999))
-    rows = union.select("repo_id", order.alias("ord"), "stage", "path", "name", "description", "manifest_path", "manifest_name", F.expr(_NO_TEXT).alias("kind"))
+    # ``ord`` has four digits for rule and sub, so what comes first is told by ``place``
+    rows = union.select("repo_id", order.alias("ord"), F.struct("stage", "rule", "sub").alias("place"), "stage", "path", "name", "description", "manifest_path", "manifest_name", F.expr(_NO_TEXT).alias("kind"))
     # one stage adds its hints whether or not the path is taken
-    first = rows.groupBy("repo_id", "path").agg(F.min(F.struct("ord", "name", "description", "manifest_path", "manifest_name", "kind")).alias("h"))
+    first = rows.groupBy("repo_id", "path").agg(F.min(F.struct("place", "ord", "name", "description", "manifest_path", "manifest_name", "kind")).alias("h"))
     kept = first.select("repo_id", "path", "h.*").unionByName(rows.filter(F.col("stage") == NPM).drop("stage")).distinct()
-    return kept.select("repo_id", "ord", "path", "name", "description", "manifest_path", "manifest_name", "kind")
+    return kept.select("repo_id", "ord", "place", "path", "name", "description", "manifest_path", "manifest_name", "kind")
 
 
 def monorepo_findings(files: DataFrame, raw: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ _register("maven_modules", lambda f, raw: M.maven_modules(raw).withColumn("pos",
 _register("uv_members", lambda f, raw: M.uv_members(raw).withColumn("pos", F.col("pos").cast("bigint")))
 _register("component_discovery", lambda f, raw: C.discovered(f))
 _register("leaf_components", lambda f, raw: C.discovered(f).select("repo_id", "path"))
-_register("component_hints_derived", lambda f, raw: M.component_hints(f, raw).drop("kind"))
+_register("component_hints_derived", lambda f, raw: M.component_hints(f, raw).drop("kind", "place"))
 _register("components", lambda f, raw: C.classified(M.component_hints(f, raw)))
 _register("secondary_kinds", lambda f, raw: C.secondary_kinds(_components(f, raw), f).select("repo_id", "path", "kind", F.coalesce(F.array_join("secondary_kinds", ","), F.lit("")).alias("secondary_kinds")))
 _register("component_owner", lambda f, raw: C.owner_of(f, "relative_path", _components(f, raw)))

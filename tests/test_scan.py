@@ -161,3 +161,11 @@ def test_streams_count_like_batches(spark, sf_dir, tmp_path, rows):
         run.awaitTermination()
         out, whole = set(map(tuple, spark.table(f"out_{name}").collect())), set(map(tuple, f(batch).collect()))
         assert out and out <= whole
+
+
+def test_first_hint_of_a_very_wide_solution(spark):
+    projects = [(f"p{i}", f"p{i}/p{i}.csproj") for i in range(10_001)] + [("zeta", "twice/a.csproj"), ("alpha", "twice/b.csproj")]
+    text = "\n".join(f'Project("{{G}}") = "{n}", "{p}", "{{H}}"' for n, p in projects)
+    files = table(spark, {"a.sln": text})
+    hints = M.component_hints(files, files)
+    assert [r.name for r in hints.filter("path = 'twice'").collect()] == ["zeta"] and hints.count() == 10_002
