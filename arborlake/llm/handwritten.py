@@ -13,13 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The source extensions and their languages.
-LANGUAGE_OF_EXTENSION = {
-    ".ts": "TypeScript", ".tsx": "TypeScript", ".js": "JavaScript", ".jsx": "JavaScript", ".mjs": "JavaScript", ".cjs": "JavaScript",
-    ".py": "Python", ".go": "Go", ".rs": "Rust", ".java": "Java", ".cs": "C#", ".rb": "Ruby", ".php": "PHP", ".swift": "Swift", ".dart": "Dart",
-    ".c": "C", ".h": "C", ".cpp": "C++", ".cc": "C++", ".cxx": "C++", ".hpp": "C++", ".kt": "Kotlin", ".scala": "Scala", ".ex": "Elixir", ".exs": "Elixir",
-    ".zig": "Zig", ".lua": "Lua", ".r": "R", ".pl": "Perl", ".sh": "Shell", ".bash": "Shell", ".zsh": "Shell", ".tcl": "Tcl", ".fs": "F#", ".fsx": "F#", ".vb": "VB.NET",
-}
+from arborlake.plans.rules import EXT_TO_LANGUAGE
+
+#: Extensions of source files and their languages.
+LANGUAGE_OF_EXTENSION = dict(EXT_TO_LANGUAGE)
 
 #: Folders that hold third-party copies, at any depth, in lower case.
 VENDOR_FOLDERS = (
@@ -92,9 +89,11 @@ LIMITS = {
     "Shell": (500, 200.0, 0.15, 6.0, 0.06, 0.30, 0.88),
     "R": (500, 200.0, 0.15, 6.0, 0.08, 0.30, 0.88),
 }
-#: Texts with fewer characters than this have no layout to speak of.
-LEAST_CHARS = 200
-
+#: Shares are held against the thresholds as if so many characters of ordinary code stood beside the text, so a text of a few characters
+#: says little and a longer one is judged by itself; there is no length at which the rules set in.
+ORDINARY_CHARS, ORDINARY_LETTERS = 40, 0.6
+#: Steps of a running count of numbers, and share of lines of the same shape as the one a period (of 2 to 8 lines) before, that only tools write.
+LEAST_COUNT, LEAST_REPEATS = 6, 0.8
 
 def extension_of(ext: Column, name: Column) -> Column:
     """The extension in lower case, from the name where it is null; '' for names without one."""
@@ -106,15 +105,50 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
 
 
+def _settled(share: Column, whole: Column, usual: float = 0.0) -> Column:
+    """A share of ``whole`` characters as it is once the characters of ordinary code stand beside them."""
+    return (share * whole + ORDINARY_CHARS * usual) / (whole + ORDINARY_CHARS)
+
+
+def _count_run(text: Column) -> Column:
+    """The longest run of whole numbers each of which is the one before or one more, in steps up."""
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\w.])(\d{1,9})(?![\w.])"), F.lit(1)), lambda n: n.cast("int"))
+    start = F.struct(F.lit(-9).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("top"))
+
+    def step(so_far: Column, n: Column) -> Column:
+        run = F.when(n == so_far["last"] + 1, so_far["run"] + 1).when(n == so_far["last"], so_far["run"]).otherwise(0)
+        return F.struct(n.alias("last"), run.alias("run"), F.greatest(so_far["top"], run).alias("top"))
+
+    return F.aggregate(numbers, start, step, lambda x: x["top"])
+
+
+def _repeat_share(text: Column) -> Column:
+    """The largest share, over periods of 2 to 8 lines, of lines that have the shape of the line a period before and not that of the line before."""
+    shape = lambda line: F.regexp_replace(F.regexp_replace(line, r"[A-Za-z_]\w*+|\d++", "w"), r"\s++", "")
+    shapes = F.transform(F.filter(F.split(text, r"\r?\n"), lambda line: F.btrim(line) != ""), shape)
+
+    def share(lines: Column, period: int) -> Column:
+        before = F.slice(lines, period, F.size(lines))
+        here = F.zip_with(F.slice(lines, 1 + period, F.size(lines)), before, lambda x, y: F.when(x != y, x))
+        pairs = F.zip_with(here, lines, lambda x, y: F.coalesce(x == y, F.lit(False)))
+        return F.when(F.size(lines) > 3 * period, F.size(F.filter(pairs, lambda same: same)) / (F.size(lines) - period)).otherwise(0.0)
+
+    # the shapes are made once, as the one element of a list
+    return F.get(F.transform(F.array(shapes), lambda lines: F.greatest(*(share(lines, k) for k in range(2, 9)))), F.lit(0))
+
+
 def layout_statistics(df: DataFrame, content: str = "content") -> DataFrame:
     """``df`` with layout statistics of the whole text: ``max_line``, ``mean_line``, ``white_share``, ``alnum_share``, ``number_density``, ``encoded_share``,
-    ``blob_share``, ``letter_share``, ``open_share``.
+    ``blob_share``, ``letter_share``, ``open_share``, ``count_run``, ``repeat_share``.
 
     A null text counts as an empty one, whose statistics are 0.  CRLF ends a
     line like LF.  ``letter_share`` is the share of letters outside string
     literals and encoded runs in all that is not white space; ``open_share``
     leaves out what stands between triple quotes as well.  ``blob_share`` is
     the share of encoded runs other than rulers, paths and long names.
+    ``count_run`` is the number of steps of the longest running count of
+    numbers; ``repeat_share``, the share of lines shaped like those a period
+    before, is measured only where there is such a count, and 0 elsewhere.
     """
     text = F.coalesce(F.col(content), F.lit(""))
     chars = F.length(text)
@@ -134,18 +168,20 @@ def layout_statistics(df: DataFrame, content: str = "content") -> DataFrame:
             "blob_share": _share(chars - F.length(F.regexp_replace(text, _BLOBS, "")), chars),
             "letter_share": _share(F.length(bare(_STRINGS)), dense),
             "open_share": _share(F.length(bare(_LONG_STRINGS + "|" + _STRINGS)), dense),
+            "count_run": _count_run(text),
         }
-    )
+    ).withColumn("repeat_share", F.when(F.col("count_run") >= LEAST_COUNT, _repeat_share(text)).otherwise(0.0))
 
 
 def source_origin(df: DataFrame, path: str = "relative_path", name: str = "name", ext: str = "ext", content: str = "content") -> DataFrame:
-    """``df`` with ``language``, the layout statistics and ``origin`` of each file; columns of these names are replaced.
+    """``df`` with ``language``, the layout statistics, ``origin`` and ``evidence`` of each file; columns of these names are replaced.
 
     ``origin`` is null for files that are no source (language null as well),
     'handwritten', or the first that holds of 'vendored', 'generated',
-    'minified' and 'data'.  A null path, name or text simply gives no evidence;
-    an empty or very short text is judged by path and name alone; line ends may
-    be CRLF.  Rows are judged one by one: nothing is dropped, repeated rows get
+    'minified' and 'data'.  ``evidence`` lists which of 'path', 'name',
+    'notice' and 'layout' speak against hand-written source.  A null path, name
+    or text simply gives no evidence; the shorter a text, the less its layout
+    counts, and an empty one has none; line ends may be CRLF.  Rows are judged one by one: nothing is dropped, repeated rows get
     the same verdict, an empty table stays empty.
     """
     file_name = F.coalesce(F.col(name), F.element_at(F.split(F.col(path), "/"), -1))
@@ -159,21 +195,31 @@ def source_origin(df: DataFrame, path: str = "relative_path", name: str = "name"
     in_folder = lambda names: folders.rlike(r"(?:^|/)(?:" + "|".join(n.replace("-", r"\-") for n in names) + r")/(?=.)")
     text = F.coalesce(F.col(content), F.lit(""))
     named = lambda pattern: F.coalesce(file_name.rlike(pattern), F.lit(False))
-    enough = F.col("chars") >= LEAST_CHARS
-    packed = enough & (F.col("max_line") >= longest) & (F.col("mean_line") >= mean) & (F.col("white_share") <= white)
-    signs = (F.col("number_density") >= numbers) | (F.col("encoded_share") >= encoded) | (F.col("alnum_share") >= alnum)
-    few = (F.col("letter_share") <= letters) | ((F.least("letter_share", "open_share") <= 2 * letters) & signs)
+    chars, filled = F.col("chars"), F.col("chars") * (1 - F.col("white_share"))
+    packed = (F.col("max_line") >= longest) & (F.col("mean_line") >= mean) & (F.col("white_share") <= white)
+    signs = (
+        (_settled(F.col("number_density"), chars) >= numbers) | (_settled(F.col("encoded_share"), chars) >= encoded) | (_settled(F.col("alnum_share"), chars, ORDINARY_LETTERS) >= alnum)
+    )
+    closed, opened = (_settled(F.col(c), filled, ORDINARY_LETTERS) for c in ("letter_share", "open_share"))
+    few = (closed <= letters) | ((F.least(closed, opened) <= 2 * letters) & signs)
     # a text that is encoded for the most part is data whatever else it holds; a small blob in code is not
-    data = enough & (few | (F.col("blob_share") >= 2 * encoded))
+    data = few | (_settled(F.col("blob_share"), chars) >= 2 * encoded)
+    counted = (F.col("count_run") >= LEAST_COUNT) & (F.col("repeat_share") >= LEAST_REPEATS)
+    vendor_path, tool_path = in_folder(VENDOR_FOLDERS), in_folder(GENERATED_FOLDERS)
+    vendor_name, tool_name, packed_name = named(_VENDOR_NAME), named(_GENERATED_NAME), named(_MINIFIED_NAME)
+    vendor_notice, tool_notice, packed_notice = text.rlike(_VENDOR_NOTICE), text.rlike(_GENERATED_NOTICE), text.rlike(_MINIFIED_NOTICE) & (F.col("max_line") >= longest)
+    known = F.col("language").isNotNull()
     origin = (
-        F.when(F.col("language").isNull(), F.lit(None).cast("string"))
-        .when(in_folder(VENDOR_FOLDERS) | named(_VENDOR_NAME) | text.rlike(_VENDOR_NOTICE), "vendored")
-        .when(in_folder(GENERATED_FOLDERS) | named(_GENERATED_NAME) | text.rlike(_GENERATED_NOTICE), "generated")
-        .when(named(_MINIFIED_NAME) | packed | (text.rlike(_MINIFIED_NOTICE) & (F.col("max_line") >= longest)), "minified")
+        F.when(~known, F.lit(None).cast("string"))
+        .when(vendor_path | vendor_name | vendor_notice, "vendored")
+        .when(tool_path | tool_name | tool_notice | counted, "generated")
+        .when(packed_name | packed | packed_notice, "minified")
         .when(data, "data")
         .otherwise("handwritten")
     )
-    return measured.withColumn("origin", origin)
+    signs_of = {"path": vendor_path | tool_path, "name": vendor_name | tool_name | packed_name, "notice": vendor_notice | tool_notice | packed_notice, "layout": counted | packed | data}
+    evidence = F.when(known, F.array_compact(F.array(*(F.when(sign, F.lit(k)) for k, sign in signs_of.items()))))
+    return measured.withColumns({"origin": origin, "evidence": evidence})
 
 
 def handwritten_source(df: DataFrame, path: str = "relative_path", name: str = "name", ext: str = "ext", content: str = "content") -> DataFrame:

@@ -35,6 +35,8 @@ class Node:
     capacity: float = 0.0
     children: dict[object, Node] = field(default_factory=dict)
     budget: float = 0.0
+    #: What the weights alone would give, before shortages are handed on.
+    wanted: float = 0.0
 
     def close(self) -> None:
         """Weights and capacities of inner nodes are the sums of their children's."""
@@ -46,27 +48,26 @@ class Node:
 
 
 def spread(node: Node, budget: float) -> None:
-    """Give ``budget`` to the leaves below by weight; shortages go to siblings, in proportion to weight, before they go up."""
+    """Give ``budget`` to the leaves below by weight; shortages go to siblings, in proportion to weight, before they go up.
+
+    Children are filled in the order in which a growing budget would fill them, so one pass over the sorted children settles a node.
+    """
     node.budget = min(budget, node.capacity)
     if not node.children:
         return
-    open_children = [c for c in node.children.values() if c.capacity > 0 and c.weight > 0]
-    given = {id(c): 0.0 for c in node.children.values()}
-    left = node.budget
-    while open_children and left > 1e-9:
-        weight = sum(c.weight for c in open_children)
-        full = [c for c in open_children if left * c.weight / weight >= c.capacity - 1e-9]
-        if not full:
-            for c in open_children:
-                given[id(c)] = left * c.weight / weight
-            break
-        for c in full:
-            given[id(c)] = c.capacity
-            left -= c.capacity
-        open_children = [c for c in open_children if c not in full]
-    for c in node.children.values():
+    everyone = list(node.children.values())
+    for c in everyone:
+        c.wanted = node.wanted * c.weight / node.weight if node.weight > 0 else 0.0
+    takers = sorted((c for c in everyone if c.capacity > 0 and c.weight > 0), key=lambda c: c.capacity / c.weight)
+    left, weight = node.budget, sum(c.weight for c in takers)
+    given = {id(c): 0.0 for c in everyone}
+    for c in takers:
+        part = min(c.capacity, left * c.weight / weight) if weight > 0 else 0.0
+        given[id(c)] = part
+        left, weight = left - part, weight - c.weight
+    for c in everyone:
         spread(c, given[id(c)])
-    node.budget = sum(c.budget for c in node.children.values())
+    node.budget = sum(c.budget for c in everyone)
 
 
 @dataclass
@@ -87,15 +88,20 @@ def mix(items: DataFrame, key: str, size: str, levels: Sequence[str], weights: D
 
     Items whose leaf is not among the weights, or is null, are used 0 times;
     null and negative sizes count as 0; repeated keys are separate items; a
-    leaf with null or negative weight or repeats gets nothing.  An empty table
-    gives no items and a report of empty leaves.  ``short`` marks leaves that,
-    used to the limit, stay below their target.
+    leaf with null or negative weight or repeats gets nothing; two rows of
+    weights for one leaf are refused.  An empty table gives no items and a
+    report of empty leaves.  ``wanted`` is what the weights give a leaf,
+    ``budget`` what it is to have after shortages were handed on, ``reached``
+    what the items chosen for it have.  ``short`` marks leaves whose items are
+    all chosen as often as they may be and still stay below what is wanted.
     """
     rows = items.select(F.col(key).alias("id"), *levels, F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("size"))
     leaves = weights.select(*levels, F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("weight"), F.coalesce(F.col(repeats).cast("bigint"), F.lit(0)).alias("repeats")).na.drop(subset=list(levels))
     parameters = leaves.limit(MAX_LEAVES + 1).collect()
     if len(parameters) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves")
+    if len({tuple(r[c] for c in levels) for r in parameters}) < len(parameters):
+        raise ValueError("a leaf has more than one row of weights")
     spark = items.sparkSession
     # the leaf's number: one row per row of the parameter table
     numbered = spark.createDataFrame([(i, *(r[c] for c in levels)) for i, r in enumerate(parameters)], T.StructType([T.StructField("leaf", T.IntegerType()), *leaves.select(*levels).schema.fields]))
@@ -116,6 +122,7 @@ def mix(items: DataFrame, key: str, size: str, levels: Sequence[str], weights: D
         node.weight, node.capacity = max(0.0, r.weight), float(held * max(0, r.repeats))
         ends.append(node)
     root.close()
+    root.wanted = everything * root.weight
     spread(root, everything * min(1.0, root.weight))
     plan: list[tuple] = []
     report: list[tuple] = []
@@ -124,8 +131,7 @@ def mix(items: DataFrame, key: str, size: str, levels: Sequence[str], weights: D
         budget = round(node.budget)
         epochs = min(budget // held, r.repeats) if held else 0
         plan.append((i, int(epochs), int(budget - epochs * held)))
-        wanted = r.weight * everything
-        report.append((i, *(r[c] for c in levels), float(r.weight), int(r.repeats), int(n), int(held), float(wanted), int(budget), bool(max(0, r.repeats) * held < wanted)))
+        report.append((i, *(r[c] for c in levels), float(r.weight), int(r.repeats), int(n), int(held), float(node.wanted), int(budget)))
     plan_table = spark.createDataFrame(plan, "leaf int, epochs bigint, more bigint")
     w = Window.partitionBy("leaf").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.filter("leaf is not null").withColumn("before", F.coalesce(F.sum("tokens").over(w), F.lit(0)))
@@ -146,11 +152,13 @@ def mix(items: DataFrame, key: str, size: str, levels: Sequence[str], weights: D
     used = plain.unionByName(ending)
     schema = T.StructType(
         [T.StructField("leaf", T.IntegerType()), *leaves.select(*levels).schema.fields]
-        + [T.StructField(n, t) for n, t in (("target_share", T.DoubleType()), ("max_repeats", T.LongType()), ("items", T.LongType()), ("tokens", T.LongType()), ("wanted", T.DoubleType()), ("budget", T.LongType()), ("short", T.BooleanType()))]
+        + [T.StructField(n, t) for n, t in (("target_share", T.DoubleType()), ("max_repeats", T.LongType()), ("items", T.LongType()), ("tokens", T.LongType()), ("wanted", T.DoubleType()), ("budget", T.LongType()))]
     )
-    reached = used.groupBy("leaf").agg(F.sum(F.col("size") * F.col("uses")).alias("reached"), F.max("uses").alias("most_uses"))
+    reached = used.groupBy("leaf").agg(F.sum(F.col("size") * F.col("uses")).alias("reached"), F.min("uses").alias("least_uses"), F.max("uses").alias("most_uses"))
     table = spark.createDataFrame([Row(*r) for r in report], schema).join(reached, "leaf", "left").withColumn("reached", F.coalesce("reached", F.lit(0)))
     total_reached: Column = F.sum("reached").over(Window.partitionBy(F.lit(0)))
+    exhausted = F.coalesce(F.col("least_uses") >= F.col("max_repeats"), F.lit(True))
+    table = table.withColumn("short", exhausted & (F.col("reached") < F.col("wanted")))
     # one row per leaf of the parameter table: a window over all of them is small
     table = table.withColumn("actual_share", F.when(total_reached > 0, F.col("reached") / total_reached).otherwise(0.0))
     return Mix(used.drop("leaf"), table.drop("leaf"))

@@ -2,10 +2,13 @@
 
 Each partition packs its items best-fit and in falling size.  Bins that are
 nearly full are done; the others travel on as single items, into fewer
-partitions each round, and are packed best-fit again, until one partition is
-left or a round no longer brings the number down.  A partition never receives
-more than a bounded number of bins, each with a bounded number of members, so
-no task grows with the collection.
+partitions each round, and are packed best-fit again, down to as many
+partitions as the unfinished bins need.  If that is one, packing is complete.
+If not, a round sorts bins by what they lack or hold, so that a bin and what
+fits into it meet; after it at most one bin a partition is half full or less.
+These and as many of the roomiest others meet in a last task: then no two bins
+are left that would fit into one.  No task grows with the collection, and no
+round is left out because it brings little.
 """
 
 from __future__ import annotations
@@ -16,9 +19,11 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from arborlake.llm.tokens import DEFAULT_VOCABULARY, token_counts
-from arborlake.runtime import cut
+from arborlake.runtime import broadcast_if_small, cut
 
 #: Share of the capacity from which a bin is done.
 NEARLY_FULL = 0.995
@@ -28,8 +33,6 @@ BINS_PER_PARTITION = 20_000
 #: Partitions that are merged into one in each round.
 FAN_IN = 8
 
-_DDL = "size bigint, members array<struct<id:bigint,part:bigint,size:bigint>>, done boolean"
-_MEMBER = pa.struct([("id", pa.int64()), ("part", pa.int64()), ("size", pa.int64())])
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -60,16 +63,17 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _emit(packed: Iterable[tuple[int, list[dict], bool]]) -> Iterator[pa.RecordBatch]:
+Bin = tuple[int, list[dict], bool]  # weight, members, whether it is done
+
+
+def _emit(packed: Iterable[Bin], member: pa.DataType) -> Iterator[pa.RecordBatch]:
     packed = list(packed)
     for start in range(0, len(packed), 2_000):
-        rows = packed[start : start + 2_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(_MEMBER)), pa.array([r[2] for r in rows], pa.bool_())], names=["size", "members", "done"]
-        )
+        size, members, done = zip(*packed[start : start + 2_000])
+        yield pa.RecordBatch.from_arrays([pa.array(size, pa.int64()), pa.array(members, pa.list_(member)), pa.array(done, pa.bool_())], names=["size", "members", "done"])
 
 
-def _first_round(capacity: int):
+def _first_round(capacity: int, member: pa.DataType):
     full = NEARLY_FULL * capacity
 
     def pack(items: list[tuple[int, int, int]]) -> Iterator[tuple[int, list[dict], bool]]:
@@ -85,18 +89,18 @@ def _first_round(capacity: int):
                 whole = 0
                 if size > capacity:
                     whole = -(-size // capacity) - 1
-                    yield from _emit((capacity, [{"id": key, "part": part, "size": capacity}], True) for part in range(whole))
+                    yield from _emit(((capacity, [{"id": key, "part": part, "size": capacity}], True) for part in range(whole)), member)
                 items.append((key, whole, size - whole * capacity))
             if len(items) >= ITEMS_AT_ONCE:
-                yield from _emit(pack(items))
+                yield from _emit(pack(items), member)
                 items = []
         if items:
-            yield from _emit(pack(items))
+            yield from _emit(pack(items), member)
 
     return run
 
 
-def _later_round(capacity: int):
+def _later_round(capacity: int, member: pa.DataType):
     full = NEARLY_FULL * capacity
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,49 +116,78 @@ def _later_round(capacity: int):
             sizes += batch.column(0).to_pylist()
             members += batch.column(1).to_pylist()
             if len(sizes) >= ITEMS_AT_ONCE:
-                yield from _emit(pack())
+                yield from _emit(pack(), member)
                 sizes, members = [], []
         if sizes:
-            yield from _emit(pack())
+            yield from _emit(pack(), member)
 
     return run
 
 
 def pack_items(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
-    """A pack for every item: ``id``, ``part``, ``parts``, ``size``, ``pack_id``, ``pack_size``.
+    """A pack for every item: ``id``, ``part``, ``size``, ``pack_id`` and ``pack_size``, the sum of the sizes in the pack.
 
     An item is never divided unless it is larger than ``capacity``; then it
     fills packs of its own with parts of exactly ``capacity`` and the rest is
     an item like others.  The sizes of a pack's parts never exceed the
-    capacity; items of size 0 or null count as 1 there, which bounds the
-    members of a pack.  Equal keys are separate items; rows with a null key
-    are left out; an empty table gives no rows.  Pack numbers are unique, not consecutive.
+    capacity; items of size 0 or null take the room of 1 there, which bounds
+    the members of a pack.  Keys may be of any type; equal keys are separate
+    items; rows with a null key are left out; an empty table gives no rows.
+    Pack numbers are unique, not consecutive.
     """
     if capacity < 1:
         raise ValueError("the capacity is at least 1")
-    rows = items.select(F.col(key).cast("bigint").alias("id"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("size")).filter("id is not null")
-    packed = cut(rows.mapInArrow(_first_round(capacity), _DDL))
-    finished = [packed.filter("done")]
-    rest = packed.filter("not done")
-    partitions, before = packed.rdd.getNumPartitions(), rest.count()
-    # a single partition may have been packed in several runs
-    several = partitions > 1 or (packed.agg(F.sum(F.size("members"))).first()[0] or 0) > ITEMS_AT_ONCE
-    while before > 1 and several:
-        partitions = max(-(-partitions // FAN_IN), -(-before // BINS_PER_PARTITION))
-        packed = cut(rest.repartition(partitions).mapInArrow(_later_round(capacity), _DDL))
+    rows = items.select(F.col(key).alias("id"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("size")).filter("id is not null")
+    kind = rows.schema["id"].dataType
+    member = pa.struct([("id", to_arrow_type(kind)), ("part", pa.int64()), ("size", pa.int64())])
+    ddl = T.StructType(
+        [
+            T.StructField("size", T.LongType()),
+            T.StructField("members", T.ArrayType(T.StructType([T.StructField("id", kind), T.StructField("part", T.LongType()), T.StructField("size", T.LongType())]))),
+            T.StructField("done", T.BooleanType()),
+        ]
+    )
+    finished: list[DataFrame] = []
+
+    def merge(bins: DataFrame) -> tuple[DataFrame, int]:
+        packed = cut(bins.mapInArrow(_later_round(capacity, member), ddl))
         finished.append(packed.filter("done"))
-        rest = packed.filter("not done")
-        after = rest.count()
-        # bins that can't be joined with one another stay as they are
-        if after > 0.98 * before and partitions > 1:
+        open_bins = packed.filter("not done")
+        return open_bins, open_bins.count()
+
+    packed = cut(rows.mapInArrow(_first_round(capacity, member), ddl))
+    finished.append(packed.filter("done"))
+    rest = packed.filter("not done")
+    partitions, held, most = packed.groupBy(F.spark_partition_id().alias("p")).agg(F.count_if(~F.col("done")).alias("n"), F.sum(F.size("members")).alias("m")).agg(F.count("*"), F.sum("n"), F.max("m")).first()
+    held = held or 0
+    if partitions == 1 and most > ITEMS_AT_ONCE:
+        partitions = 2  # packed in several runs
+    while held > 1 and partitions > 1:
+        needed = -(-held // BINS_PER_PARTITION)
+        if partitions <= needed:
             break
-        before, several = after, partitions > 1
+        partitions = max(-(-partitions // FAN_IN), needed)
+        rest, held = merge(rest.repartition(partitions))
+    if held > 1 and partitions > 1:
+        # a bin of more than half meets what fills its room, a smaller one what it fits into; the second key parts equal sizes
+        near = F.least(F.col("size"), capacity - F.col("size"))
+        rest, held = merge(rest.repartitionByRange(partitions, near, F.xxhash64("members")))
+        # the bins lie in checkpoint files, so their numbers stay the same
+        rest = rest.withColumn("_bin", F.monotonically_increasing_id())
+        small = F.col("size") <= capacity // 2
+        count = rest.filter(small).count()
+        # of k smaller bins at most one stays alone, and only if none of the k roomiest others, and so no other, can take it
+        roomy = rest.filter(~small).orderBy("size", "_bin").limit(count).select("_bin")
+        last = rest.filter(small).select("_bin").unionByName(roomy)
+        last = broadcast_if_small(cut(last), 2 * count)
+        together, _ = merge(rest.join(last, "_bin", "left_semi").drop("_bin").coalesce(1))
+        rest = rest.join(last, "_bin", "left_anti").drop("_bin").unionByName(together)
     bins = rest
     for part in finished:
         bins = bins.unionByName(part)
-    numbered = bins.withColumn("pack_id", F.monotonically_increasing_id())
-    flat = numbered.select("pack_id", F.col("size").alias("pack_size"), F.explode("members").alias("m"))
-    return flat.select("m.id", "m.part", "m.size", "pack_id", "pack_size")
+    total = F.aggregate("members", F.lit(0).cast("bigint"), lambda t, m: t + m["size"])
+    numbered = bins.select(F.monotonically_increasing_id().alias("pack_id"), total.alias("pack_size"), "members")
+    return numbered.select("pack_id", "pack_size", F.explode("members").alias("m")).select("m.id", "m.part", "m.size", "pack_id", "pack_size")
 
 
 def pack_texts(df: DataFrame, key: str, text: str, capacity: int, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:

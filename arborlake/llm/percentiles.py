@@ -10,6 +10,7 @@ a summary with a bounded relative error; summaries add up.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborlake.runtime import broadcast_if_small, cut
+from arborlake.runtime import MAX_BROADCAST_ROWS, broadcast_if_small, cut
 
 #: Bits of a digit: a group's histogram has at most 2**16 rows a pass.
 DIGIT_BITS = 16
@@ -46,6 +47,18 @@ def _coded(df: DataFrame, groups: dict[str, Column], value: str) -> tuple[DataFr
     return rows.select(*groups, (F.col("_v") if whole else double_code("_v")).alias("_code")), whole
 
 
+def rank_of(q: float, n: Column) -> Column:
+    """The rank of the percentile ``q`` among ``n`` rows, ``ceil(q * n)`` and 1 at least, in whole numbers.
+
+    ``q`` counts as the decimal fraction it is written as, so no rounding of doubles moves a rank.
+    """
+    share = Fraction(str(q))
+    if not 0 <= share <= 1:
+        raise ValueError("a quantile lies between 0 and 1")
+    top, bottom = (F.lit(x).cast("decimal(18,0)") for x in (share.numerator, share.denominator))
+    return F.greatest(F.call_function("div", n.cast("decimal(19,0)") * top + bottom - 1, bottom).cast("bigint"), F.lit(1).cast("bigint"))
+
+
 def radix_percentiles(df: DataFrame, groups: dict[str, Column], value: str, quantiles: Sequence[float]) -> DataFrame:
     """Exact percentiles of ``value`` per group by radix selection over all rows.
 
@@ -77,18 +90,18 @@ def radix_percentiles(df: DataFrame, groups: dict[str, Column], value: str, quan
         shift = max(0, bits - (step + 1) * width) if bits else 0
         above = max(0, bits - step * width)
         rows = base.withColumn("_digit", F.shiftright("_code", shift))
-        if targets is not None:
-            wanted = targets.select(*names, "_prefix").distinct()
-            wanted = broadcast_if_small(wanted.select(*(F.col(k).alias(f"_{k}") for k in names), "_prefix"), count)
+        if targets is not None and count <= MAX_BROADCAST_ROWS:
+            # rows of no target are dropped before they are counted; with more targets the counts are joined below, never the rows
+            wanted = targets.select(*(F.col(k).alias(f"_{k}") for k in names), "_prefix").distinct()
             on = _all([*(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in names), F.shiftright("_code", above) == F.col("_prefix")])
-            rows = rows.join(wanted, on, "left_semi")
+            rows = rows.join(broadcast_if_small(wanted, count), on, "left_semi")
         histogram = rows.groupBy(*names, "_digit").agg(F.count("*").alias("_c"))
         histogram = histogram.withColumn("_up", F.shiftright("_digit", above - shift) if targets is not None else F.lit(0).cast("bigint"))
         w = Window.partitionBy(*names, "_up")
         counted = histogram.withColumn("_to", F.sum("_c").over(w.orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0)))
         if targets is None:
             n = F.sum("_c").over(w)
-            ranks = F.explode(F.array(*(F.struct(F.lit(float(q)).alias("q"), F.greatest(F.ceil(F.lit(float(q)) * F.col("n") - 1e-9), F.lit(1)).cast("bigint").alias("_rank")) for q in quantiles)))
+            ranks = F.explode(F.array(*(F.struct(F.lit(float(q)).alias("q"), rank_of(q, F.col("n")).alias("_rank")) for q in quantiles)))
             found = counted.withColumn("n", n).select("*", ranks.alias("_t")).select("*", "_t.*")
         else:
             right = targets.select(*(F.col(k).alias(f"_{k}") for k in names), "_prefix", "n", "q", "_rank")
@@ -133,9 +146,10 @@ def summary_percentiles(summary: DataFrame, groups: Sequence[str], quantiles: Se
 
     One row per group and quantile: the groups, ``n``, ``q``, ``low``, ``high``.
     """
+    # a window holds a row per bucket: at most 2**12 / error of them for each sign, however many values there are
     w = Window.partitionBy(*groups)
     counted = summary.withColumns({"_to": F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("n").over(w)})
-    ranks = F.explode(F.array(*(F.struct(F.lit(float(q)).alias("q"), F.greatest(F.ceil(F.lit(float(q)) * F.col("_all") - 1e-9), F.lit(1)).alias("rank")) for q in quantiles)))
+    ranks = F.explode(F.array(*(F.struct(F.lit(float(q)).alias("q"), rank_of(q, F.col("_all")).alias("rank")) for q in quantiles)))
     hit = counted.select("*", ranks.alias("_t")).filter((F.col("_to") >= F.col("_t.rank")) & (F.col("_to") - F.col("n") < F.col("_t.rank")))
     first = F.expr("shiftleft(bucket, bits_dropped)")
     last = first + F.expr("shiftleft(1L, bits_dropped)") - 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborlake.llm.cooccurrence import cooccurrence
@@ -12,9 +12,9 @@ from arborlake.llm.mixing import Mix, mix
 from arborlake.llm.packing import divided, fill, pack_texts
 from arborlake.llm.percentiles import merge_summaries, percentile_summary, radix_percentiles, summary_percentiles
 from arborlake.llm.setjoin import set_similarity_classes, set_similarity_pairs
-from arborlake.llm.splitting import split_texts
+from arborlake.llm.splitting import SLACK, split_texts
 from arborlake.llm.tokens import token_counts
-from arborlake.runtime import clean, one_per_key, read
+from arborlake.runtime import clean, cut, one_per_key, read
 
 
 def _cleaned(names):
@@ -94,7 +94,8 @@ def p2_span_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = dict(language=clean(F.col("language")), scan_day=F.to_date("scanned_at"))
     days = percentile_summary(_measured(spark, sf_dir, "total_lines"), by, "total_lines")
     months = merge_summaries(days.withColumn("scan_month", F.date_format("scan_day", "yyyy-MM")), ["language", "scan_month"])
-    return summary_percentiles(months, ["language", "scan_month"], [0.5, 0.9])
+    found = summary_percentiles(months, ["language", "scan_month"], [0.5, 0.9])
+    return found.withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})
 
 
 _MEASURED_SQL = "with e as (select entry_id, any_value(lower(trim(language, ' ' || chr(9)))) as language, any_value(scanned_at) as scanned_at, any_value({0}) as v from language_entries where component_path is not null and language is not null and {0} >= 0 and entry_id is not null group by entry_id), "
@@ -112,6 +113,18 @@ select language, n, p / 100.0::double as q, min(v) as value from r, (values (25)
 )
 
 
+# the summary keeps seven bits below the leading one: the bucket of the exact percentile is what its bounds must be
+_P2_SPAN_SQL = (
+    _MEASURED_SQL.format("total_lines")
+    + """r as (select language, strftime(scanned_at, '%Y-%m') as scan_month, v, row_number() over w as rn, count(*) over (partition by language, strftime(scanned_at, '%Y-%m')) as n
+ from e window w as (partition by language, strftime(scanned_at, '%Y-%m') order by v)),
+x as (select language, scan_month, n, p / 100.0::double as q, min(v) as v from r, (values (50), (90)) t(p) where 100 * rn >= p * n group by language, scan_month, n, p),
+b as (select *, case when v > 0 then length(ltrim(bin(v), '0')) - 1 end as top from x)
+select language, scan_month, n, q, case when v = 0 then 0.0::double else round(floor(v / pow(2, top - 7)) * pow(2, top - 7), 6) end as low,
+ case when v = 0 then 0.0::double else round((floor(v / pow(2, top - 7)) + 1) * pow(2, top - 7) - pow(2, top - 52), 6) end as high from b"""
+)
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -129,6 +142,12 @@ def p4_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_per_key(files, ["repo_id", "relative_path"]).groupBy("language", "origin").agg(F.count("*").alias("files"))
 
 
+def p4_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files by origin and by what speaks against hand-written source: path, name, notice, layout."""
+    files = _origins(spark, sf_dir).filter("origin is not null").select("repo_id", "relative_path", "origin", F.array_join("evidence", "+").alias("evidence"))
+    return one_per_key(files, ["repo_id", "relative_path"]).groupBy("origin", "evidence").agg(F.count("*").alias("files"))
+
+
 def p4_handwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hand-written source files, the opposite of p4_found among files with a source extension."""
     return one_per_key(_origins(spark, sf_dir).filter("origin = 'handwritten'").select("repo_id", "relative_path", "language"), ["repo_id", "relative_path"])
@@ -226,6 +245,18 @@ def p7_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.withColumnRenamed("id", "doc_id")
 
 
+def p7_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of all packs: each document once, its parts in order and full but for the last, no pack above the limit, few packs."""
+    packs, capacity = _packs(spark, sf_dir)
+    by_doc = packs.groupBy("id").agg(F.count("*").alias("parts"), F.max("part").alias("last"), F.count_if((F.col("size") < capacity)).alias("unfilled"), F.countDistinct("part").alias("different"))
+    sound = (F.col("parts") == F.col("last") + 1) & (F.col("different") == F.col("parts")) & (F.col("unfilled") <= 1)
+    docs = by_doc.agg(F.count("*").alias("documents"), F.count_if(~sound).alias("unsound"))
+    by_pack = packs.groupBy("pack_id").agg(F.sum("size").alias("used"), F.max("pack_size").alias("said"))
+    filled = by_pack.agg(F.count_if(F.col("used") > capacity).alias("above"), F.count_if(F.col("used") != F.col("said")).alias("misstated"), (F.count("*") <= 1.02 * F.sum("used") / capacity + 1).alias("few"))
+    # both sides have one row
+    return docs.join(filled, how="cross")
+
+
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of packs and the share of their capacity that is used."""
     return fill(*_packs(spark, sf_dir))
@@ -234,8 +265,12 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 8 ---------------------------------------------------------------------------------------------------------------------------------------
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id"), "source": clean(F.col("source")), "lang": F.coalesce("lang", F.lit("other"))}, "text")
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> Mix:
-    sizes = token_counts(read(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id"), "source": clean(F.col("source"))}, "text")
+    sizes = _sizes(spark, sf_dir)
     return mix(sizes, "doc_id", "n_tokens", ["source"], read(spark, sf_dir, "mix_targets"), "target_share", "max_repeats", seed=20)
 
 
@@ -248,6 +283,29 @@ def p8_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).items.select(F.col("id").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "uses")
 
 
+def p8_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of each source's uses: its documents all there, none used too often, no two uses apart by more than one, the budget kept to a document's size."""
+    made = _mix(spark, sf_dir)
+    per = made.items.filter("source is not null").groupBy("source").agg(F.count("*").alias("documents"), F.min("uses").alias("least"), F.max("uses").alias("most"), F.max("size").alias("largest"))
+    rows = made.report.select("source", "max_repeats", "budget", "reached").join(per, "source", "left")
+    kept = (F.col("reached") <= F.col("budget")) & (F.col("reached") > F.col("budget") - F.coalesce("largest", F.lit(1)) - 1)
+    return rows.select(
+        "source", F.coalesce("documents", F.lit(0)).alias("documents"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"),
+        (F.coalesce(F.col("most") - F.col("least"), F.lit(0)) <= 1).alias("even"), (F.col("documents").isNull() | kept | (F.col("budget") == 0)).alias("budget_kept"),
+    )
+
+
+def p8_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of a tree of two levels: each source's target is split among its languages alike, so a language without enough leaves its part to the source's others."""
+    sizes = cut(_sizes(spark, sf_dir))
+    targets = read(spark, sf_dir, "mix_targets")
+    # a row per source and language: as many as the mix has leaves
+    leaves = sizes.groupBy("source", "lang").agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0")
+    w = Window.partitionBy("source")
+    weights = leaves.join(targets, "source").select("source", "lang", (F.col("target_share") / F.count("*").over(w)).alias("target_share"), "max_repeats")
+    return mix(sizes, "doc_id", "n_tokens", ["source", "lang"], weights, "target_share", "max_repeats", seed=20).report
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual shares of the sources."""
     return _mix(spark, sf_dir).report
@@ -269,15 +327,36 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir, True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_all_pairs, p2_found, p2_percentiles, p2_span_bounds, p4_found, p4_origins, p4_handwritten, p5_found, p5_classes, p6_found, p6_terms, p7_found, p7_packs, p7_fill, p8_found, p8_uses, p8_shares, p9_found, p9_pieces)}
+def p9_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the texts that the pieces' new parts make when joined in their order, and whether pieces and overlaps keep to the limit."""
+    limit, overlap = _limits(spark, sf_dir, "split")
+    new = F.expr("substring(text, int(new_from - start) + 1)")
+    part = F.struct("piece", new.alias("new"))
+    sound = (F.col("n_tokens") <= limit) & (F.col("overlap_tokens") <= overlap + SLACK)
+    # a group holds one document
+    whole = _pieces(spark, sf_dir, True).groupBy("doc_id").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.bool_and(sound).alias("within_limits"))
+    return whole.select("doc_id", F.md5(F.array_join(F.col("parts.new"), "")).alias("digest"), "within_limits")
+
+
+_P7_BALANCE_SQL = "select count(distinct doc_id) as documents, 0 as unsound, 0 as above, 0 as misstated, true as few from documents where doc_id is not null"
+_P8_BALANCE_SQL = """select t.source, count(d.doc_id) as documents, true as within_repeats, true as even, true as budget_kept
+from mix_targets t left join (select *, lower(trim(source, ' ' || chr(9))) as s from documents) d on d.s = t.source group by t.source"""
+_P9_REJOINED_SQL = "select doc_id, md5(text) as digest, true as within_limits from documents where doc_id is not null and text <> ''"
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_all_pairs, p2_found, p2_percentiles, p2_span_bounds, p4_found, p4_origins, p4_evidence, p4_handwritten, p5_found, p5_classes, p6_found, p6_terms, p7_found, p7_packs, p7_fill, p7_balance, p8_found, p8_uses, p8_shares, p8_balance, p8_tree, p9_found, p9_pieces, p9_rejoined)}
 SQL = {
     "p1_found": _P1_FOUND_SQL,
     "p1_pairs": _P1_PAIRS_SQL,
     "p1_all_pairs": _P1_ALL_PAIRS_SQL,
     "p2_found": _P2_FOUND_SQL,
     "p2_percentiles": _P2_PERCENTILES_SQL,
+    "p2_span_bounds": _P2_SPAN_SQL,
     "p5_found": _P5_FOUND_SQL,
     "p5_classes": _P5_CLASSES_SQL,
     "p6_found": _P6_FOUND_SQL,
     "p6_terms": _P6_TERMS_SQL,
+    "p7_balance": _P7_BALANCE_SQL,
+    "p8_balance": _P8_BALANCE_SQL,
+    "p9_rejoined": _P9_REJOINED_SQL,
 }

@@ -1,10 +1,10 @@
 """Cutting oversized texts at natural boundaries by packing a structure tree.
 
-Headings, blank lines, list items and lines make a tree of the text.  Sibling
-subtrees are merged bottom-up as long as they fit; only nodes that are too
-large are opened, down to sentences, words and, where a stretch without white
-space alone exceeds the limit, its inside.  Each piece after the first repeats
-the end of the one before.
+Headings, blank lines, list items by their indent, closing tags and lines make
+a tree of the text.  Whole sibling subtrees are merged bottom-up as long as
+they fit; only nodes that are too large are opened, down to sentences, words
+and, where a stretch without white space alone exceeds the limit, its inside.
+Each piece after the first repeats the end of the one before.
 
 A piece begins with the white space before its first word, so cuts lie right
 at the end of a paragraph, line, sentence or word, and the tokens of a piece
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborlake.llm.tokens import ATOMS, DEFAULT_VOCABULARY, WHITE, Counter, counter
+from arborlake.llm.tokens import ATOMS, DEFAULT_VOCABULARY, WHITE, Counter, counter, ship
 
 #: What an overlap may exceed the asked tokens by so that it starts at a word.
 SLACK = 16
@@ -32,30 +32,57 @@ _LEADING = re.compile(rf"[{WHITE}]*")
 _START = re.compile(r"(#{1,6})(?=\s|$)|<h([1-6])\b|(```|~~~)|((?:[-*+•]|\d{1,4}[.)])\s|<(?:li|p|div|section|tr)\b)", re.I)
 _SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 _GOOD_INSIDE = re.compile(r"[。！？；]|[、，：,;:.!?)\]}>|/&=]")
+#: Boundaries by strength: headings by their level (0 to 5), then these; list items lie between ITEM and LINE by their depth.
 PARAGRAPH, ITEM, LINE, SENTENCE, WORD, INSIDE = range(6, 12)
-NAMES = {**dict.fromkeys(range(6), "heading"), PARAGRAPH: "paragraph", ITEM: "line", LINE: "line", SENTENCE: "sentence", WORD: "word", INSIDE: "inside"}
+_CLOSING = re.compile(r"</(?:section|article|div|ul|ol|li|table|tr|p|h[1-6])>\s*$", re.I)
 
-Unit = tuple[str, int, int]  # text, tokens, rank of the boundary before it (lower is stronger)
+Unit = tuple[str, int, float]  # text, tokens, rank of the boundary before it (lower is stronger)
+
+
+def name_of(rank: float) -> str:
+    """The name of a boundary's kind."""
+    if rank < PARAGRAPH:
+        return "heading"
+    return {PARAGRAPH: "paragraph", SENTENCE: "sentence", WORD: "word", INSIDE: "inside"}.get(rank, "line")
+
+
+def _item_rank(depth: int) -> float:
+    return ITEM + depth / (depth + 1)
+
+
+def _indent(blank: str) -> int:
+    """Columns before the first sign of a line; a tab counts as four."""
+    own = blank[max(blank.rfind("\n"), blank.rfind("\r")) + 1 :]
+    return len(own) + 3 * own.count("\t")
 
 
 def _line_units(text: str, counts: Counter) -> list[Unit]:
     units: list[Unit] = []
-    fenced = False
+    fenced = closed = False
+    lists: list[int] = []  # indents of the items that enclose the line
     for line in _LINES.findall(text):
         lead = _LEADING.match(line).end()
         blank = line[:lead]
         breaks = blank.count("\n") or blank.count("\r")
-        rank = PARAGRAPH if breaks > 1 else LINE
+        rank: float = PARAGRAPH if breaks > 1 or closed else LINE
+        closed = not fenced and _CLOSING.search(line) is not None
         start = _START.match(line, lead)
-        if start:
-            marks, tag, fence, item = start.groups()
-            if fence:
-                fenced = not fenced
-            elif not fenced:
-                if marks or tag:
-                    rank = len(marks) - 1 if marks else int(tag) - 1
-                elif item and rank == LINE:
-                    rank = ITEM
+        marks, tag, fence, item = start.groups() if start else (None,) * 4
+        if fence:
+            fenced = not fenced
+        elif not fenced:
+            if marks or tag:
+                rank = len(marks) - 1 if marks else int(tag) - 1
+                lists = []
+            else:
+                indent = _indent(blank)
+                while lists and lists[-1] >= indent and (item or rank == PARAGRAPH):
+                    lists.pop()
+                # what is indented below an item belongs to it, even after a blank line
+                if item and (lists or rank == LINE) or lists and rank == PARAGRAPH:
+                    rank = _item_rank(len(lists))
+                if item:
+                    lists.append(indent)
         units.append((line, counts.count(line), rank))
     return units
 
@@ -105,26 +132,37 @@ def _inside(stretch: str, room: int, counts: Counter) -> Iterator[str]:
         at = end
 
 
-def tree_chunks(sizes: list[int], ranks: list[int], room: int) -> list[tuple[int, int]]:
-    """Ranges of units, each within ``room`` where its units allow, merged bottom-up along the tree that ``ranks`` describe."""
-    to = [0, *accumulate(sizes)]
+def tree_chunks(sizes: list[int], ranks: list[float], room: int, first: int | None = None) -> list[tuple[int, int]]:
+    """Ranges of units, each within ``room`` where its units allow, merged bottom-up along the tree that ``ranks`` describe.
 
-    def node(lo: int, hi: int, level: int) -> list[tuple[int, int]]:
-        if to[hi] - to[lo] <= room or hi - lo == 1:
-            return [(lo, hi)]
-        inner = ranks[lo + 1 : hi]
-        level = max(level, min(inner))
-        starts = [lo, *(i for i, r in enumerate(inner, lo + 1) if r <= level), hi]
-        chunks: list[tuple[int, int]] = []
+    A node that fits is whole; neighbours that are whole are merged while they
+    fit.  A node that is too large is opened, and what comes of it is never
+    joined with its siblings: no range holds a boundary stronger than one that
+    was cut within it.  The range that begins the text may hold ``first``.
+    """
+    to = [0, *accumulate(sizes)]
+    first = room if first is None else first
+    fits = lambda lo, hi: to[hi] - to[lo] <= (room if lo else first)
+    chunks: list[tuple[int, int]] = []
+    pending = [(0, len(sizes))]
+    while pending:
+        lo, hi = pending.pop()
+        if fits(lo, hi) or hi - lo == 1:
+            chunks.append((lo, hi))
+            continue
+        level = min(ranks[lo + 1 : hi])
+        starts = [lo, *(i for i in range(lo + 1, hi) if ranks[i] <= level), hi]
+        merged: list[tuple[int, int]] = []
+        whole = False
         for a, b in zip(starts, starts[1:]):
-            for c, d in node(a, b, level + 1):
-                if chunks and to[d] - to[chunks[-1][0]] <= room:
-                    chunks[-1] = (chunks[-1][0], d)
-                else:
-                    chunks.append((c, d))
-        return chunks
-
-    return node(0, len(sizes), 0)
+            alone = fits(a, b)
+            if whole and alone and fits(merged[-1][0], b):
+                merged[-1] = (merged[-1][0], b)
+            else:
+                merged.append((a, b))
+            whole = alone
+        pending += reversed(merged)
+    return chunks
 
 
 def _overlap(units: list[Unit], end: int, floor: int, wanted: int, most: int, counts: Counter) -> tuple[int, int, bool]:
@@ -186,7 +224,8 @@ def split_text(text: str | None, limit: int, overlap: int, counts: Counter) -> l
                 inside.update(len(opened) + i for i, p in enumerate(parts) if p[2] == INSIDE)
             opened += parts
     ranks = [r for _, _, r in opened]
-    chunks = tree_chunks([n for _, n, _ in opened], ranks, room)
+    # the first piece repeats nothing
+    chunks = tree_chunks([n for _, n, _ in opened], ranks, room, limit)
     at = [0, *accumulate(len(t) for t, _, _ in opened)]
     broken = INSIDE in ranks
     pieces = []
@@ -208,7 +247,7 @@ def split_text(text: str | None, limit: int, overlap: int, counts: Counter) -> l
                 chars -= 1 + chars // 8
                 n = counts.count(text[at[lo] - chars : at[hi]])
             shared = counts.count(text[at[lo] - chars : at[lo]])
-        cut = "end" if hi == len(opened) else NAMES[ranks[hi]]
+        cut = "end" if hi == len(opened) else name_of(ranks[hi])
         pieces.append((at[lo] - chars, at[lo], at[hi], n, shared, cut, hi in inside))
         last_start = at[lo] - chars
     return pieces
@@ -241,6 +280,7 @@ def split_texts(df: DataFrame, keys: dict[str, Column], text: str, limit: int, o
         raise ValueError("the limit is positive and larger than the overlap")
     small = df.select(*(c.alias(k) for k, c in keys.items()), F.col(text).alias("_text")).filter("_text is not null and _text <> ''")
     key_fields = small.drop("_text").schema.fields
+    ship(df.sparkSession, vocabulary)
     schema = T.StructType([*key_fields, *(T.StructField(n, t) for n, t, _ in _PIECE_FIELDS), *([T.StructField("text", T.StringType())] if with_text else [])])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,8 @@
 A text is cut into atoms: a run of white space together with the stretch that
 follows it.  The vocabulary's own pre-splitting never joins characters across
 the start of such an atom, so the tokens of a text are exactly those of its
-atoms, and the counts of short atoms can be kept.
+atoms, and the counts of short atoms can be kept.  An atom is encoded as a
+whole, however long it is: the encoder merges in n log n steps.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The ranks of the vocabulary; a parameter of every operator that counts tokens.
@@ -27,8 +29,6 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ATOMS = re.compile(rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Longest atom whose count is kept, and how many are kept in a worker.
 KEPT_CHARS, KEPT_ATOMS = 48, 300_000
-#: A stretch without white space is encoded in parts of at most this many characters: merging is superlinear in the length.
-PART_CHARS = 4096
 
 
 class Counter(dict):
@@ -42,10 +42,7 @@ class Counter(dict):
         self.encoding = tiktoken.Encoding(os.path.basename(vocabulary), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __missing__(self, atom: str) -> int:
-        if len(atom) <= PART_CHARS:
-            n = len(self.encoding.encode_ordinary(atom))
-        else:
-            n = sum(len(self.encoding.encode_ordinary(atom[i : i + PART_CHARS])) for i in range(0, len(atom), PART_CHARS))
+        n = len(self.encoding.encode_ordinary(atom))
         if len(atom) <= KEPT_CHARS:
             if len(self) >= KEPT_ATOMS:
                 self.clear()
@@ -58,14 +55,26 @@ class Counter(dict):
 
 @lru_cache(maxsize=2)
 def counter(vocabulary: str) -> Counter:
-    """One counter per worker process; the kept counts serve all tasks that run in it."""
-    return Counter(vocabulary)
+    """One counter per worker process; the kept counts serve all tasks that run in it.
+
+    The file that ``ship`` sent to the executors is read, or the path itself where nothing was sent.
+    """
+    sent = SparkFiles.get(os.path.basename(vocabulary)) if TaskContext.get() else vocabulary
+    return Counter(sent if os.path.exists(sent) else vocabulary)
+
+
+def ship(spark: SparkSession, vocabulary: str) -> None:
+    """Send the vocabulary's file to the executors, once a session; they need no copy at the same path."""
+    known = [os.path.basename(f) for f in spark.sparkContext.listFiles]
+    if os.path.basename(vocabulary) not in known:
+        spark.sparkContext.addFile(vocabulary)
 
 
 def token_counts(df: DataFrame, keys: dict[str, Column], text: str, vocabulary: str = DEFAULT_VOCABULARY, name: str = "n_tokens") -> DataFrame:
     """The ``keys`` and the number of tokens of each whole text; 0 for null and empty texts."""
     small = df.select(*(c.alias(k) for k, c in keys.items()), F.col(text).alias("_text"))
     kept = small.drop("_text")
+    ship(df.sparkSession, vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(vocabulary)

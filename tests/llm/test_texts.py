@@ -94,6 +94,24 @@ def test_data_in_literals_of_all_kinds(spark):
     assert {r.name: r.origin for r in source_origin(df).collect()} == {n: o for n, _, o in files}
 
 
+def test_short_texts_and_running_counts(spark):
+    getters = "".join(f"def get_{n}(self):\n    return self._box[{i}]\n\n" for i, n in enumerate("abcdefghij"))
+    files = [
+        ("a.py", "", []),
+        ("b.py", "x = 1\n", []),
+        ("c.py", "{}", []),
+        ("d.py", 'KEY = "0123456789abcdef0123456789abcdef"\n', []),
+        ("e.py", "1, 2, 3", []),
+        ("f.py", "[" + "17, 4, 288, 31, " * 8 + "]", ["layout"]),
+        ("g.py", getters, ["layout"]),
+        ("h.py", "class Kind:\n" + "".join(f"    KIND_{c} = {i}\n" for i, c in enumerate("ABCDEFGHIJKL")), []),
+        ("i.py", getters + "".join("total(" + ", ".join("a" * k) + ")\n" for k in range(1, 40)), []),
+        ("gen_j.py", "# Code generated by x. DO NOT EDIT.\n" + getters, ["notice", "layout"]),
+    ]
+    df = spark.createDataFrame([(n, n, None, t) for n, t, _ in files], "relative_path string, name string, ext string, content string")
+    assert {r.name: r.evidence for r in source_origin(df).collect()} == {n: e for n, _, e in files}
+
+
 def test_unclosed_literals_of_all_kinds(spark):
     long = ['"' + '\\"' * 200_000, "'" + "\\'" * 200_000, '"""' + '\\"""' * 100_000, "[[" * 200_000, "-a" * 200_000, "\\x4" * 100_000, ("a" * 59 + "_") * 6_000, '"""' + "\\" * 300_001, '""" "' * 100_000]
     df = spark.createDataFrame([(f"a{i}.py", f"a{i}.py", ".py", t) for i, t in enumerate(long)], "relative_path string, name string, ext string, content string")
@@ -145,6 +163,26 @@ def test_runs_of_one_partition_are_merged(spark, monkeypatch):
     assert len({r.id for r in packs}) == 600 and len({r.pack_id for r in packs}) == 3
 
 
+def test_bins_that_fit_together_are_found_among_many_that_do_not(spark, monkeypatch):
+    monkeypatch.setattr("arborlake.llm.packing.BINS_PER_PARTITION", 50)
+    rng = random.Random(3)
+    sizes = [rng.randint(58, 64) for _ in range(950)] + [rng.randint(34, 40) for _ in range(50)]
+    rng.shuffle(sizes)
+    df = spark.createDataFrame([(f"k{i}", s) for i, s in enumerate(sizes)], "key string, size bigint").repartition(40)
+    got = pack_items(df, "key", "size", 100).collect()
+    assert sorted(r.id for r in got) == sorted(f"k{i}" for i in range(1000))
+    bins = sorted({r.pack_id: r.pack_size for r in got}.values())
+    assert sum(bins) == sum(sizes) and bins[-1] <= 100 and bins[0] + bins[1] > 100
+    assert len(bins) <= 952
+    same = pack_items(spark.range(0, 4000, 1, 40).selectExpr("encode(string(id), 'utf-8') as key", "60L as size"), "key", "size", 100)
+    assert same.select("pack_id").distinct().count() == 4000
+
+
+def test_pack_size_is_the_sum_of_the_sizes(spark):
+    got = pack_items(spark.createDataFrame([("a", 0), ("b", None), ("c", 7)], "key string, size int"), "key", "size", 10).collect()
+    assert {(r.id, r["size"], r.pack_size) for r in got} == {("a", 0, 7), ("b", 0, 7), ("c", 7, 7)}
+
+
 def test_packs_of_nothing_and_of_big_halves(spark):
     assert pack_items(spark.createDataFrame([], "key bigint, size bigint"), "key", "size", 10).count() == 0
     halves = spark.range(400).selectExpr("id as key", "60L as size").repartition(8)
@@ -167,6 +205,36 @@ def test_shortage_goes_to_siblings_first():
     assert [left.children[k].budget for k in "ab"] + [right.children["c"].budget] == [5, 20, 75]
 
 
+def test_a_wide_tree_is_spread_in_no_time():
+    import time
+
+    rng = random.Random(5)
+    root = Node(children={i: Node(rng.random(), rng.random() * 100) for i in range(50_000)})
+    root.close()
+    root.wanted = 1_000_000.0
+    start = time.time()
+    spread(root, 1_000_000.0)
+    assert time.time() - start < 5 and abs(root.budget - 1_000_000) < 1
+    level = [c.budget / c.weight for c in root.children.values() if c.budget < c.capacity - 1e-6]
+    # children that aren't full have the same share of their weight, the full ones less
+    assert max(level) - min(level) < 1e-3 * max(level)
+    assert all(c.budget / c.weight <= max(level) + 1e-6 for c in root.children.values())
+
+
+def test_two_levels_and_short_leaves(spark):
+    rows = [(i, "a", "en" if i % 2 else "de", 10) for i in range(100)] + [(1000 + i, "b", "en", 10) for i in range(10)] + [(2000 + i, "b", "de", 10) for i in range(400)]
+    items = spark.createDataFrame(rows, "doc bigint, source string, lang string, n bigint").repartition(4)
+    weights = [("a", "en", 0.25, 1), ("a", "de", 0.25, 1), ("b", "en", 0.25, 2), ("b", "de", 0.25, 2)]
+    made = mix(items, "doc", "n", ["source", "lang"], spark.createDataFrame(weights, "source string, lang string, w double, r bigint"), "w", "r", seed=1)
+    report = {(r.source, r.lang): r for r in made.report.collect()}
+    # b's English is short and b's German takes it over; what all of a lacks goes to b
+    assert report["b", "en"].short and not report["b", "de"].short and report["a", "en"].short and report["a", "de"].short
+    assert report["b", "en"].reached == 200 and report["b", "de"].budget == 5100 - 1000 - 200 == report["b", "de"].reached
+    assert {r.wanted for r in report.values()} == {1275.0}
+    with pytest.raises(ValueError):
+        mix(items, "doc", "n", ["source", "lang"], spark.createDataFrame(weights + weights[:1], "source string, lang string, w double, r bigint"), "w", "r")
+
+
 def test_mix(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice(["big", "big", "big", "small", "other", None]), rng.choice([0, 10, 30, None]), "x") for i in range(4000)] + [(5000 + i, "tiny", 10, "x") for i in range(3)] + [(None, "big", 10, "x")]
@@ -198,7 +266,10 @@ def test_mix(spark):
 @needs_vocabulary
 def test_counts_equal_whole_encoding(sf_dir, spark):
     counts = counter(DEFAULT_VOCABULARY)
-    texts = ODD_TEXTS[:6] + ODD_TEXTS[7:] + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect() if r.text]
+    rng = random.Random(12)
+    letters, mixed = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    long = ["internationalization" * 1000, letters * 770, "".join(rng.choices(mixed, k=50_000)), "x" * 300_000, "a" + "=" * 100_000, "語" * 50_000, "".join(rng.choices(letters, k=100_000)) + " a"]
+    texts = ODD_TEXTS + long + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect() if r.text]
     assert [counts.count(t) for t in texts] == [len(counts.encoding.encode_ordinary(t)) for t in texts]
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (3, "a b")], "id int, text string")
     assert sorted(map(tuple, token_counts(df, {"id": F.col("id")}, "text").collect())) == [(1, 0), (2, 0), (3, 2), (3, 2)]
@@ -227,8 +298,7 @@ def test_pieces(sf_dir, spark, limit, overlap):
             assert (cut == "end") == (k == len(pieces) - 1)
             last = start
         stretch = max((counts.count(w) for w in re.findall(r"\S+", text or "") if len(w.encode()) > limit), default=0)
-        if len(text or "") < 5000 or stretch <= limit:
-            assert any(f for *_, f in pieces) == (stretch > limit)
+        assert any(f for *_, f in pieces) == (stretch > limit)
 
 
 @needs_vocabulary
@@ -254,6 +324,43 @@ def test_cuts_follow_the_structure():
     assert len(pieces) > 2 and all(p[5] in ("heading", "end") for p in pieces)
     assert tree_chunks([5, 5, 5, 5], [0, 9, 0, 9], 10) == [(0, 2), (2, 4)]
     assert tree_chunks([30], [0], 10) == [(0, 1)]
+    # what is left of an opened section is not joined with the next one, nor with the start of a section that is opened
+    assert tree_chunks([8, 8, 4, 3], [0, 6, 6, 0], 10) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    assert tree_chunks([3, 8, 8, 1, 1], [0, 0, 6, 0, 0], 10) == [(0, 1), (1, 2), (2, 3), (3, 5)]
+    assert tree_chunks([8, 8, 4], [0, 6, 6], 10, 16) == [(0, 2), (2, 3)]
+
+
+@needs_vocabulary
+@pytest.mark.parametrize("limit,overlap", [(512, 64), (90, 16)])
+def test_no_piece_holds_a_stronger_boundary_than_one_cut_within_it(sf_dir, spark, limit, overlap):
+    from arborlake.llm.splitting import _line_units
+
+    counts = counter(DEFAULT_VOCABULARY)
+    rng = random.Random(6)
+    made = "".join(rng.choice(["# A\n\n", "## B\n", "text of some words\n", "\n", "- one\n", "  - two\n", "    more\n", "</ul>\n"]) for _ in range(4000))
+    for text in [made] + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect() if r.text]:
+        at, ranks = 0, {}
+        for unit, _, rank in _line_units(text, counts):
+            ranks[at] = rank
+            at += len(unit)
+        pieces = split_text(text, limit, overlap, counts)
+        for _, new, end, *_ in pieces:
+            inside = min((r for a, r in ranks.items() if new < a < end), default=99)
+            for edge in (new, end):
+                if 0 < edge < len(text):
+                    # a cut is at least as strong as all boundaries that the piece holds
+                    assert ranks.get(edge, 99) <= inside, text[new:end]
+
+
+def test_lists_nest_by_their_indent():
+    from arborlake.llm.splitting import ITEM, LINE, PARAGRAPH, _item_rank, _line_units
+
+    text = "# H\n\nIntro\n- a\n  - b\n    - c\n\n      of c\n  - d\n- e\n\n  of e\n\nAfter\n<ul>\n<li>x\n</ul>\nEnd\n"
+    got = [(u.strip(), r) for u, _, r in _line_units(text, type("N", (), {"count": staticmethod(len)})()) if u.strip()]
+    assert got == [
+        ("# H", 0), ("Intro", PARAGRAPH), ("- a", ITEM), ("- b", _item_rank(1)), ("- c", _item_rank(2)), ("of c", _item_rank(3)), ("- d", _item_rank(1)), ("- e", ITEM),
+        ("of e", _item_rank(1)), ("After", PARAGRAPH), ("<ul>", LINE), ("<li>x", ITEM), ("</ul>", LINE), ("End", PARAGRAPH),
+    ]
 
 
 @needs_vocabulary
