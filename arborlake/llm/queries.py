@@ -157,7 +157,8 @@ def p4_handwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _framework_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scans = one_per_key(read(spark, sf_dir, "scan_results").select("scan_id", "repo_id", "inventory.frameworks", "architecture.components"), ["scan_id"])
+    """The sets of all scans, copies included: these are told by their names, so the nested rows need not be shuffled."""
+    scans = read(spark, sf_dir, "scan_results").select("scan_id", "repo_id", "inventory.frameworks", "architecture.components").filter("scan_id is not null")
     name = F.concat(F.lit("s"), F.col("scan_id").cast("string"))
     whole = scans.select(name.alias("rec"), "repo_id", F.col("frameworks").alias("values"))
     parts = scans.select(name.alias("rec"), "repo_id", F.explode("components").alias("c"))
@@ -166,12 +167,12 @@ def _framework_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return set_similarity_pairs(_framework_sets(spark, sf_dir), "rec", _cleaned(F.col("values")), F.col("repo_id"), 0.75, 6).select("rec_a", "rec_b")
+    return set_similarity_pairs(_framework_sets(spark, sf_dir), "rec", _cleaned(F.col("values")), F.col("repo_id"), 0.75, 6, copies=True).select("rec_a", "rec_b")
 
 
 def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per record with its class of equal sets and the number of similar other classes."""
-    members, pairs = set_similarity_classes(_framework_sets(spark, sf_dir), "rec", _cleaned(F.col("values")), 0.75, 6)
+    members, pairs = set_similarity_classes(_framework_sets(spark, sf_dir), "rec", _cleaned(F.col("values")), 0.75, 6, copies=True)
     links = pairs.select(F.explode(F.array("sid_a", "sid_b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("links"))
     named = members.join(members.groupBy("sid").agg(F.min("record").alias("class")), "sid").join(links, "sid", "left")
     return named.select("record", "class", F.coalesce("links", F.lit(0)).alias("links"))

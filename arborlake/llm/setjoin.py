@@ -2,16 +2,20 @@
 
 Two sets whose Jaccard similarity reaches the threshold differ in at most H
 values, H following from their lengths.  The token universe is split by a hash
-into m segments, m = H // 2 + 1 for the length class of the larger set.  If
-every segment differed in two values or more, the sets would differ in more
-than H; so at least one segment is equal or becomes equal once one value is
-dropped from one side.  Joining on segment and one-deletion signatures thus
-loses no pair; candidates are verified exactly on the values.
+into m segments, m = H // 2 + 1 for the length class of the larger set.  The
+smaller set covers H + 1 differences: each segment it enters as it is covers
+one, each it enters with one-deletion signatures covers two.  If every entered
+segment differed in more than it covers, the sets would differ in more than H;
+so at least one segment is equal or, where it was entered so, becomes equal
+once one value is dropped from one side.  Joining on segment and one-deletion
+signatures thus loses no pair; candidates are verified exactly on the values.
 
 A segment that holds no value would match all others without one.  Each length
-class therefore has several independent splits: the smaller set is indexed
-under all of them, and the larger set picks the one where its segments are
-most even.  Equal sets are collapsed to one class before anything is joined.
+class therefore has independent splits: the smaller set is entered under all
+of them, and the larger set picks the one where its segments are most even.
+Equal sets are collapsed to one class before anything is joined; a class is
+named by the 128-bit digest of its set, so no numbering and no join with the
+records is needed to find a record's class.
 """
 
 from __future__ import annotations
@@ -26,15 +30,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.runtime import cut
-
 #: Independent splits of the universe for each length class.
-SPLITS = 3
+SPLITS = 2
 #: Length classes grow by this ratio; a class of short sets is a single length.
 CLASS_RATIO = 1.08
 
-_SIGNATURES = "signature bigint, deleted boolean, sid bigint, size int, bits bigint"
-_SCHEMA = pa.schema([("signature", pa.int64()), ("deleted", pa.bool_()), ("sid", pa.int64()), ("size", pa.int32()), ("bits", pa.int64())])
+_SIGNATURES = "signature bigint, sid binary, size int, bits bigint"
+_SCHEMA = pa.schema([("signature", pa.int64()), ("sid", pa.binary()), ("size", pa.int32()), ("bits", pa.int64())])
+# What a signature stands for: a segment as it is, the same where one value may differ, and one with a value dropped.
+_SAME, _NEAR, _DROPPED = range(3)
 
 
 def max_difference(larger: int, smaller: int, threshold: Fraction) -> int:
@@ -52,13 +56,14 @@ def length_class(length: int) -> int:
 
 
 @lru_cache(maxsize=100_000)
-def classes_of_partners(length: int, threshold: Fraction) -> tuple[tuple[int, int], ...]:
-    """Classes of the sets that may be the larger partner of one of ``length`` values, and their number of segments."""
+def classes_of_partners(length: int, threshold: Fraction) -> tuple[tuple[int, int, int], ...]:
+    """Classes of the sets that may be the larger partner of one of ``length`` values, their number of segments and the most values of difference."""
     most = int(length / threshold)
     tops = dict.fromkeys(length_class(n) for n in range(length, most + 1))
-    return tuple((top, segments(top, threshold)) for top in tops)
+    return tuple((top, segments(top, threshold), max_difference(min(top, most), length, threshold)) for top in tops)
 
 
+@lru_cache(maxsize=100_000)
 def segments(top: int, threshold: Fraction) -> int:
     return max_difference(top, top, threshold) // 2 + 1
 
@@ -69,74 +74,106 @@ def _hash(parts: list[int], *key: int) -> int:
 
 def _split(tokens: list[int], top: int, count: int, split: int) -> list[list[int]]:
     out: list[list[int]] = [[] for _ in range(count)]
-    salt = top * SPLITS + split
+    salt = (top * SPLITS + split) * 0x9E3779B97F4A7C15
     for t in tokens:
-        out[((t ^ (salt * 0x9E3779B97F4A7C15)) * 0xD6E8FEB86659FD93 >> 29 & 0xFFFFFFFF) % count].append(t)
+        out[((t ^ salt) * 0xD6E8FEB86659FD93 >> 29 & 0xFFFFFFFF) % count].append(t)
     return out
 
 
-def probes_of(tokens: list[int], threshold: Fraction) -> Iterator[tuple[int, bool]]:
-    """(signature, deleted) of a set of sorted 64-bit token hashes as the larger partner: those of its most even split."""
+def _dropped(part: list[int], *key: int) -> Iterator[int]:
+    for k in range(len(part)):
+        yield _hash(part[:k] + part[k + 1 :], *key, _DROPPED)
+
+
+def probes_of(tokens: list[int], threshold: Fraction) -> Iterator[int]:
+    """Signatures of a set of sorted 64-bit token hashes as the larger partner: those of its most even split, each segment in every way it may be met."""
     top = length_class(len(tokens))
     count = segments(top, threshold)
-    split = max(range(SPLITS), key=lambda s: min(map(len, _split(tokens, top, count, s))))
-    return _segment_signatures(_split(tokens, top, count, split), top, split)
+    split, parts = max(((s, _split(tokens, top, count, s)) for s in range(SPLITS)), key=lambda x: min(map(len, x[1])))
+    for i, part in enumerate(parts):
+        key = (top, split, i)
+        yield _hash(part, *key, _SAME)
+        yield _hash(part, *key, _NEAR)
+        # met by a segment that has one value less
+        for k in range(len(part)):
+            yield _hash(part[:k] + part[k + 1 :], *key, _NEAR)
+        # met by a segment of which one value was dropped
+        yield _hash(part, *key, _DROPPED)
 
 
-def entries_of(tokens: list[int], threshold: Fraction) -> Iterator[tuple[int, bool]]:
-    """(signature, deleted) of a set as the smaller partner: all splits of all classes that a larger partner may be in."""
-    for top, count in classes_of_partners(len(tokens), threshold):
+def entries_of(tokens: list[int], threshold: Fraction) -> Iterator[int]:
+    """Signatures of a set as the smaller partner: for all splits of all classes that a larger partner may be in, as many as cover the difference."""
+    for top, count, differ in classes_of_partners(len(tokens), threshold):
+        # every segment covers one value of difference; the largest, being the most telling, cover a second one
+        twice = differ + 1 - count
         for split in range(SPLITS):
-            yield from _segment_signatures(_split(tokens, top, count, split), top, split)
-
-
-def _segment_signatures(parts: list[list[int]], top: int, split: int) -> Iterator[tuple[int, bool]]:
-    for i, part in enumerate(parts):
-        yield _hash(part, top, split, i), False
-        for k in range(len(part)):
-            yield _hash(part[:k] + part[k + 1 :], top, split, i), True
+            parts = _split(tokens, top, count, split)
+            order = sorted(range(count), key=lambda i: -len(parts[i]))
+            if twice < 0:
+                order = order[: differ + 1]
+            for rank, i in enumerate(order):
+                if rank < twice:
+                    yield _hash(parts[i], top, split, i, _NEAR)
+                    yield from _dropped(parts[i], top, split, i)
+                else:
+                    yield _hash(parts[i], top, split, i, _SAME)
 
 
 def _signatures(make, threshold: Fraction):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        known: dict[str, int] = {}
+        columns: tuple[list, list, list, list] = ([], [], [], [])
         for batch in batches:
             for sid, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes = sorted(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in tokens)
+                hashes = []
+                for t in tokens:
+                    h = known.get(t)
+                    if h is None:
+                        h = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))
+                        if len(t) <= 64:
+                            if len(known) >= 200_000:
+                                known.clear()
+                            known[t] = h
+                    hashes.append(h)
+                hashes.sort()
                 bits = 0
                 for h in hashes:
                     bits |= 1 << (h >> 58)
                 bits -= (bits >> 63) << 64
-                rows += [(*x, sid, len(hashes), bits) for x in dict.fromkeys(make(hashes, threshold))]
-                if len(rows) > 50_000:
-                    yield _batch(rows)
-                    rows = []
-        if rows:
-            yield _batch(rows)
+                made = list(dict.fromkeys(make(hashes, threshold)))
+                n = len(made)
+                for column, values in zip(columns, (made, [sid] * n, [len(hashes)] * n, [bits] * n)):
+                    column += values
+                if len(columns[0]) > 50_000:
+                    yield _batch(columns)
+                    columns = ([], [], [], [])
+        if columns[0]:
+            yield _batch(columns)
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
+def _batch(columns: tuple[list, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
 
-def set_classes(df: DataFrame, record: str, values: Column, min_size: int = 1, extra: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def set_classes(df: DataFrame, record: str, values: Column, min_size: int = 1, group: Column | None = None, copies: bool = False) -> tuple[DataFrame, DataFrame]:
     """Records collapsed to classes of equal sets.
 
-    Returns ``classes`` (``sid``, ``tokens``, ``members``) and ``members``
-    (``sid``, ``record`` and the ``extra`` columns).  Nulls within a list are
-    dropped, repeats count once, null lists and sets of fewer than ``min_size``
-    values are left out, as are rows with a null record.
+    Returns ``classes`` (``sid``, ``tokens`` and ``wide``: whether records of
+    different ``group`` have this set) and ``members`` (``sid``, ``record``,
+    ``group``).  Nulls within a list are dropped, repeats count once, null lists
+    and sets of fewer than ``min_size`` values are left out, as are rows with a
+    null record.  With ``copies`` a record that occurs several times with the
+    same values is one; only the narrow ``members`` are shuffled for that.
     """
-    named = [c.alias(k) for k, c in (extra or {}).items()]
-    rows = df.select(F.col(record).alias("record"), F.array_sort(F.array_distinct(F.array_compact(values))).alias("tokens"), *named)
+    own = F.lit(None).cast("string") if group is None else group
+    rows = df.select(F.col(record).alias("record"), F.array_sort(F.array_distinct(F.array_compact(values))).alias("tokens"), own.alias("group"))
     rows = rows.filter(F.col("record").isNotNull() & (F.size("tokens") >= max(1, min_size)))
-    rows = rows.withColumn("digest", F.sha2(F.to_json("tokens"), 256))
-    grouped = rows.groupBy("digest").agg(F.first("tokens").alias("tokens"), F.count("*").alias("members"))
-    classes = cut(grouped.withColumn("sid", F.monotonically_increasing_id()))
-    members = rows.select("digest", "record", *(extra or {})).join(classes.select("digest", "sid"), "digest").drop("digest")
-    return classes.select("sid", "tokens", "members"), members
+    rows = rows.withColumn("sid", F.unhex(F.md5(F.to_json("tokens"))))
+    classes = rows.groupBy("sid").agg(F.first("tokens").alias("tokens"), F.coalesce(F.min("group") < F.max("group"), F.lit(False)).alias("wide"))
+    members = rows.select("sid", "record", "group")
+    return classes, members.distinct() if copies else members
 
 
 def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
@@ -149,15 +186,14 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
         raise ValueError("the threshold lies above 0 and at most at 1")
     sets = classes.select("sid", "tokens")
     made = {
-        side: sets.mapInArrow(_signatures(make, exact), _SIGNATURES).select("signature", *(F.col(c).alias(f"{c}_{side}") for c in ("deleted", "sid", "size", "bits")))
+        side: sets.mapInArrow(_signatures(make, exact), _SIGNATURES).select("signature", *(F.col(c).alias(f"{c}_{side}") for c in ("sid", "size", "bits")))
         for side, make in (("a", entries_of), ("b", probes_of))
     }
     order = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("sid_a") < F.col("sid_b")))
     p, q = exact.numerator, exact.denominator
     # bits in which the two bitmaps differ never outnumber the values in which the sets differ
     near = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) * (q + p) <= (q - p) * (F.col("size_a") + F.col("size_b"))
-    once = ~(F.col("deleted_a") & F.col("deleted_b"))
-    candidates = made["a"].join(made["b"], "signature").filter(order & near & once).select("sid_a", "sid_b").distinct()
+    candidates = made["a"].join(made["b"], "signature").filter(order & near).select("sid_a", "sid_b").distinct()
     left = classes.select(F.col("sid").alias("sid_a"), F.col("tokens").alias("tokens_a"))
     right = classes.select(F.col("sid").alias("sid_b"), F.col("tokens").alias("tokens_b"))
     both = candidates.join(left, "sid_a").join(right, "sid_b")
@@ -166,25 +202,25 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     return both.filter(F.col("shared") * q >= F.col("united") * p).select("sid_a", "sid_b", "shared", "united")
 
 
-def set_similarity_classes(df: DataFrame, record: str, values: Column, threshold: float, min_size: int = 1, extra: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def set_similarity_classes(df: DataFrame, record: str, values: Column, threshold: float, min_size: int = 1, copies: bool = False) -> tuple[DataFrame, DataFrame]:
     """Members (record to class) and the similar pairs between classes; the form in which copies are not expanded."""
-    classes, members = set_classes(df, record, values, min_size, extra)
-    return members, similar_classes(classes, threshold)
+    classes, members = set_classes(df, record, values, min_size, copies=copies)
+    return members.drop("group"), similar_classes(classes, threshold)
 
 
-def set_similarity_pairs(df: DataFrame, record: str, values: Column, group: Column, threshold: float, min_size: int = 1) -> DataFrame:
+def set_similarity_pairs(df: DataFrame, record: str, values: Column, group: Column, threshold: float, min_size: int = 1, copies: bool = False) -> DataFrame:
     """Every pair of records of different ``group`` whose sets overlap by at least ``threshold`` (shared over united).
 
     Result: ``rec_a`` < ``rec_b`` as plain strings, ``shared`` and ``united``.
     Equal sets are joined as classes and only expanded at the end.  A null group
     differs from none, so such records have no pairs.  A record that occurs twice counts as
-    two; an empty table gives no rows.
+    two, unless ``copies`` says that its rows are the same; an empty table gives
+    no rows.
     """
-    classes, members = set_classes(df, record, values, min_size, {"group": group})
+    classes, members = set_classes(df, record, values, min_size, group, copies)
     members = members.filter("group is not null")
-    # only the groups' count is needed to skip classes that lie within one group
-    wide = members.groupBy("sid").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("sid")
-    own = classes.join(wide, "sid").select(F.col("sid").alias("sid_a"), F.col("sid").alias("sid_b"), F.size("tokens").alias("shared"), F.size("tokens").alias("united"))
+    # classes whose records are all of one group have no pairs of their own
+    own = classes.filter("wide").select(F.col("sid").alias("sid_a"), F.col("sid").alias("sid_b"), F.size("tokens").alias("shared"), F.size("tokens").alias("united"))
     pairs = similar_classes(classes, threshold).unionByName(own)
     a = members.select(F.col("sid").alias("sid_a"), F.col("record").alias("r_a"), F.col("group").alias("g_a"))
     b = members.select(F.col("sid").alias("sid_b"), F.col("record").alias("r_b"), F.col("group").alias("g_b"))

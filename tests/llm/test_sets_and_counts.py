@@ -36,6 +36,49 @@ def test_pairs_equal_brute_force(spark, monkeypatch, bound):
     assert {(r.item_a, r.item_b): (r.n_a, r.n_b, r.n_ab, r.n_records) for r in got} == brute_pairs(rows)
 
 
+def test_a_long_record_stays_within_the_bound(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(co, "MAX_TASK_ENTRIES", 500)
+    monkeypatch.setattr(co, "SEGMENT_ENTRIES", 16)
+    held = []
+    send = co._send
+    monkeypatch.setattr(co, "_send", lambda stripes, block: (held.append(sum(map(len, stripes.values()))), *send(stripes, block))[1:])
+    names = [f"i{k:03}" for k in range(600)]
+    batches = list(co._build([pa.RecordBatch.from_arrays([pa.array([names, names[:3]])], names=["items"])]))
+    assert max(held) <= 1000 and len(held) > 250
+    rows = sorted((tuple(r.values()) for b in batches for r in b.to_pylist()), key=lambda r: r[:3])
+    assert max(len(r[3]) for r in rows) < 200
+    pairs = Counter()
+    for b in co._merge([co._batch(rows, co._STRIPES)]):
+        pairs.update({(r["item_a"], r["item_b"]): r["n_ab"] for r in b.to_pylist()})
+    want = Counter(combinations(names, 2)) + Counter(combinations(names[:3], 2))
+    assert pairs == want
+
+
+def test_ranks_are_whole_numbers(spark):
+    from arborlake.llm.percentiles import rank_of
+
+    cases = [(0.55, 3_281_387_000), (0.55, 5_000_000_000), (0.9, 10), (0.1, 3), (0.999999, 9_000_000_000_000), (0.0, 5), (1.0, 7), (0.5, 1), (1e-6, 4_000_000)]
+    df = spark.createDataFrame([(n,) for _, n in cases], "n bigint")
+    for q, n in cases:
+        got = df.filter(F.col("n") == n).select(rank_of(q, F.col("n")).alias("r")).first().r
+        assert got == max(1, math.ceil(Fraction(str(q)) * n)), (q, n)
+
+
+def test_more_targets_than_are_broadcast(spark, monkeypatch):
+    from arborlake.llm import percentiles
+
+    monkeypatch.setattr(percentiles, "MAX_BROADCAST_ROWS", 10)
+    rng = random.Random(8)
+    rows = [(f"g{rng.randint(0, 30)}", rng.gauss(0, 10**6)) for _ in range(3000)]
+    held = {}
+    for g, v in rows:
+        held.setdefault(g, []).append(v)
+    got = {(r["g"], r["q"]): r["value"] for r in radix_percentiles(spark.createDataFrame(rows, "g string, v double"), {"g": F.col("g")}, "v", [0.5, 0.99]).collect()}
+    assert got == {(g, q): brute_percentile(v, q) for g, v in held.items() for q in (0.5, 0.99)}
+
+
 def test_significance(spark):
     rows = [(i, ["x", "y"] if i < 10 else ["x"] if i < 20 else ["z"], 0) for i in range(100)]
     r = next(r for r in cooccurrence(spark.createDataFrame(rows, ITEMS), "record", "items").collect() if (r.item_a, r.item_b) == ("x", "y"))
@@ -137,8 +180,7 @@ def test_signatures_lose_no_pair(t):
             continue
         tried += 1
         small, large = sorted((a, b), key=len)
-        entries, probes = list(entries_of(sorted(small), exact)), list(probes_of(sorted(large), exact))
-        assert any(h == g and not (d and e) for h, d in entries for g, e in probes), (len(a), len(b))
+        assert set(entries_of(sorted(small), exact)) & set(probes_of(sorted(large), exact)), (len(a), len(b))
     assert tried > 300
 
 
@@ -172,6 +214,16 @@ def test_set_join_equals_brute_force(spark, t, least):
     assert pairs.count() == sum(similar(a, b, t) for a, b in combinations(classes, 2))
 
 
+def test_copies_of_records_count_once(spark):
+    rows = records()
+    df = spark.createDataFrame(rows + rows[::2], "rec string, items array<string>, g string").repartition(3)
+    once = spark.createDataFrame(rows, "rec string, items array<string>, g string")
+    pairs = lambda d, **k: sorted((r.rec_a, r.rec_b) for r in set_similarity_pairs(d, "rec", F.col("items"), F.col("g"), 0.75, **k).collect())
+    assert pairs(df, copies=True) == pairs(once)
+    members, _ = set_similarity_classes(df, "rec", F.col("items"), 0.75, copies=True)
+    assert members.count() == sum(r is not None and any(x is not None for x in items or []) for r, items, _ in rows)
+
+
 def test_set_join_of_nothing(spark):
     df = spark.createDataFrame([], "rec string, items array<string>, g string")
     assert set_similarity_pairs(df, "rec", F.col("items"), F.col("g"), 0.75).count() == 0
