@@ -10,36 +10,35 @@ from arborlake.operators.nested import flat_table, shred_records
 from arborlake.runtime import read
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred_records(read(spark, sf_dir, "raw_scans").filter("raw_id is not null"), ["raw_id"], "payload", RESULT)
+def _nodes(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return shred_records(read(spark, sf_dir, "raw_scans").filter("raw_id is not null"), ["raw_id"], "payload", RESULT, [table])
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = _nodes(spark, sf_dir).filter(f"table = '{ENTRY.name}' and parent_table = '{SCOPE.name}'").dropDuplicates(["raw_id", "row_id"])
-    up = F.size("lineage")
+    entries = _nodes(spark, sf_dir, ENTRY.name).filter(F.col("parent_table") == SCOPE.name).dropDuplicates(["raw_id", "row_id"])
     return entries.select(
         "raw_id",
-        F.get("lineage", F.lit(0)).alias("root_path"),
-        F.when(up > 2, F.get("lineage", up - 2)).otherwise("").alias("parent_path"),
-        F.get("lineage", up - 1).alias("component_path"),
+        F.col("top_key").alias("root_path"),
+        F.when(F.col("depth") > 2, F.col("above_key")).otherwise("").alias("parent_path"),
+        F.col("owner_key").alias("component_path"),
         F.get("values", F.lit(0)).alias("language"),
     )
 
 
 def p3_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_table(_nodes(spark, sf_dir), ["raw_id"], RESULT)
+    return flat_table(_nodes(spark, sf_dir, RESULT.name), ["raw_id"], RESULT)
 
 
 def p3_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_table(_nodes(spark, sf_dir), ["raw_id"], COMPONENT)
+    return flat_table(_nodes(spark, sf_dir, COMPONENT.name), ["raw_id"], COMPONENT)
 
 
 def p3_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_table(_nodes(spark, sf_dir), ["raw_id"], SCOPE)
+    return flat_table(_nodes(spark, sf_dir, SCOPE.name), ["raw_id"], SCOPE)
 
 
 def p3_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_table(_nodes(spark, sf_dir), ["raw_id"], ENTRY)
+    return flat_table(_nodes(spark, sf_dir, ENTRY.name), ["raw_id"], ENTRY)
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_results, p3_components, p3_scopes, p3_entries)}

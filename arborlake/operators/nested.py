@@ -1,10 +1,11 @@
 """Deeply nested semi-structured records as related flat tables.
 
-Each payload is parsed as a stream into triples of path, value and ordinal;
-the paths are grouped by their repeated ancestors, as a ``Shape`` names them,
-and each group is pivoted into one row that names its parent.  A record is
-whole within one task, so parsing, grouping and pivoting need no shuffle.  The
-parser keeps an explicit stack: depth is limited by memory alone.
+Each payload is parsed as a stream of triples of path, value and ordinal; the
+triples are grouped by their repeated ancestors, as a ``Shape`` names them, and
+each group is pivoted into one row that names its parent.  A path is a chain of
+links to the enclosing containers, so a triple costs the same at any depth, and
+no more than the open containers and the rows are ever held.  A record is whole
+within one task, so parsing, grouping and pivoting need no shuffle.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 from json.decoder import scanstring
 
 import pyarrow as pa
@@ -19,123 +21,171 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_BLANKS = re.compile(r"[ \t\n\r]*")
-_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?")
-_WORDS = {"t": ("true", True), "f": ("false", False), "n": ("null", None)}
-Path = tuple[str | int, ...]
-#: Stands as the value of a path that holds an object or a list.
-OBJECT, LIST = object(), object()
+_SPACE, _PLAIN = r"[ \t\n\r]*+", r'"([^"\\\x00-\x1f]*+)"'
+_SCALAR = rf"(?:{_PLAIN}|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?)|(true|false|null)|([{{\[]))"
+# A whole member or element at a time; what has escapes or is at fault is left to the slow steps.
+_MEMBER = re.compile(rf"{_SPACE}{_PLAIN}{_SPACE}:{_SPACE}{_SCALAR}")
+_NEXT_MEMBER = re.compile(rf"{_SPACE},{_SPACE}{_PLAIN}{_SPACE}:{_SPACE}{_SCALAR}")
+_ELEMENT = re.compile(rf"{_SPACE}(){_SCALAR}")
+_NEXT_ELEMENT = re.compile(rf"{_SPACE},{_SPACE}(){_SCALAR}")
+_BLANKS = re.compile(_SPACE)
+_WORDS = {"true": True, "false": False, "null": None}
+_STRING, _NUMBER, _WORD, _OPENING = range(2, 6)
 
 
 class NotJson(ValueError):
     pass
 
 
-def json_triples(text: str, at: Path = (), lenient: bool = False) -> Iterator[tuple[Path, object, int]]:
-    """(path, value, ordinal) of every object, list and scalar of a JSON text, in document order.
+class Place:
+    """A container and the way to it: the place of the container around it and the member name or list position there."""
 
-    A path holds member names and list positions; the ordinal is the position
-    among the siblings.  ``lenient`` passes over a comma right before a closing
-    bracket or brace.  Of members with the same name each is given.  Raises
-    ``NotJson``, possibly after some triples.
+    __slots__ = ("up", "step", "is_list", "state", "row")
+
+    def __init__(self, up: Place | None, step: str | int | None, is_list: bool):
+        self.up, self.step, self.is_list = up, step, is_list
+        # what the reader of the triples knows of it
+        self.state = self.row = None
+
+    def path(self) -> tuple[str | int, ...]:
+        steps, place = [], self
+        while place is not None:
+            if place.step is not None:
+                steps.append(place.step)
+            place = place.up
+        return tuple(reversed(steps))
+
+
+Triple = tuple[Place | None, str | int | None, object, int]
+
+
+def json_triples(text: str, lenient: bool = False, up: Place | None = None, at: str | int | None = None) -> Iterator[Triple]:
+    """(place, step, value, ordinal) of every object, list and scalar of a JSON text, in document order.
+
+    The path of a value is that of its ``place`` and the ``step`` from there;
+    the ordinal is the position among the siblings; objects and lists are
+    given as their own ``Place``.  ``lenient`` passes over a comma right before
+    a closing bracket or brace.  Of members with the same name each is given.
+    Raises ``NotJson``, possibly after some triples.
     """
-    i, end = _BLANKS.match(text, 0).end(), len(text)
-    stack: list[list] = []  # [path of the container, closing sign, number of its values so far]
-    path, ordinal = at, 0
-    while True:
-        # a value starts at i
+    value, i = _slow_value(text, _BLANKS.match(text, 0).end(), up, at)
+    yield up, at, value, 0
+    stack: list[tuple[Place, int]] = []
+    place, count = (value, 0) if value.__class__ is Place else (None, 0)
+    while place is not None:
+        is_list = place.is_list
+        first, later = (_ELEMENT, _NEXT_ELEMENT) if is_list else (_MEMBER, _NEXT_MEMBER)
+        found = (later if count else first).match(text, i)
+        while found:
+            kind = found.lastindex
+            step = count if is_list else found[1]
+            if kind == _STRING:
+                yield place, step, found[2], count
+            elif kind == _NUMBER:
+                yield place, step, _number(found[3]), count
+            elif kind == _WORD:
+                yield place, step, _WORDS[found[4]], count
+            else:
+                inner = Place(place, step, found[5] == "[")
+                yield place, step, inner, count
+                stack.append((place, count + 1))
+                place, count, i = inner, 0, found.end()
+                break
+            count += 1
+            i = found.end()
+            found = later.match(text, i)
+        if found:
+            continue
+        # no plain member follows: the container ends, or something is escaped or at fault
+        closing = "]" if is_list else "}"
+        i = _BLANKS.match(text, i).end()
         sign = text[i : i + 1]
-        if sign == '"':
-            try:
-                value, i = scanstring(text, i + 1, True)
-            except ValueError as e:
-                raise NotJson(str(e)) from None
-            yield path, value, ordinal
-        elif sign == "{" or sign == "[":
-            yield path, OBJECT if sign == "{" else LIST, ordinal
-            stack.append([path, "}" if sign == "{" else "]", 0])
-            i = _BLANKS.match(text, i + 1).end()
-            if lenient and text[i : i + 1] == ",":
-                after = _BLANKS.match(text, i + 1).end()
-                i = after if text[after : after + 1] == stack[-1][1] else i
-            if text[i : i + 1] != stack[-1][1]:
-                path, ordinal, i = _member(text, i, stack[-1])
-                continue
-            stack.pop()
+        if sign == ",":
+            after = _BLANKS.match(text, i + 1).end()
+            if text[after : after + 1] == closing:
+                if not lenient:
+                    raise NotJson(f"a comma before {closing} at {i}")
+                i, sign = after, closing
+            elif count:
+                i, sign = after, ""
+        elif not count and sign != closing:
+            sign = ""
+        if sign == closing:
             i += 1
-        elif sign in _WORDS:
-            word, value = _WORDS[sign]
-            if not text.startswith(word, i):
-                raise NotJson(f"no value at {i}")
-            i += len(word)
-            yield path, value, ordinal
+            place, count = stack.pop() if stack else (None, 0)
+            continue
+        if sign:
+            raise NotJson(f"neither comma nor {closing} at {i}")
+        if is_list:
+            step = count
         else:
-            found = _NUMBER.match(text, i)
-            if not found:
-                raise NotJson(f"no value at {i}")
-            i = found.end()
-            yield path, found.group() if found.group(1) or found.group(2) else _integer(found.group()), ordinal
-        # a value has ended
-        while True:
+            step, i = _string(text, i)
             i = _BLANKS.match(text, i).end()
-            if not stack:
-                if i != end:
-                    raise NotJson(f"more text at {i}")
-                return
-            sign, closing = text[i : i + 1], stack[-1][1]
-            if sign == ",":
-                i = _BLANKS.match(text, i + 1).end()
-                if text[i : i + 1] == closing:
-                    if not lenient:
-                        raise NotJson(f"a comma before {closing} at {i}")
-                    sign = closing
-                else:
-                    stack[-1][2] += 1
-                    path, ordinal, i = _member(text, i, stack[-1])
-                    break
-            if sign != closing:
-                raise NotJson(f"neither comma nor {closing} at {i}")
-            stack.pop()
-            i += 1
+            if text[i : i + 1] != ":":
+                raise NotJson(f"no colon at {i}")
+            i = _BLANKS.match(text, i + 1).end()
+        value, i = _slow_value(text, i, place, step)
+        yield place, step, value, count
+        if value.__class__ is Place:
+            stack.append((place, count + 1))
+            place, count = value, 0
+        else:
+            count += 1
+    i = _BLANKS.match(text, i).end()
+    if i != len(text):
+        raise NotJson(f"more text at {i}")
 
 
-def _integer(digits: str) -> int | str:
-    return int(digits) if len(digits) <= 19 else digits
+_ANY = re.compile("()" + _SCALAR)
 
 
-def _member(text: str, i: int, top: list) -> tuple[Path, int, int]:
-    """Path, ordinal and start of the next value within the container ``top``."""
-    if top[1] == "]":
-        return (*top[0], top[2]), top[2], i
+def _slow_value(text: str, i: int, up: Place | None, step: str | int | None) -> tuple[object, int]:
+    found = _ANY.match(text, i)
+    if not found:
+        return _string(text, i)
+    kind, end = found.lastindex, found.end()
+    if kind == _STRING:
+        return found[2], end
+    if kind == _NUMBER:
+        return _number(found[3]), end
+    if kind == _WORD:
+        return _WORDS[found[4]], end
+    return Place(up, step, found[5] == "["), end
+
+
+def _string(text: str, i: int) -> tuple[str, int]:
     if text[i : i + 1] != '"':
-        raise NotJson(f"no member name at {i}")
+        raise NotJson(f"no value or name at {i}")
     try:
-        name, i = scanstring(text, i + 1, True)
+        return scanstring(text, i + 1, True)
     except ValueError as e:
         raise NotJson(str(e)) from None
-    i = _BLANKS.match(text, i).end()
-    if text[i : i + 1] != ":":
-        raise NotJson(f"no colon at {i}")
-    return (*top[0], name), top[2], _BLANKS.match(text, i + 1).end()
 
 
-def read_triples(text: str | None, at: Path = ()) -> list[tuple[Path, object, int]] | None:
-    """All triples of a text that is JSON, strictly or but for commas before a closing sign; else None.
+def _number(digits: str) -> int | str:
+    """Whole numbers of up to 18 digits as such, others as they are written."""
+    return int(digits) if len(digits) <= 18 and digits.lstrip("-").isdigit() else digits
+
+
+def read_triples(text: str, up: Place | None = None, at: str | int | None = None) -> list[Triple] | None:
+    """All triples of a short text that is JSON, strictly or but for commas before a closing sign; else None.
 
     A string that itself holds JSON stands for what it holds.
     """
-    if text is None:
-        return None
     for lenient in (False, True):
         try:
-            triples = list(json_triples(text, at, lenient))
+            triples = list(json_triples(text, lenient, up, at))
         except NotJson:
             continue
-        if len(triples) == 1 and isinstance(triples[0][1], str) and triples[0][1] != text:
-            inner = triples[0][1].lstrip(" \t\n\r")[:1]
-            if inner in ("{", "[", '"'):
-                return read_triples(triples[0][1], at) or triples
-        return triples
+        inner = _held(triples[0][2], text) if len(triples) == 1 else None
+        return triples if inner is None else read_triples(inner, up, at) or triples
+    return None
+
+
+def _held(value: object, text: str) -> str | None:
+    """The text itself if a string may hold JSON."""
+    if isinstance(value, str) and value != text and value.lstrip(" \t\n\r")[:1] in ("{", "[", '"'):
+        return value
     return None
 
 
@@ -161,18 +211,20 @@ class Shape:
     anywhere: frozenset[str] = frozenset()
     recursive: tuple[str, str] | None = None  # (member, key field): children of the same shape
 
+    @cached_property
     def children(self) -> dict[str, tuple[Shape, str | None, bool]]:
         out = {k: (s, None, False) for k, s in self.single.items()} | {k: (s, f, True) for k, (s, f) in self.repeated.items()}
         return out | ({self.recursive[0]: (self, self.recursive[1], True)} if self.recursive else {})
 
     def shapes(self) -> dict[str, Shape]:
         out = {self.name: self}
-        for shape, _, _ in self.children().values():
+        for shape, _, _ in self.children.values():
             if shape.name not in out:
                 out |= shape.shapes()
         return out
 
 
+@lru_cache(maxsize=100_000)
 def canonical(name: str) -> str:
     """A member name in camelCase; names in snake_case are rewritten."""
     if "_" not in name:
@@ -181,122 +233,168 @@ def canonical(name: str) -> str:
     return head + "".join(x[:1].upper() + x[1:] for x in rest)
 
 
-class _Row:
-    __slots__ = ("shape", "id", "parent", "ordinal", "values")
+class Row:
+    """One row of a flat table; ``near`` is the closest enclosing row that has a key."""
+
+    __slots__ = ("shape", "number", "parent", "near", "top", "depth", "ordinal", "values")
 
-    def __init__(self, shape: Shape, row_id: Path, parent: _Row | None, ordinal: int):
-        self.shape, self.id, self.parent, self.ordinal, self.values = shape, row_id, parent, ordinal, {}
+    def __init__(self, shape: Shape, number: int, parent: Row | None, ordinal: int):
+        self.shape, self.number, self.parent, self.ordinal, self.values = shape, number, parent, ordinal, {}
+        self.near = None if parent is None else parent if parent.shape.key else parent.near
+        self.top = self if parent is None else parent.top
+        self.depth = 0 if self.near is None else self.near.depth + 1
 
+    def key(self) -> object:
+        return self.values.get(self.shape.key)
 
-def shred(text: str | None, root: Shape) -> list[_Row]:
+
+def shred(text: str | None, root: Shape) -> list[Row]:
     """The rows of one payload, parents before children; none if it can't be read."""
-    triples = read_triples(text)
-    if triples is None:
-        return []
-    rows: list[_Row] = []
-    # for each container: its row and the canonical path below it, or what its members are
-    places: dict[Path, tuple[_Row | None, str, tuple[Shape, str | None] | None]] = {}
-    wrappers: dict[Path, _Row] = {}
-
-    def visit(path: Path, value: object, ordinal: int) -> None:
-        if not path:
-            if value is OBJECT or value is LIST:
-                places[path] = (None, "", None)
-            return
-        above = path[:-1]
-        place = places.get(above)
+    while text is not None:
+        held = None
+        for lenient in (False, True):
+            rows: list[Row] = []
+            try:
+                only = _group(json_triples(text, lenient), root, rows)
+            except NotJson:
+                continue
+            if not isinstance(only, str):
+                return rows
+            held = _held(only, text)
+            break
+        text = held
+    return []
+
+
+def _group(triples: Iterable[Triple], root: Shape, rows: list[Row]) -> object:
+    """Add the rows that the triples make to ``rows``; the first value, for texts that are one scalar."""
+    # state of a container that is looked at: its row (none among wrappers), the member path below the row, what its elements are
+    anywhere = root.anywhere
+    top = None
+
+    def visit(place: Place | None, step: str | int | None, value: object, ordinal: int) -> None:
+        container = value.__class__ is Place
         if place is None:
+            if container:
+                value.state = (None, "", None)
             return
-        owner, below, members = place
-        step = path[-1]
+        owner, below, members = place.state
         if members is not None:  # an element of a repeated container
             shape, keyed = members
-            if value is not OBJECT and not isinstance(step, str):
-                return
-            row = _Row(shape, path, owner, ordinal)
-            rows.append(row)
-            if isinstance(step, str) and keyed:
-                row.values[keyed] = step
-            if value is OBJECT:
-                places[path] = (row, "", None)
+            is_object = container and not value.is_list
+            if is_object or step.__class__ is str:
+                row = Row(shape, len(rows), owner, ordinal)
+                rows.append(row)
+                if keyed and step.__class__ is str:
+                    row.values[keyed] = step
+                if is_object:
+                    value.state = (row, "", None)
             return
+        named = step.__class__ is str
+        name = canonical(step) if named else None
         if owner is None:  # among the wrappers
-            if isinstance(step, str) and canonical(step) in root.anywhere:
-                owner = wrappers.get(above)
+            if named and name in anywhere:
+                owner = place.row
                 if owner is None:
-                    owner = wrappers[above] = _Row(root, above, None, above[-1] if above and isinstance(above[-1], int) else 0)
+                    owner = place.row = Row(root, len(rows), None, place.step if place.step.__class__ is int else 0)
                     rows.append(owner)
             else:
-                if value is OBJECT or value is LIST:
-                    places[path] = (None, "", None)
+                if container:
+                    value.state = (None, "", None)
                 return
-        elif isinstance(step, int):
+        elif not named:
             return  # an element of a list that is no table
-        name = f"{below}.{canonical(step)}" if below else canonical(step)
+        if below:
+            name = f"{below}.{name}"
         shape = owner.shape
-        if isinstance(value, str) and name in shape.text:
-            inner = read_triples(value, path)
-            if inner and (inner[0][1] is OBJECT or inner[0][1] is LIST):
-                for triple in inner:
-                    visit(*triple)
-                return
-        child = shape.children().get(name) if value is OBJECT or value is LIST else None
-        if child is not None:
-            inner_shape, keyed, many = child
-            if many:
-                places[path] = (owner, "", (inner_shape, keyed))
-            elif value is OBJECT:
-                row = _Row(inner_shape, path, owner, 0)
-                rows.append(row)
-                places[path] = (row, "", None)
-        elif value is OBJECT:
-            places[path] = (owner, name, None)
-        elif value is not LIST and name in shape.fields and value is not None:
-            owner.values[name] = value
+        if not container:
+            if value.__class__ is str and name in shape.text:
+                inner = read_triples(value, place, step)
+                if inner and inner[0][2].__class__ is Place:
+                    for triple in inner:
+                        if triple[0] is place or triple[0].state is not None:
+                            visit(*triple)
+                    return
+            if value is not None and name in shape.fields:
+                owner.values[name] = value
+            return
+        child = shape.children.get(name)
+        if child is None:
+            if not value.is_list:
+                value.state = (owner, name, None)
+            return
+        inner_shape, keyed, many = child
+        if many:
+            value.state = (owner, "", (inner_shape, keyed))
+        elif not value.is_list:
+            row = Row(inner_shape, len(rows), owner, 0)
+            rows.append(row)
+            value.state = (row, "", None)
 
     for triple in triples:
-        visit(*triple)
-    return rows
+        place = triple[0]
+        if place is None:
+            top = triple[2]
+            visit(*triple)
+        elif place.state is not None:
+            visit(*triple)
+    return top
 
 
 def _text(value: object) -> str | None:
+    if value.__class__ is str:
+        return value if value.isascii() else value.encode("utf-8", "replace").decode()
     if value is None:
         return None
     if value is True or value is False:
         return "true" if value else "false"
-    return str(value).encode("utf-8", "replace").decode()
-
-
-_NODE_DDL = "table string, row_id string, parent_table string, parent_id string, ordinal bigint, lineage array<string>, values array<string>"
-
-
-def shred_records(df: DataFrame, keys: Sequence[str], payload: str, root: Shape) -> DataFrame:
-    """All rows of all tables: the ``keys`` of the record, ``table``, ``row_id``, ``parent_table``, ``parent_id``, ``ordinal``, ``lineage``, ``values``.
-
-    ``row_id`` is the place in the payload, unique within a record, so the
-    rows of a record's copies agree and can be made one by (keys, row_id).
-    ``lineage`` has the names of the enclosing rows, outermost first; ``values``
-    the fields in the order of the shape.  Payloads that are null, empty, cut
-    off or no JSON give no rows; null and missing fields are null; a repeated
-    object without members is a row with null fields; of members of the same
-    name the last counts; an empty table gives no rows.
+    return str(value)
+
+
+_NODES = pa.schema(
+    [
+        ("table", pa.string()), ("row_id", pa.int64()), ("parent_table", pa.string()), ("parent_id", pa.int64()), ("ordinal", pa.int64()), ("depth", pa.int32()),
+        ("top_key", pa.string()), ("above_key", pa.string()), ("owner_key", pa.string()), ("values", pa.list_(pa.string())),
+    ]
+)
+_NODE_DDL = "table string, row_id bigint, parent_table string, parent_id bigint, ordinal bigint, depth int, top_key string, above_key string, owner_key string, values array<string>"
+
+
+def shred_records(df: DataFrame, keys: Sequence[str], payload: str, root: Shape, tables: Sequence[str] | None = None) -> DataFrame:
+    """The rows of the named tables, all by default: the ``keys`` of the record, ``table``, ``row_id``, ``parent_table``, ``parent_id``, ``ordinal``,
+    ``depth``, ``top_key``, ``above_key``, ``owner_key``, ``values``.
+
+    ``row_id`` counts the rows of all tables within the payload, so the rows of
+    a record's copies agree and can be made one by (keys, row_id), and the
+    tables fit together whichever are asked for.  ``owner_key`` is the key of
+    the closest enclosing row that has one, ``above_key`` that of the one
+    around it, ``top_key`` that of the outermost row; ``depth`` counts the
+    enclosing rows with keys.  ``values`` are the fields in the order of the
+    shape.  Payloads that are null, empty, cut off or no JSON give no rows;
+    null and missing fields are null; a repeated object without members is a
+    row with null fields; of members of the same name the last counts; an
+    empty table gives no rows.
     """
     schema = T.StructType([*df.select(*keys).schema.fields, *T._parse_datatype_string(_NODE_DDL).fields])
+    wanted = None if tables is None else frozenset(tables)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
             out: list[tuple] = []
             origin: list[int] = []
-            for i in range(batch.num_rows):
-                for row in shred(texts[i].as_py(), root):
-                    lineage, up = [], row.parent
-                    while up is not None:
-                        if up.shape.key:
-                            lineage.append(_text(up.values.get(up.shape.key)))
-                        up = up.parent
-                    parent = row.parent
-                    out.append((row.shape.name, _place(row.id), parent and parent.shape.name, parent and _place(parent.id), row.ordinal, lineage[::-1], [_text(row.values.get(f)) for f in row.shape.fields]))
+            for i, text in enumerate(batch.column(batch.num_columns - 1)):
+                for row in shred(text.as_py(), root):
+                    shape = row.shape
+                    if wanted is not None and shape.name not in wanted:
+                        continue
+                    parent, near, values = row.parent, row.near, row.values
+                    above = near and near.near
+                    out.append(
+                        (
+                            shape.name, row.number, parent and parent.shape.name, parent and parent.number, row.ordinal, row.depth,
+                            _text(row.top.key()), _text(above.key()) if above else None, _text(near.key()) if near else None, [_text(values.get(f)) for f in shape.fields],
+                        )
+                    )
                     origin.append(i)
                 if len(out) > 20_000:
                     yield _node_batch(batch, origin, out)
@@ -307,18 +405,10 @@ def shred_records(df: DataFrame, keys: Sequence[str], payload: str, root: Shape)
     return df.select(*keys, payload).mapInArrow(run, schema)
 
 
-def _place(path: Path) -> str:
-    return "/" + "/".join(str(x).replace("~", "~0").replace("/", "~1") for x in path).encode("utf-8", "replace").decode()
-
-
-_NODE_TYPES = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
-_NODE_NAMES = ["table", "row_id", "parent_table", "parent_id", "ordinal", "lineage", "values"]
-
-
 def _node_batch(batch: pa.RecordBatch, origin: list[int], rows: list[tuple]) -> pa.RecordBatch:
     keys = batch.select(range(batch.num_columns - 1)).take(pa.array(origin, pa.int32()))
-    columns = [pa.array(c, t) for c, t in zip(zip(*rows), _NODE_TYPES)]
-    return pa.RecordBatch.from_arrays([*keys.columns, *columns], names=[*keys.schema.names, *_NODE_NAMES])
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _NODES)]
+    return pa.RecordBatch.from_arrays([*keys.columns, *columns], names=[*keys.schema.names, *_NODES.names])
 
 
 def flat_table(nodes: DataFrame, keys: Sequence[str], shape: Shape) -> DataFrame:

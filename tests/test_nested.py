@@ -1,13 +1,14 @@
 import json
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from arborlake.model import COMPONENT, ENTRY, RESULT, SCOPE
-from arborlake.operators.nested import LIST, OBJECT, NotJson, flat_table, json_triples, read_triples, shred, shred_records
+from arborlake.operators.nested import NotJson, Place, flat_table, json_triples, read_triples, shred, shred_records
 
 JSON = st.recursive(
     st.none() | st.booleans() | st.integers(-(10**15), 10**15) | st.text(alphabet=st.characters(exclude_categories=("Cs",))),
@@ -18,14 +19,19 @@ JSON = st.recursive(
 
 def rebuild(triples):
     """The value that a list of triples describes."""
-    made = {}
-    for path, value, _ in triples:
-        value = {} if value is OBJECT else [] if value is LIST else value
-        made[path] = value
-        if path:
-            above = made[path[:-1]]
-            above.append(value) if isinstance(above, list) else above.__setitem__(path[-1], value)
-    return made[()]
+    made, root = {}, None
+    for place, step, value, ordinal in triples:
+        plain = value
+        if isinstance(value, Place):
+            plain = made[value] = [] if value.is_list else {}
+        if place is None:
+            root = plain
+        elif place.is_list:
+            assert step == ordinal == len(made[place])
+            made[place].append(plain)
+        else:
+            made[place][step] = plain
+    return root
 
 
 @settings(max_examples=150, deadline=None)
@@ -45,9 +51,16 @@ def test_trailing_commas_are_passed_over(text, value):
     assert rebuild(read_triples(text)) == value
 
 
-@pytest.mark.parametrize("text", ["[1,,]", "[,,]", "[,1]", "[1", None, "", "  "])
+@pytest.mark.parametrize("text", ["[1,,]", "[,,]", "[,1]", "[1", "", "  ", '{"a":1,"b"', '{"a" :"\\x"}', '{,"a":1}', "[1]]", '{"a":1]', "truex", "[1.5.2]", '["a" "b"]'])
 def test_other_faults_stay(text):
-    assert read_triples(text) is None
+    assert read_triples(text) is None and shred(text, RESULT) == []
+
+
+def test_values_as_they_are_written():
+    text = '{"a\\u00e9": "x\\ny", "b": -1.50e+3, "c": 123456789012345678901, "d": [true, false, null, [], {}], "a": "\\"", "e":{"f":"\\\\"}}'
+    assert rebuild(json_triples(text)) == {"aé": "x\ny", "b": "-1.50e+3", "c": "123456789012345678901", "d": [True, False, None, [], {}], "a": '"', "e": {"f": "\\"}}
+    last = list(json_triples('{"a":[{"b":7}]}'))[-1]
+    assert (*last[0].path(), last[1]) == ("a", 0, "b") and last[2] == 7
 
 
 def test_a_string_that_holds_json_stands_for_it():
@@ -57,7 +70,14 @@ def test_a_string_that_holds_json_stands_for_it():
 
 
 def test_depth_is_no_limit():
-    assert len(read_triples("[" * 50_000 + "]" * 50_000)) == 50_000
+    start = time.time()
+    assert sum(1 for _ in json_triples("[" * 500_000 + "]" * 500_000)) == 500_000
+    text = '{"rootPath":"/r","architecture":' + '{"components":[{"path":"p","scoped":{"languageStats":{"perLanguage":[{"language":"Go"}]}},"x":' * 1 + "[" * 100_000 + "]" * 100_000 + "}]}}"
+    assert [r.shape.name for r in shred(text, RESULT)] == ["results", "components", "scopes", "entries"]
+    deep = '{"rootPath":"/r","architecture":{"components":[' + '{"path":"p","components":[' * 20_000 + "]}" * 20_000 + "]}}"
+    rows = shred(deep, RESULT)
+    assert len(rows) == 20_001 and rows[-1].depth == 20_000 and rows[-1].top is rows[0]
+    assert time.time() - start < 20
 
 
 PAYLOAD = {
@@ -100,22 +120,6 @@ def test_empty_table_gives_no_rows(spark):
     assert flat_table(shred_records(df, ["id"], "payload", RESULT), ["id"], ENTRY).count() == 0
 
 
-def test_found_query_agrees_with_a_plain_walk(spark, sf_dir, rows):
-    from arborlake.nested_queries import p3_found
-
-    found = {tuple(r) for r in p3_found(spark, sf_dir).collect()}
-    seen = set()
-    for r in spark.read.parquet(f"{sf_dir}/raw_scans.parquet").collect():
-        for row in shred(r.payload, RESULT):
-            if row.shape is ENTRY and row.parent.shape is SCOPE:
-                chain, up = [], row.parent.parent
-                while up:
-                    chain.append(up.values.get(up.shape.key))
-                    up = up.parent
-                seen.add((r.raw_id, chain[-1], chain[1] if len(chain) > 2 else "", chain[0], row.values.get("language")))
-    assert found == seen and found
-
-
 def plain_entries(payload):
     """The rows of p3_found from a payload, by json.loads alone."""
 
