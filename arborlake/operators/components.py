@@ -62,13 +62,14 @@ def component_kind(kind: Column, path: Column, name: Column, manifest_path: Colu
 
 
 def classified(hints: DataFrame) -> DataFrame:
-    """One component per repository and path: the first hint, by ``place`` where there is one or else by ``ord``, that has a kind.
+    """One component per repository and path: the first hint, by stage, rule and sub where there are such or else by ``ord``, that has a kind.
 
     Result: ``repo_id, path, name, kind, description``.  Copies of a hint and
     hints that can't be classified don't matter; backslashes are slashes.
     """
     path = F.translate("path", "\\", "/")
-    rows = hints.select("repo_id", F.col("place" if "place" in hints.columns else "ord").alias("ord"), path.alias("path"), "name", "description", component_kind(F.col("kind"), path, F.col("name"), F.col("manifest_path")).alias("kind"))
+    order = F.struct("stage", "rule", "sub") if "stage" in hints.columns else F.col("ord")
+    rows = hints.select("repo_id", order.alias("ord"), path.alias("path"), "name", "description", component_kind(F.col("kind"), path, F.col("name"), F.col("manifest_path")).alias("kind"))
     first = rows.filter("kind is not null and path is not null").groupBy("repo_id", "path")
     # ties of ``ord`` are settled by the content, so that the pick is the same on every run
     picked = first.agg(F.min(F.struct("ord", F.coalesce("name", basename(F.col("path"))).alias("name"), "kind", F.nullif("description", F.lit("")).alias("description"))).alias("c"))

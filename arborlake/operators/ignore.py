@@ -1,8 +1,11 @@
 """Ignore rules of ``.scanignore`` files, and the folders a scan never enters.
 
-Rules are columns: a pattern becomes one regular expression, a file's verdict
-is that of its last matching rule.  A folder that is ignored is pruned with all
-below it unless a negated rule may take something below it back in.
+The rules of a repository are one sorted list that its files meet in a single
+join by repository; a file's verdict, and that of each folder above it, is an
+expression over that list: the last rule that matches decides.  Rules without
+wildcards are compared as text; only the others are regular expressions.  A
+folder that is ignored is pruned with all below it unless a negated rule may
+take something below it back in.
 """
 
 from __future__ import annotations
@@ -13,17 +16,20 @@ from pyspark.sql import functions as F
 from arborlake.functions import ancestors, basename, lines_of, segments, trim
 from arborlake.functions.paths import folder_segments
 from arborlake.plans.rules import IGNORED_FOLDERS, KEPT_DOT_FOLDERS, MAX_DEPTH
-from arborlake.runtime import broadcast_if_small, cut
 
 IGNORE_FILE = ".scanignore"
 
 
-def walkable(files: DataFrame) -> DataFrame:
-    """Files a scan can reach: no folder that is never entered, no unknown dot folder, not too deep."""
-    folders = folder_segments(F.col("relative_path"))
+def reachable(path: Column) -> Column:
+    """Whether a scan gets to a file: no folder that is never entered, no unknown dot folder, not too deep."""
+    folders = folder_segments(path)
     never = F.arrays_overlap(folders, F.array(*map(F.lit, IGNORED_FOLDERS)))
     hidden = F.exists(folders, lambda s: F.startswith(s, F.lit(".")) & ~s.isin(*KEPT_DOT_FOLDERS))
-    return files.filter(~never & ~hidden & (F.size(folders) <= MAX_DEPTH))
+    return ~never & ~hidden & (F.size(folders) <= MAX_DEPTH)
+
+
+def walkable(files: DataFrame) -> DataFrame:
+    return files.filter(reachable(F.col("relative_path")))
 
 
 def glob_regex(pattern: Column) -> Column:
@@ -34,12 +40,8 @@ def glob_regex(pattern: Column) -> Column:
     return F.replace(F.replace(F.replace(marked, F.lit("?"), F.lit("[^/]")), F.lit("\u0001"), F.lit("(?:.+/)?")), F.lit("\u0002"), F.lit(".*"))
 
 
-def _literal_regex(text: Column) -> Column:
-    return F.regexp_replace(text, r"([.()+^$\{\}|\[\]\\*?])", r"\\$1")
-
-
 def ignore_rules(files: DataFrame) -> DataFrame:
-    """``repo_id, ord, pattern, negated, dir_only, anchored, dir_regex, file_regex`` of all ignore files.
+    """``repo_id, ord, pattern, negated, dir_only, anchored, regex`` of all ignore files; ``regex`` is null for rules without wildcards.
 
     Rules of a nested file hold below its folder only.  ``ord`` is the order in
     which they apply: outer folders first, then by folder and line.
@@ -61,42 +63,65 @@ def ignore_rules(files: DataFrame) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.when(nested, F.size(segments(F.col("dir")))).otherwise(0), "dir", "line_no"))
     out = rows.select("repo_id", order.alias("ord"), pattern.alias("pattern"), "negated", "dir_only", anchored.alias("anchored"))
     start = F.when(F.col("anchored"), "^").otherwise("(?:^|/)")
-    whole = F.concat(start, glob_regex(F.col("pattern")), F.lit("$"))
-    # a rule for folders holds for a file by the literal text of its path
-    below = F.concat(start, _literal_regex(F.col("pattern")), F.lit("/"))
-    return out.withColumns({"dir_regex": whole, "file_regex": F.when(F.col("dir_only"), below).otherwise(whole)})
+    return out.withColumn("regex", F.when(F.col("pattern").rlike(r"[*?]"), F.concat(start, glob_regex(F.col("pattern")), F.lit("$"))))
+
+
+def rule_lists(rules: DataFrame) -> DataFrame:
+    """One row per repository: its ``rules``, the last one first."""
+    rule = F.struct((-F.col("ord")).alias("o"), "pattern", "negated", "dir_only", "anchored", "regex")
+    return rules.groupBy("repo_id").agg(F.array_sort(F.collect_list(rule)).alias("rules"))
+
+
+def _is(rule: Column, path: Column) -> Column:
+    """Whether a rule names this very path, a folder or a file."""
+    plain = F.when(rule["anchored"], path == rule["pattern"]).otherwise(basename(path) == rule["pattern"])
+    return F.when(rule["regex"].isNull(), plain).otherwise(F.rlike(path, rule["regex"]))
 
 
-def verdicts(paths: DataFrame, rules: DataFrame, path: str, regex: str) -> DataFrame:
+def _holds(rule: Column, path: Column) -> Column:
+    """Whether a rule holds for a file; rules for folders hold for what is below a folder of that literal text."""
+    below = F.when(rule["anchored"], F.startswith(path, F.concat(rule["pattern"], F.lit("/")))).otherwise(F.contains(F.concat(F.lit("/"), path), F.concat(F.lit("/"), rule["pattern"], F.lit("/"))))
+    return F.when(rule["dir_only"], below).otherwise(_is(rule, path))
+
+
+def verdict(rules: Column, path: Column, folder: bool = False) -> Column:
+    """Whether the last rule that matches ignores the path; null if none matches."""
+    test = _is if folder else _holds
+    return ~F.get(F.filter(rules, lambda r: test(r, path)), F.lit(0))["negated"]
+
+
+def is_pruned(rules: Column, folder: Column) -> Column:
+    """Whether a folder is ignored and no negated rule may take anything below it back."""
+    may_return = lambda r: r["negated"] & (~r["anchored"] | F.startswith(r["pattern"], F.lit("**/")) | F.startswith(r["pattern"], F.concat(folder, F.lit("/"))))
+    return F.coalesce(verdict(rules, folder, True), F.lit(False)) & ~F.exists(rules, may_return)
+
+
+def verdicts(paths: DataFrame, rules: DataFrame, path: str, folder: bool = False) -> DataFrame:
     """``repo_id``, the path and ``ignored``: the verdict of the last rule that matches; only paths with a match."""
-    hits = paths.join(rules, "repo_id").filter(F.rlike(F.col(path), F.col(regex)))
-    return hits.groupBy("repo_id", path).agg(F.max_by(~F.col("negated"), "ord").alias("ignored"))
+    met = paths.join(rule_lists(rules), "repo_id").select("repo_id", path, verdict(F.col("rules"), F.col(path), folder).alias("ignored"))
+    return met.filter("ignored is not null")
 
 
 def pruned_folders(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """``repo_id, folder``: ignored folders below which no negated rule may take anything back."""
-    folders = files.join(rules.select("repo_id").distinct(), "repo_id", "left_semi").select("repo_id", F.explode(ancestors(F.col("relative_path"))).alias("folder")).distinct()
-    ignored = verdicts(folders, rules, "folder", "dir_regex").filter("ignored").select("repo_id", "folder")
-    back = rules.filter("negated").select("repo_id", "pattern", "anchored")
-    kept = ignored.join(back, "repo_id").filter(~F.col("anchored") | F.startswith("pattern", F.lit("**/")) | F.startswith("pattern", F.concat("folder", F.lit("/")))).select("repo_id", "folder").distinct()
-    return ignored.join(kept, ["repo_id", "folder"], "left_anti")
+    """``repo_id, folder`` of all pruned folders."""
+    folders = files.select("repo_id", F.explode(ancestors(F.col("relative_path"))).alias("folder")).distinct()
+    return folders.join(rule_lists(rules), "repo_id").filter(is_pruned(F.col("rules"), F.col("folder"))).select("repo_id", "folder")
 
 
-def indexed_files(raw: DataFrame) -> DataFrame:
-    """The files of ``raw`` that a scan lists: reachable, in no pruned folder, not ignored themselves.
+def with_listed(raw: DataFrame) -> DataFrame:
+    """``raw`` with ``listed``: whether a scan lists the file, that is, reaches it, prunes no folder above it and doesn't ignore it.
 
-    Repositories without ignore files pass through the joins untouched; the
-    rules of a repository are few, its files are joined to them by repository
-    and never to other rules.
+    A file meets one row, the rules of its repository; a repository that holds
+    a large part of all files is split by adaptive execution, as any large
+    side of an outer join.
     """
-    reachable = walkable(raw)
-    rules = cut(ignore_rules(reachable))
-    count = rules.count()
-    if not count:
-        return reachable
-    # beyond the bound the joins go by repository, and large ones are split by adaptive execution
-    rules = broadcast_if_small(rules, count)
-    inside = reachable.select("repo_id", "relative_path", F.explode(ancestors(F.col("relative_path"))).alias("folder"))
-    below = inside.join(pruned_folders(reachable, rules), ["repo_id", "folder"], "left_semi").select("repo_id", "relative_path").distinct()
-    dropped = verdicts(reachable.select("repo_id", "relative_path"), rules, "relative_path", "file_regex").filter("ignored").select("repo_id", "relative_path")
-    return reachable.join(below.unionByName(dropped).distinct(), ["repo_id", "relative_path"], "left_anti")
+    lists = rule_lists(ignore_rules(walkable(raw)))
+    path, rules = F.col("relative_path"), F.col("rules")
+    ignored = F.coalesce(verdict(rules, path), F.lit(False)) | F.exists(ancestors(path), lambda folder: is_pruned(rules, folder))
+    listed = reachable(path) & (rules.isNull() | ~ignored)
+    return raw.join(lists, "repo_id", "left").withColumn("listed", F.coalesce(listed, F.lit(False))).drop("rules")
+
+
+def indexed_files(raw: DataFrame) -> DataFrame:
+    """The files of ``raw`` that a scan lists."""
+    return with_listed(raw).filter("listed").drop("listed")

@@ -1,104 +1,128 @@
-"""Joins of files with rule tables, and the order of what they find.
+"""Rules over files as array expressions: what a file matches becomes rows in one pass.
 
-A rule table is a few dozen constants, so its broadcast has a fixed bound.
-Every join is an equi-join on a name, an extension, a token or an ancestor
-folder; text conditions remain as residuals on the few rows that match.
+A rule table is a literal within an expression, read from one JSON text so that
+plans stay small; nothing is joined or broadcast.  A ``Stage`` says which files it looks at and gives the hits in one
+file as an array; any number of stages are put into one array per file and
+opened into rows together, so all detectors share one scan of the files.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from arborlake.functions.paths import ancestors
+HIT = "struct<detector:string,stage:int,rule:int,sub:int,value:string,version:string,confidence:double,evidence:string,file_path:string,scope:string>"
+_TEXT = "cast(null as string)"
 
-#: Columns of every stage's result, before duplicates are dropped.
-STAGE_COLUMNS = ("repo_id", "stage", "rule", "sub", "value", "confidence", "evidence", "file_path", "at")
-_RULE_SCHEMA = T.StructType([T.StructField("rule", T.IntegerType()), T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
 
+def hit(
+    number: int, value: Column, confidence: float, evidence: Column, file_path: Column | None = None, rule: Column | int = 0, sub: Column | int = 0, version: Column | None = None, scope: Column | None = None
+) -> Column:
+    """One finding of a stage.  ``scope`` names what is found once in a repository, whichever file shows it first."""
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    none = F.expr(_TEXT)
+    return F.struct(
+        none.alias("detector"), F.lit(number).alias("stage"), as_column(rule).cast("int").alias("rule"), as_column(sub).cast("int").alias("sub"), value.alias("value"),
+        (none if version is None else version).alias("version"), F.lit(float(confidence)).alias("confidence"), evidence.alias("evidence"),
+        (none if file_path is None else file_path).alias("file_path"), (none if scope is None else scope).alias("scope"),
+    )
 
-def rule_table(spark: SparkSession, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(rule, key, value) in the order given, as a literal relation to broadcast."""
-    if not pairs:
-        return spark.createDataFrame([], _RULE_SCHEMA)
-    rows = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(k).alias("key"), F.lit(v).alias("value")) for i, (k, v) in enumerate(pairs)))
-    return spark.range(1).select(F.inline(rows))
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def _broadcast(df: DataFrame, pairs: Sequence) -> DataFrame:
-    # a literal table of the given pairs; nothing in it comes from data
-    return F.broadcast(rule_table(df.sparkSession, pairs))
 
+_RULE = "struct<rule:int,key:string,value:string,pattern:string>"
 
-def stage(df: DataFrame, number: int, confidence: float, evidence: Column, file_path: str | None, rule: Column | int = 0, sub: Column | int = 0) -> DataFrame:
-    """The common columns of one stage's findings; ``df`` has ``repo_id``, ``value`` and ``relative_path``."""
-    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return df.select(
-        "repo_id",
-        F.lit(number).alias("stage"),
-        as_column(rule).cast("int").alias("rule"),
-        as_column(sub).cast("int").alias("sub"),
-        "value",
-        F.lit(float(confidence)).alias("confidence"),
-        evidence.alias("evidence"),
-        (F.lit(None).cast("string") if file_path is None else F.col(file_path)).alias("file_path"),
-        F.col("relative_path").alias("at"),
-    )
 
+def _rules(pairs: Sequence[tuple]) -> list[dict]:
+    return [{"rule": i, "key": k, "value": more[-1], **({"pattern": more[0]} if len(more) > 1 else {})} for i, (k, *more) in enumerate(pairs)]
 
-def by_name(files: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Files whose name is a rule's key, with ``rule`` and ``value``."""
-    hits = files.filter(F.col("name").isin(*(k for k, _ in pairs)))
-    return hits.join(_broadcast(files, pairs), hits["name"] == F.col("key"))
 
+def rules_of(pairs: Sequence[tuple], key: Column) -> Column:
+    """The rules of a key as an array of ``rule`` (its position in the table), ``key``, ``value`` and ``pattern``; null without any."""
+    grouped: dict[str, list[dict]] = {}
+    for r in _rules(pairs):
+        grouped.setdefault(r["key"], []).append(r)
+    return F.from_json(F.lit(json.dumps(grouped)), f"map<string,array<{_RULE}>>")[key]
 
-def by_extension(files: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    hits = files.filter(F.col("ext").isin(*(k for k, _ in pairs)))
-    return hits.join(_broadcast(files, pairs), hits["ext"] == F.col("key"))
 
+def each_rule(pairs: Sequence[tuple], key: Column, make: Callable[[Column], Column]) -> Column:
+    return F.transform(rules_of(pairs, key), make)
 
-def by_token(files: DataFrame, tokens: Column, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Files of which a token is a rule's key; ``token`` and its position ``pos`` are kept."""
-    exploded = files.select("*", F.posexplode(tokens).alias("pos", "token"))
-    return exploded.join(_broadcast(files, pairs), F.col("token") == F.col("key"))
 
+def each_token(tokens: Column, pairs: Sequence[tuple], make: Callable[[Column, Column, Column], Column]) -> Column:
+    """Hits of all tokens that are a rule's key: ``make`` gets the rule, the token and its position."""
+    return F.flatten(F.array_compact(F.transform(tokens, lambda token, at: F.transform(rules_of(pairs, token), lambda rule: make(rule, token, at)))))
 
-def containing(files: DataFrame, text: Column, pairs: Sequence[tuple[str, str]], quoted: bool = False) -> DataFrame:
-    """Files whose text contains a rule's key; all rules that hold are given.
 
-    The rules are tried on each text as one array expression: no pair of file
-    and rule is ever a row unless it matches.
-    """
-    candidates = [(i, k, v) for i, (k, v) in enumerate(pairs)]
-    found = lambda k: (text.contains(f"'{k}'") | text.contains(f'"{k}"')) if quoted else text.contains(k)
-    hits = F.array_compact(F.array(*(F.when(found(k), F.struct(F.lit(i).alias("rule"), F.lit(k).alias("key"), F.lit(v).alias("value"))) for i, k, v in candidates)))
-    return files.select("*", F.inline(hits))
+def each_found(pairs: Sequence[tuple[str, str]], test: Callable[[Column], Column], make: Callable[[Column], Column]) -> Column:
+    """Hits of the rules whose key passes a test; all rules are tried, in their order."""
+    return F.transform(F.filter(F.from_json(F.lit(json.dumps(_rules(pairs))), f"array<{_RULE}>"), lambda r: test(r["key"])), make)
+
+
+@dataclass(frozen=True)
+class Stage:
+    """A stage of a detector: ``wanted`` says which files it looks at, ``hits`` what is found in one of them."""
+
+    name: str
+    detector: str
+    wanted: Callable[[], Column]
+    hits: Callable[[], Column]
+
+    @property
+    def __name__(self) -> str:
+        return self.name
+
+    def __call__(self, files: DataFrame) -> DataFrame:
+        """The hits of this stage alone."""
+        return expand(files, [self])
 
 
-def under_folder(files: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Per repository and rule with a file anywhere below the folder: the first such file."""
-    if not pairs:
-        schema = T.StructType([files.schema["repo_id"], T.StructField("relative_path", T.StringType()), *_RULE_SCHEMA.fields])
-        return files.sparkSession.createDataFrame([], schema)
-    exploded = files.select("repo_id", "relative_path", F.explode(ancestors(F.col("relative_path"))).alias("folder"))
-    matched = exploded.join(_broadcast(files, pairs), F.col("folder") == F.col("key"))
-    return matched.groupBy("repo_id", "rule", "key", "value").agg(F.min("relative_path").alias("relative_path"))
+#: Set by the detectors: adds the columns that stages read to the files they look at.
+Prepare = Callable[[DataFrame], DataFrame]
+_PREPARE: list[Prepare] = []
 
 
-def first_wins(stages: Sequence[DataFrame], detector: str) -> DataFrame:
-    """Findings of all stages, one per repository, value and file: that of the earliest stage, rule and path.
+def prepared_by(prepare: Prepare) -> Prepare:
+    _PREPARE[:] = [prepare]
+    return prepare
 
-    Result: ``repo_id``, ``detector``, ``ord``, ``value``, ``confidence``, ``evidence``, ``file_path``;
-    findings of one repository are in order by ``ord``, then ``file_path``.
+
+def expand(files: DataFrame, stages: Sequence[Stage]) -> DataFrame:
+    """The hits of all stages in one pass: ``repo_id``, ``at`` (the file) and the fields of a hit."""
+    wanted = [s.wanted() for s in stages]
+    either = wanted[0]
+    for w in wanted[1:]:
+        either = either | w
+    rows = files.filter(either)
+    for prepare in _PREPARE:
+        rows = prepare(rows)
+    named = lambda s: F.transform(s.hits(), lambda h: h.withField("detector", F.lit(s.detector)))
+    arrays = [F.when(w, named(s)).cast(f"array<{HIT}>") for s, w in zip(stages, wanted)]
+    return rows.select("repo_id", F.col("relative_path").alias("at"), F.inline(F.flatten(F.array_compact(F.array(*arrays)))))
+
+
+def first_wins(hits: DataFrame) -> DataFrame:
+    """Of the hits of a repository with the same detector, value, version and file (or scope) that of the earliest stage, rule and path.
+
+    Result: ``repo_id``, ``detector``, ``stage``, ``rule``, ``sub``, ``value``, ``version``, ``confidence``, ``evidence``, ``file_path``;
+    findings of one detector and repository are in order by stage, rule, sub, then file.
     """
-    union = stages[0]
-    for s in stages[1:]:
-        union = union.unionByName(s)
-    place = F.struct("stage", "rule", "at", "sub", "evidence")
-    kept = union.groupBy("repo_id", "value", F.coalesce("file_path", F.lit("")).alias("_file")).agg(F.min(place).alias("p"), F.min_by("confidence", place).alias("confidence"), F.min("file_path").alias("file_path"))
-    # a number that sorts like (stage, rule, sub); a running number would sort a whole repository in one task
-    order = F.col("p.stage").cast("bigint") * 100_000_000 + F.col("p.rule") * 10_000 + F.least("p.sub", F.lit(9_999))
-    return kept.select("repo_id", F.lit(detector).alias("detector"), order.alias("ord"), "value", "confidence", F.array("p.evidence").alias("evidence"), "file_path")
+    place = F.struct("stage", "rule", "at", "sub", "evidence", "confidence", "file_path")
+    kept = hits.groupBy("repo_id", "detector", "value", "version", F.coalesce("scope", "file_path", F.lit("")).alias("_key")).agg(F.min(place).alias("p"))
+    return kept.select("repo_id", "detector", "p.stage", "p.rule", "p.sub", "value", "version", "p.confidence", F.array("p.evidence").alias("evidence"), "p.file_path")
+
+
+def by_name(files: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Files whose name is a rule's key, with ``rule`` and ``value``; a row for each rule."""
+    return files.filter(F.col("name").isin(*(k for k, *_ in pairs))).select("*", F.inline(rules_of(pairs, F.col("name")))).drop("key", "pattern")
+
+
+def by_extension(files: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    return files.filter(F.col("ext").isin(*(k for k, *_ in pairs))).select("*", F.inline(rules_of(pairs, F.col("ext")))).drop("key", "pattern")

@@ -40,7 +40,13 @@ _GLOB = f"replace(replace(replace(replace(replace(replace({_ESCAPED}, '**/', chr
 _LITERAL = "regexp_replace(pattern, '([.()+^${}|\\[\\]\\\\*?])', '\\\\\\1', 'g')"
 
 
-def _ctes() -> str:
+#: The stored files as the source of the same relations: one row per repository and path.
+_STORED = """vfiles as (select repo_id, relative_path, any_value(name) as name, any_value(content) as content, any_value(lower(coalesce(ext, regexp_extract(name, '^.+(\\.[^.]*)$', 1)))) as ext
+ from files where repo_id is not null and relative_path is not null group by repo_id, relative_path)"""
+
+
+def _ctes(source: str, reach: str = "reach", listed: bool = False) -> str:
+    """All relations over the files that ``source`` defines as ``vfiles``; those of ``reach`` (or all, with ``vs``) count, or those not ignored, with ``listed``."""
     first = _rules  # short name for the literal tables below
     kinds = " ".join(f"when regexp_matches(path, {q(p)}) then {q(k)}" for p, k in R.KIND_BY_PATH)
     low = "lower(coalesce(name, ''))"
@@ -58,11 +64,12 @@ def _ctes() -> str:
     alias = lambda x: f"coalesce(map_from_entries([{', '.join(f'({q(k)}, {q(v)})' for k, v in R.TOOL_ALIASES)}])[lower({x})], {x})"
     root = lambda name: f"(select repo_id, content from vfiles where relative_path = {q(name)} and content <> '')"
     own = lambda member: f"nullif(case when json_type(j, '$.{member}') = 'VARCHAR' then json_extract_string(j, '$.{member}') end, '')"
+    given = lambda member: f"case when json_type(j, '$.{member}') = 'VARCHAR' then json_extract_string(j, '$.{member}') end"
     hint = lambda number, rule, sub, path, name, description="null::varchar", mpath="null::varchar", mname="null::varchar": (
         f"select repo_id, {number} as stage, {rule} as rule, {sub} as sub, {path} as path, {name} as name, {description} as description, {mpath} as manifest_path, {mname} as manifest_name"
     )
     workspace = lambda number, globs: (
-        hint(number, "pos", 0, "glb", f"coalesce({own('name')}, split_part(glb, '/', -1))", "case when json_type(j, '$.description') = 'VARCHAR' then json_extract_string(j, '$.description') end", "relative_path", "'package.json'")
+        hint(number, "pos", 0, "glb", f"coalesce({given('name')}, split_part(glb, '/', -1))", "case when json_type(j, '$.description') = 'VARCHAR' then json_extract_string(j, '$.description') end", "relative_path", "'package.json'")
         + f" from (select g.repo_id, pos, glb, p.relative_path, {_JSON} as j from {globs} g join prim p on p.repo_id = g.repo_id and p.relative_path = glb || '/package.json' where glb is not null and not starts_with(glb, '!') and not contains(glb, '*'))"
         + " union all "
         + hint(number, "pos", 0, "path", "name", "description", "manifest_path", "manifest_name")
@@ -74,11 +81,23 @@ def _ctes() -> str:
     )
     mono = lambda number, value, evidence, source: f"select distinct repo_id, {number * 10_000}::bigint as ord, {q(value)} as value, {q(evidence)} as evidence from {source}"
     starts = lambda prefixes: "(" + " or ".join(f"starts_with(name, {q(p)})" for p in prefixes) + ")"
-    return f"""with {virtual_files_sql()},
+    return f"""with {source},
 ve as (select *, string_split(relative_path, '/') as segs from vfiles),
 vd as (select *, segs[1:len(segs) - 1] as dirs from ve),
 vs as (select *, list_has_any(dirs, {_list(R.SECONDARY_FOLDERS)}) as is_secondary from vd),
-vf as (select * from vs where not list_has_any(dirs, {_list(R.IGNORED_FOLDERS)}) and len(list_filter(dirs, lambda s: starts_with(s, '.') and not list_contains({_list(R.KEPT_DOT_FOLDERS)}, s))) = 0 and len(dirs) <= {R.MAX_DEPTH}),
+reach as (select * from vs where not list_has_any(dirs, {_list(R.IGNORED_FOLDERS)}) and len(list_filter(dirs, lambda s: starts_with(s, '.') and not list_contains({_list(R.KEPT_DOT_FOLDERS)}, s))) = 0 and len(dirs) <= {R.MAX_DEPTH}),
+reached as (select repo_id, relative_path, unnest({_ANCESTORS}) as folder from reach),
+ign_lines as (select repo_id, case when contains(relative_path, '/') then regexp_extract(relative_path, '^(.*)/[^/]*$', 1) else '' end as dir, generate_subscripts(l, 1) - 1 as line_no, {_trim("unnest(l)")} as line from (select *, string_split(coalesce(content, ''), chr(10)) as l from reach where name = '.scanignore')),
+ign_parsed as (select *, starts_with(line, '!') as negated, regexp_replace(line, '^!', '') as body from ign_lines where line <> '' and not starts_with(line, '#')),
+ign_bare as (select *, ends_with(body, '/') as dir_only, regexp_replace(body, '/$', '') as bare from ign_parsed),
+ign_own as (select *, regexp_replace(bare, '^/', '') as own, starts_with(bare, '/') or contains(regexp_replace(bare, '^/', ''), '/') as fixed from ign_bare),
+ign_pattern as (select repo_id, row_number() over (partition by repo_id order by case when dir = '' then 0 else len(string_split(dir, '/')) end, dir, line_no) as ord, case when dir = '' then own when fixed then dir || '/' || own else dir || '/**/' || own end as pattern, negated, dir_only, dir <> '' or fixed as anchored from ign_own where own <> ''),
+ign as (select *, case when anchored then '^' else '(?:^|/)' end || {_GLOB} || '$' as dir_regex, case when dir_only then case when anchored then '^' else '(?:^|/)' end || {_LITERAL} || '/' else case when anchored then '^' else '(?:^|/)' end || {_GLOB} || '$' end as file_regex from ign_pattern),
+ign_files as (select f.repo_id, f.relative_path, max_by(not negated, ord) as ignored from reach f join ign r on r.repo_id = f.repo_id and regexp_matches(f.relative_path, r.file_regex) group by all),
+ign_dirs as (select f.repo_id, f.folder, max_by(not negated, ord) as ignored from (select distinct repo_id, folder from reached) f join ign r on r.repo_id = f.repo_id and regexp_matches(f.folder, r.dir_regex) group by all),
+pruned as (select repo_id, folder from ign_dirs d where ignored and not exists (select 1 from ign r where r.repo_id = d.repo_id and r.negated and (not r.anchored or starts_with(r.pattern, '**/') or starts_with(r.pattern, d.folder || '/')))),
+indexed as (select repo_id, relative_path from reach f where not exists (select 1 from ign_files i where i.repo_id = f.repo_id and i.relative_path = f.relative_path and ignored) and not exists (select 1 from reached a join pruned p on p.repo_id = a.repo_id and p.folder = a.folder where a.repo_id = f.repo_id and a.relative_path = f.relative_path)),
+vf as (select * from {reach} {"semi join indexed using (repo_id, relative_path)" if listed else ""}),
 prim as (select * from vf where not is_secondary),
 anc as (select repo_id, relative_path, name, unnest({_ANCESTORS}) as folder from vf),
 langs as (select repo_id, relative_path, value as language, {_LINES} as lines from vf join {first(R.EXT_TO_LANGUAGE)} on ext = key),
@@ -120,12 +139,12 @@ build_systems as ({_first_wins("bs_all")}),
 ct_all as ({by_name(1, R.CONTAINER_FILES, "container file: ", 1.0)}),
 containers as ({_first_wins("ct_all")}),
 rt_single as (select repo_id, 1 as stage, rule, 0 as sub, value as language, {_trim("split_part(content, chr(10), 1)")} as version, name as source, relative_path from prim join {first(R.SINGLE_VERSION_FILES)} on name = key where content <> ''),
-rt_go as ({runtime(2, "go.mod", "Go", "(?m)^go\\s+([0-9.]+)", "go.mod")}),
+rt_go as ({runtime(2, "go.mod", "Go", R.GO_VERSION_RE, "go.mod")}),
 rt_gemfile as ({runtime(3, "Gemfile", "Ruby", "(?m)^\\s*ruby\\s+['\"]([^'\"]+)['\"]", "Gemfile#ruby")}),
 rt_engines as (select repo_id, 4 as stage, 0 as rule, r.rule as sub, r.value as language, {_trim("json_extract_string(j, '$.engines.' || key)")} as version, 'package.json#engines.' || key as source, relative_path from pkg, {first(R.ENGINES)} where name = 'package.json' and json_type(j, '$.engines.' || key) = 'VARCHAR'),
 rt_pyproject as ({runtime(5, "pyproject.toml", "Python", '(?m)^\\s*requires-python\\s*=\\s*"([^"]+)"', "pyproject.toml#requires-python")}),
 rt_cargo as ({runtime(6, "Cargo.toml", "Rust", '(?m)^\\s*rust-version\\s*=\\s*"([^"]+)"', "Cargo.toml#rust-version")}),
-tool_lines as (select repo_id, relative_path, generate_subscripts(l, 1) - 1 as line_no, string_split_regex({_trim("regexp_replace(unnest(l), '#.*$', '')")}, '\\s+') as parts from (select *, string_split(content, chr(10)) as l from prim where name = '.tool-versions' and content <> '')),
+tool_lines as (select repo_id, relative_path, generate_subscripts(l, 1) - 1 as line_no, string_split_regex({_trim(f"regexp_replace(unnest(l), {q(R.TOOL_COMMENT_RE)}, '')")}, '\\s+') as parts from (select *, string_split(content, chr(10)) as l from prim where name = '.tool-versions' and content <> '')),
 rt_tool_versions as (select repo_id, 7 as stage, 0 as rule, line_no as sub, {alias("parts[1]")} as language, {_trim("array_to_string(parts[2:], ' ')")} as version, '.tool-versions' as source, relative_path from tool_lines where len(parts) > 1),
 mise as (select repo_id, relative_path, name, regexp_extract_all(b, '(?m)^\\s*([A-Za-z0-9_-]+)\\s*=\\s*"([^"]+)"', 1) as tools, regexp_extract_all(b, '(?m)^\\s*([A-Za-z0-9_-]+)\\s*=\\s*"([^"]+)"', 2) as versions
  from (select *, string_split_regex(substring(content, instr(content, '[tools]') + 7), '(?m)^\\[')[1] as b from prim where name in ('mise.toml', '.mise.toml') and contains(content, '[tools]'))),
@@ -142,7 +161,7 @@ discovered as (select repo_id, split_part(path, '/', 1) as parent, path, coalesc
 sln as (select repo_id, relative_path, regexp_extract_all(content, 'Project\\("[^"]*"\\)\\s*=\\s*"([^"]+)"\\s*,\\s*"([^"]+\\.(?:csproj|fsproj|vbproj))"', 1) as names, regexp_extract_all(content, 'Project\\("[^"]*"\\)\\s*=\\s*"([^"]+)"\\s*,\\s*"([^"]+\\.(?:csproj|fsproj|vbproj))"', 2) as projects,
  dense_rank() over (partition by repo_id order by relative_path) as rank from prim where ext = '.sln' and content <> '' and regexp_matches(content, 'Project\\("[^"]*"\\)\\s*=\\s*"([^"]+)"\\s*,\\s*"([^"]+\\.(?:csproj|fsproj|vbproj))"')),
 sln_rows as (select repo_id, rank, generate_subscripts(names, 1) - 1 as pos, unnest(names) as name, regexp_extract(replace(unnest(projects), '\\', '/'), '^(.*)/[^/]*$', 1) as path from sln),
-pnpm_lines as (select repo_id, generate_subscripts(l, 1) - 1 as pos, regexp_replace(unnest(l), '#.*$', '') as line from (select repo_id, string_split(content, chr(10)) as l from {root("pnpm-workspace.yaml")} where repo_id in (select repo_id from vf where name = 'pnpm-workspace.yaml'))),
+pnpm_lines as (select repo_id, generate_subscripts(l, 1) - 1 as pos, regexp_replace(unnest(l), {q(R.PNPM_COMMENT_RE)}, '') as line from (select repo_id, string_split(content, chr(10)) as l from {root("pnpm-workspace.yaml")} where repo_id in (select repo_id from vf where name = 'pnpm-workspace.yaml'))),
 pnpm_state as (select *, regexp_matches(line, '^\\s*packages\\s*:') as opens, regexp_extract(line, '^\\s*-\\s*[''"]?([^''"\\s]+)[''"]?\\s*$', 1) as glb from pnpm_lines),
 pnpm_inside as (select *, last_value(case when opens then 1 when glb = '' and regexp_matches(line, '^\\S') then 0 end ignore nulls) over (partition by repo_id order by pos rows between unbounded preceding and current row) as inside from pnpm_state),
 pnpm_globs as (select repo_id, pos, glb from pnpm_inside where inside = 1 and glb <> '' and not opens),
@@ -150,8 +169,8 @@ npm_field as (select repo_id, json_extract(j, '$.workspaces') as ws, json_type(j
 npm_lists as (select repo_id, case when kind = 'ARRAY' then from_json(ws, '["VARCHAR"]') else from_json(json_extract(ws, '$.packages'), '["VARCHAR"]') end as l from npm_field),
 npm_globs as (select repo_id, generate_subscripts(l, 1) - 1 as pos, unnest(l) as glb from npm_lists),
 go_uses as (select repo_id, generate_subscripts(l, 1) - 1 as pos, regexp_replace(unnest(l), '^\\./', '') as path from (select repo_id, list_filter(case when regexp_matches(content, 'use\\s*\\(([^)]*)\\)')
- then list_transform(string_split(regexp_extract(content, 'use\\s*\\(([^)]*)\\)', 1), chr(10)), lambda x: {_trim("regexp_replace(x, '//.*$', '')")})
- else list_transform(string_split(content, chr(10)), lambda x: regexp_extract({_trim("regexp_replace(x, '//.*$', '')")}, '^use\\s+(\\S+)$', 1)) end, lambda x: x <> '') as l from {root("go.work")} where repo_id in (select repo_id from vf where name = 'go.work'))),
+ then list_transform(string_split(regexp_extract(content, 'use\\s*\\(([^)]*)\\)', 1), chr(10)), lambda x: {_trim(f"regexp_replace(x, {q(R.GO_COMMENT_RE)}, '')")})
+ else list_transform(string_split(content, chr(10)), lambda x: regexp_extract({_trim(f"regexp_replace(x, {q(R.GO_COMMENT_RE)}, '')")}, '^use\\s+(\\S+)$', 1)) end, lambda x: x <> '') as l from {root("go.work")} where repo_id in (select repo_id from vf where name = 'go.work'))),
 gradle_g as ({gradle("settings.gradle")}),
 gradle_k as ({gradle("settings.gradle.kts")}),
 maven as (select repo_id, generate_subscripts(l, 1) - 1 as pos, {_trim("unnest(l)")} as path from (select repo_id, regexp_extract_all(content, '<module>([^<]+)</module>', 1) as l from {root("pom.xml")} where contains(content, '<modules>'))),
@@ -166,11 +185,11 @@ hints_all as (
  {hint(6, 0, "pos", "path", "split_part(path, '/', -1)")} from gradle_g where path <> '' union all {hint(7, 0, "pos", "path", "split_part(path, '/', -1)")} from gradle_k where path <> '' union all
  {hint(8, 0, "pos", "path", "split_part(path, '/', -1)")} from maven where path <> '' union all
  {hint(9, "pos", 0, "path", "name", "description", "manifest_path", "manifest_name")} from uv join discovered using (repo_id, parent) union all
- {hint(10, 0, 0, "folder", f"coalesce({own('name')}, split_part(folder, '/', -1))", "case when json_type(j, '$.description') = 'VARCHAR' then json_extract_string(j, '$.description') end")} from melos union all
+ {hint(10, 0, 0, "folder", f"coalesce({given('name')}, split_part(folder, '/', -1))", "case when json_type(j, '$.description') = 'VARCHAR' then json_extract_string(j, '$.description') end")} from melos union all
  {hint(11, f"list_position({_list(R.CONVENTION_FOLDERS)}, parent)", 0, "path", "name", "description", "manifest_path", "manifest_name")} from discovered where parent in {_in(R.CONVENTION_FOLDERS)}),
-hints_ord as (select *, stage * 100000000::bigint + least(rule, 9999) * 10000 + least(sub, 9999) as ord from hints_all),
-hints as (select distinct repo_id, ord::bigint as ord, path, name, description, manifest_path, manifest_name, null::varchar as kind from (select *, row_number() over (partition by repo_id, path order by ord, name nulls first, description nulls first, manifest_path nulls first) as rn from hints_ord) where rn = 1 or stage = 4),
-hint_kinds as (select repo_id, ord, replace(path, '\\', '/') as path, name, description, {kind.replace("(path,", "(replace(path, chr(92), '/'),")} as kind from hints),
+hints as (select distinct repo_id, stage::bigint as stage, rule::bigint as rule, sub::bigint as sub, path, name, description, manifest_path, manifest_name, null::varchar as kind
+ from (select *, row_number() over (partition by repo_id, path order by stage, rule, sub, name nulls first, description nulls first, manifest_path nulls first) as rn from hints_all) where rn = 1 or stage = 4),
+hint_kinds as (select repo_id, (stage, rule, sub) as ord, replace(path, '\\', '/') as path, name, description, {kind.replace("(path,", "(replace(path, chr(92), '/'),")} as kind from hints),
 comps as (select repo_id, path, coalesce(name, split_part(path, '/', -1)) as name, kind, nullif(description, '') as description from (select *, row_number() over (partition by repo_id, path order by ord, name, kind, description nulls first) as rn from hint_kinds where kind is not null) where rn = 1),
 signs as (select repo_id, folder as path, max((name in {_in(R.APP_FILES)} or {starts(R.APP_PREFIXES)})::int) as app, max((name in {_in(R.SERVICE_FILES)})::int) as service, max({starts(R.PACKAGE_PREFIXES)}::int) as package from anc group by all),
 seconds as (select c.repo_id, c.path, c.kind, array_to_string(list_filter([case when app = 1 then 'app' end, case when package = 1 then 'package' end, case when service = 1 then 'service' end], lambda x: x is not null and x <> c.kind), ',') as secondary_kinds from comps c left join signs s on s.repo_id = c.repo_id and s.path = c.path),
@@ -186,28 +205,45 @@ mono_named as (select distinct repo_id, (10000 + rule)::bigint as ord, value, 'f
  {mono(7, "Gradle multi-project", "settings.gradle contains include directives", "gradle_g")} union all {mono(8, "Gradle multi-project (Kotlin DSL)", "settings.gradle.kts contains include directives", "gradle_k")} union all
  {mono(9, "Maven multi-module", "pom.xml contains <modules>", "maven")} union all {mono(10, "uv workspace", "pyproject.toml contains [tool.uv.workspace]", root("pyproject.toml") + " where contains(content, '[tool.uv.workspace]')")}),
 mono_repos as (select repo_id from mono_named union select repo_id from discovered where parent in {_in(R.CONVENTION_FOLDERS)} group by repo_id, parent having count(*) > 1),
-mono as (select * from mono_named union all select repo_id, 990000::bigint, 'monorepo', 'detected monorepo structure' from mono_repos),
-ign_lines as (select repo_id, case when contains(relative_path, '/') then regexp_extract(relative_path, '^(.*)/[^/]*$', 1) else '' end as dir, generate_subscripts(l, 1) - 1 as line_no, {_trim("unnest(l)")} as line from (select *, string_split(coalesce(content, ''), chr(10)) as l from vf where name = '.scanignore')),
-ign_parsed as (select *, starts_with(line, '!') as negated, regexp_replace(line, '^!', '') as body from ign_lines where line <> '' and not starts_with(line, '#')),
-ign_bare as (select *, ends_with(body, '/') as dir_only, regexp_replace(body, '/$', '') as bare from ign_parsed),
-ign_own as (select *, regexp_replace(bare, '^/', '') as own, starts_with(bare, '/') or contains(regexp_replace(bare, '^/', ''), '/') as fixed from ign_bare),
-ign_pattern as (select repo_id, row_number() over (partition by repo_id order by case when dir = '' then 0 else len(string_split(dir, '/')) end, dir, line_no) as ord, case when dir = '' then own when fixed then dir || '/' || own else dir || '/**/' || own end as pattern, negated, dir_only, dir <> '' or fixed as anchored from ign_own where own <> ''),
-ign as (select *, case when anchored then '^' else '(?:^|/)' end || {_GLOB} || '$' as dir_regex, case when dir_only then case when anchored then '^' else '(?:^|/)' end || {_LITERAL} || '/' else case when anchored then '^' else '(?:^|/)' end || {_GLOB} || '$' end as file_regex from ign_pattern),
-ign_files as (select f.repo_id, f.relative_path, max_by(not negated, ord) as ignored from vf f join ign r on r.repo_id = f.repo_id and regexp_matches(f.relative_path, r.file_regex) group by all),
-ign_dirs as (select f.repo_id, f.folder, max_by(not negated, ord) as ignored from (select distinct repo_id, folder from anc) f join ign r on r.repo_id = f.repo_id and regexp_matches(f.folder, r.dir_regex) group by all),
-pruned as (select repo_id, folder from ign_dirs d where ignored and not exists (select 1 from ign r where r.repo_id = d.repo_id and r.negated and (not r.anchored or starts_with(r.pattern, '**/') or starts_with(r.pattern, d.folder || '/')))),
-indexed as (select repo_id, relative_path from vf f where not exists (select 1 from ign_files i where i.repo_id = f.repo_id and i.relative_path = f.relative_path and ignored) and not exists (select 1 from anc a join pruned p on p.repo_id = a.repo_id and p.folder = a.folder where a.repo_id = f.repo_id and a.relative_path = f.relative_path))
+mono as (select * from mono_named union all select repo_id, 990000::bigint, 'monorepo', 'detected monorepo structure' from mono_repos)
 """
 
 
 def _first_wins(table: str) -> str:
     return (
-        f"select repo_id, stage * 100000000::bigint + rule * 10000 + least(sub, 9999) as ord, value, confidence, evidence, file_path from (select *, row_number() over (partition by repo_id, value, coalesce(file_path, '') order by stage, rule, place, sub, evidence) as rn from {table}) where rn = 1"
+        f"select repo_id, stage::bigint as stage, rule::bigint as rule, sub::bigint as sub, value, confidence, evidence, file_path from (select *, row_number() over (partition by repo_id, value, coalesce(file_path, '') order by stage, rule, place, sub, evidence) as rn from {table}) where rn = 1"
+    )
+
+
+def _report(whole: bool = True) -> str:
+    """The nested report of every repository, its parts as JSON; otherwise that of the runtime and language detectors alone."""
+    by_name = lambda x: f"icu_sort_key({x}, 'en')"
+    values = lambda table: f"coalesce((select list(distinct value order by value) from {table} x where x.repo_id = r.repo_id), [])"
+    entries = lambda where: f"coalesce(list({{'language': language, 'files': files, 'lines': lines, 'percentage': percentage}} order by percentage desc, language) {where}, [])"
+    stats = lambda table, on: (
+        f"(select {{'totalFiles': coalesce(any_value(total_files), 0), 'totalLines': coalesce(any_value(total_lines), 0), 'perLanguage': {entries('')}}} from {table} x where {on})"
+    )
+    runtimes = f"coalesce((select list({{'language': language, 'version': version, 'source': source}} order by {by_name('language')}, {by_name('version')}, language, version) from runtimes x where x.repo_id = r.repo_id), [])"
+    languages = "coalesce((select list(language order by language) from lang_stats x where x.repo_id = r.repo_id), [])"
+    lists = {"languages": languages} | {k: values(t) for k, t in (("frameworks", "frameworks"), ("packageManagers", "package_managers"), ("ciProviders", "ci_providers"), ("buildSystems", "build_systems"), ("containerization", "containers"))}
+    parts = (lists if whole else {"languages": languages}) | {"runtimes": runtimes}
+    inventory = "{" + ", ".join(f"{q(k)}: {v}" for k, v in parts.items()) + "}"
+    component = (
+        "{'path': c.path, 'name': c.name, 'kind': c.kind, 'secondaryKinds': case when s.secondary_kinds <> '' then string_split(s.secondary_kinds, ',') end, 'description': c.description, 'scoped': {"
+        f"'frameworks': coalesce((select list(framework order by framework) from comp_fws f where f.repo_id = c.repo_id and f.path = c.path), []), 'languageStats': {stats('comp_langs', 'x.repo_id = c.repo_id and x.path = c.path')}}}}}"
+    )
+    architecture = (
+        "{'monorepo': exists (select 1 from mono m where m.repo_id = r.repo_id), 'toolName': (select min_by(value, ord) from mono m where m.repo_id = r.repo_id and value <> 'monorepo'),"
+        f" 'components': coalesce((select list(component order by kind, {by_name('name')}, path) from parts p where p.repo_id = r.repo_id), [])}}"
     )
+    head = f", parts as (select c.repo_id, c.kind, c.name, c.path, {component} as component from comps c join seconds s using (repo_id, path)), rs as (select distinct repo_id from vfiles) "
+    shown = f", to_json({architecture})::varchar as architecture" if whole else ""
+    return f"{head} select repo_id, to_json({inventory})::varchar as inventory{shown}, to_json({stats('lang_stats', 'x.repo_id = r.repo_id')})::varchar as language_stats from rs r"
 
 
 def build() -> dict[str, str]:
-    prelude = _ctes()
+    virtual, stored = virtual_files_sql(), _STORED
+    prelude = _ctes(virtual)
     kinds = " ".join(f"when regexp_matches(path, {q(p)}) then {q(k)}" for p, k in R.KIND_BY_PATH)
     low = "lower(coalesce(name, ''))"
     kind = f"case when kind in {_in(R.KINDS)} then kind {kinds} when regexp_matches({low}, 'server|api|gateway') then 'service' when regexp_matches({low}, 'web|frontend|dashboard') then 'app' when coalesce(manifest_path, '') <> '' then 'package' end"
@@ -218,13 +254,13 @@ def build() -> dict[str, str]:
         "pruned_files": "select repo_id, relative_path from vf",
         "line_counts": f"select repo_id, relative_path, ({_LINES})::bigint as lines from vf",
         "language_stats": "select repo_id, language, files, lines, percentage, total_files, total_lines from lang_stats",
-        "language_confidence": f"""select repo_id, coalesce(c.language, m.language) as language, coalesce(files, 0) as files,
+        "language_confidence": f"""select *, row_number() over (partition by repo_id order by confidence desc, language) as position from (select repo_id, coalesce(c.language, m.language) as language, coalesce(files, 0) as files,
  case when files is null then case when len(k) > 1 then 1.0 else 0.8 end when k is not null then 1.0 when files >= 10 then 1.0 when files >= 3 then 0.8 else 0.5 end::double as confidence,
  array_to_string(list_concat(case when files is not null then [files || ' file(s) with matching extensions'] else [] end, coalesce(list_transform(k, lambda x, i: case when i = 1 and files is null then case when x[1] = '1' then 'manifest file: ' || x[3] else x[3] || ' files found' end when x[1] = '1' then 'confirmed by ' || x[3] else 'confirmed by ' || x[3] || ' files' end), [])), '; ') as evidence
- from lang_counts c full join (select repo_id, value as language, list(['' || kind, printf('%03d', rule), key] order by kind, rule) as k from (select distinct repo_id, 1 as kind, rule, key, value from prim join {_rules(R.MANIFEST_CONFIRMS)} on name = key union all select distinct repo_id, 2, rule, key, value from prim join {_rules(R.EXT_MANIFEST_CONFIRMS)} on ext = key) group by repo_id, value) m using (repo_id, language)""",
+ from lang_counts c full join (select repo_id, value as language, list(['' || kind, printf('%03d', rule), key] order by kind, rule) as k from (select distinct repo_id, 1 as kind, rule, key, value from prim join {_rules(R.MANIFEST_CONFIRMS)} on name = key union all select distinct repo_id, 2, rule, key, value from prim join {_rules(R.EXT_MANIFEST_CONFIRMS)} on ext = key) group by repo_id, value) m using (repo_id, language))""",
         **{f"framework_{n}": f"select {stage} from fw_{n}" for n in ("config", "npm", "python", "go", "rust", "gem", "elixir", "dotnet", "jvm", "php", "scala")},
         **{f"pm_{n}": f"select {stage} from pm_{n}" for n in ("lockfile", "manifest", "extension", "field", "pip")},
-        **{n: f"select ord::bigint as ord, {stage} from {n}" for n in ("frameworks", "package_managers", "ci_providers", "build_systems", "containers")},
+        **{n: f"select stage, rule, sub, {stage} from {n}" for n in ("frameworks", "package_managers", "ci_providers", "build_systems", "containers")},
         **{f"runtime_{n}": f"select repo_id, language, version, source, relative_path from rt_{n} where version <> ''" for n in ("single", "go", "gemfile", "engines", "pyproject", "cargo", "tool_versions", "mise")},
         "runtimes": "select * from runtimes",
         "python_signals": "select * from signals",
@@ -236,7 +272,7 @@ def build() -> dict[str, str]:
         "uv_members": "select repo_id, pos::bigint as pos, parent from uv",
         "component_discovery": "select * from discovered",
         "leaf_components": "select repo_id, path from leaf",
-        "component_hints_derived": "select repo_id, ord, path, name, description, manifest_path, manifest_name from hints",
+        "component_hints_derived": "select repo_id, stage, rule, sub, path, name, description, manifest_path, manifest_name from hints",
         "components": "select * from comps",
         "secondary_kinds": "select repo_id, path, kind, secondary_kinds from seconds",
         "component_owner": "select * from owners",
@@ -249,12 +285,22 @@ def build() -> dict[str, str]:
         "ignore_verdicts": "select repo_id, relative_path, ignored from ign_files",
         "pruned_folders": "select * from pruned",
         "indexed_files": "select repo_id, relative_path from indexed",
+        "files_matching": "select repo_id, relative_path from vf where ext = '.toml' or name = 'Dockerfile'",
+        "ini_entries": f"""select repo_id, relative_path, section, key, max_by(value, line_no) as value from (select repo_id, relative_path, line_no, section,
+ lower({_trim("substring(line, 1, instr(line, '=') - 1)")}) as key, {_trim("substring(line, instr(line, '=') + 1)")} as value, line from (
+ select *, coalesce(last_value(case when regexp_matches(line, '^\\[([^\\]]+)\\]$') then lower({_trim("regexp_extract(line, '^\\[([^\\]]+)\\]$', 1)")}) end ignore nulls) over (partition by repo_id, relative_path order by line_no rows between unbounded preceding and current row), '') as section
+ from (select repo_id, relative_path, generate_subscripts(l, 1) as line_no, {_trim("unnest(l)")} as line from (select *, string_split(content, chr(10)) as l from vf where name = 'setup.cfg')) where line <> '' and not regexp_matches(line, '^[#;]'))
+ where not regexp_matches(line, '^\\[[^\\]]+\\]$') and instr(line, '=') > 1) group by all""",
         "find_files": "select repo_id, relative_path from vf where name in ('package.json', 'Dockerfile') or ext in ('.ts', '.toml')",
         "files_under": "select repo_id, relative_path from vf where starts_with(relative_path, 'apps/web/') or relative_path = 'apps/web'",
         "repos_with": "select distinct repo_id from vf where name in ('turbo.json') or ext in ('.sln')",
         "test_files": "select repo_id, relative_path, is_secondary or regexp_matches(name, '\\.test\\.|\\.spec\\.|^test_|(?:_test\\.(?:go|py|exs|rs))$') as is_test, regexp_matches(name, '\\.gen\\.|\\.generated\\.|\\.Designer\\.|(?:\\.pb\\.(?:go|ts)|\\.g\\.(?:cs|dart))$') or regexp_matches(relative_path, '/[Mm]igrations/') as is_generated from vf",
     }
     out = {k: prelude + v for k, v in own.items()}
+    checkouts = _ctes(stored, "vs")
+    alike = {"frameworks": "frameworks", "package_managers": "package_managers", "ci_providers": "ci_providers", "containers": "containers", "runtimes": "runtimes", "confidence": "language_confidence"}
+    out |= {f"checkout_{k}": checkouts + own[v] for k, v in (alike | {"components": "components", "monorepos": "monorepo_flag", "inventory": "inventory_flat"}).items()}
+    out |= {"scan_report": _ctes(virtual, listed=True) + _report(), "checkout_report": _ctes(stored, listed=True) + _report(), "scan_report_part": _ctes(virtual, listed=True) + _report(False)}
     one_file = "(select repo_id, relative_path, any_value(name) as name, any_value(ext) as ext, any_value(content) as content from files where repo_id is not null and relative_path is not null group by all)"
     out["detector_catalog"] = "select * from (values " + ", ".join(f"({i}, {q(a)}, {q(b)})" for i, (a, b) in enumerate(R.DETECTORS)) + ") t(ord, id, description)"
     out["checkout_languages"] = (

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.operators.components import classified, owner_of, secondary_kinds
-from arborlake.operators.ignore import indexed_files
+from arborlake.operators.ignore import with_listed
 from arborlake.plans import detectors as D
 from arborlake.plans import monorepo as M
 from arborlake.plans.rules import DETECTORS
-from arborlake.runtime import cut
+from arborlake.runtime import keep
 
 IDS = tuple(i for i, _ in DETECTORS)
 _LISTS = (("framework", "frameworks"), ("packageManager", "packageManagers"), ("ciProvider", "ciProviders"), ("buildSystem", "buildSystems"), ("containerization", "containerization"))
@@ -30,16 +30,18 @@ def selection(detectors: Iterable[str] | None) -> tuple[str, ...]:
     return wanted
 
 
-def inventory_values(files: DataFrame, chosen: Sequence[str] = IDS, frameworks: DataFrame | None = None) -> DataFrame:
-    """Distinct ``repo_id, category, value`` of the plain lists of the inventory."""
-    find = lambda d: frameworks if d == "framework" and frameworks is not None else D.DETECTOR_FUNCTIONS[d](files)
-    parts = [find(d).select("repo_id", F.lit(category).alias("category"), "value") for d, category in _LISTS if d in chosen]
+def inventory_values(files: DataFrame, chosen: Sequence[str] = IDS, found: DataFrame | None = None) -> DataFrame:
+    """Distinct ``repo_id, category, value`` of the plain lists of the inventory; ``found`` are findings that were made before."""
+    names = [(d, category) for d, category in _LISTS if d in chosen]
+    out = None
+    if names:
+        found = D.findings(files, [d for d, _ in names]) if found is None else found
+        category = F.create_map(*(F.lit(x) for pair in names for x in pair))[F.col("detector")]
+        out = found.select("repo_id", category.alias("category"), "value").filter("category is not null").distinct()
     if "language" in chosen:
-        parts.append(D.language_stats(files).select("repo_id", F.lit("languages").alias("category"), F.col("language").alias("value")))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return union.distinct()
+        languages = D.by_extension(files, D.R.EXT_TO_LANGUAGE).select("repo_id", F.lit("languages").alias("category"), "value").distinct()
+        out = languages if out is None else out.unionByName(languages)
+    return out
 
 
 def _empty(kind: str) -> Column:
@@ -77,7 +79,7 @@ def component_frameworks(findings: DataFrame, components: DataFrame) -> DataFram
 def component_rows(files: DataFrame, raw: DataFrame, chosen: Sequence[str] = IDS, frameworks: DataFrame | None = None) -> DataFrame:
     """One row per component: ``repo_id`` and the struct ``component`` with what was run on it."""
     # read four times below, and never larger than the components themselves
-    components = cut(secondary_kinds(classified(M.component_hints(files, raw)), files))
+    components = keep(secondary_kinds(classified(M.component_hints(files, raw)), files))
     scoped: list[Column] = []
     rows = components
     if "framework" in chosen:
@@ -96,30 +98,33 @@ def scan_results(raw: DataFrame, detectors: Iterable[str] | None = None) -> Data
     """One nested row per repository of ``raw``; parts of detectors that weren't run are absent columns or fields.
 
     The texts are read once, into a table of the manifests' texts and all
-    files' line counts, from which every detector works.
+    files' line counts, from which every detector works.  Nothing runs before
+    the report is asked for.
 
     With a selection, a part that no chosen detector owns is left out; an empty
     selection leaves ``repo_id`` and ``scannedAt`` only.
     """
     chosen = selection(detectors)
-    raw = cut(D.compact(raw))
-    files = cut(indexed_files(raw)) if chosen else raw
-    frameworks = cut(D.frameworks(files)) if "framework" in chosen else None
+    raw = keep(with_listed(D.compact(raw)))
+    files = raw.filter("listed")
+    wanted = [d for d in chosen if d in D.REGISTRY]
+    found = keep(D.findings(files, wanted)) if wanted else None
+    frameworks = found.filter("detector = 'framework'") if "framework" in chosen else None
     out = raw.select("repo_id").distinct()
     stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     columns: list[Column] = [F.col("repo_id"), stamp.alias("scannedAt")]
     inventory: list[Column] = []
     lists = [c for d, c in (("language", "languages"), *_LISTS) if d in chosen]
-    if lists:  # findings are few; the texts were read above
+    if lists:
         # a pivot over fixed categories: one pass, one row per repository
-        wide = cut(inventory_values(files, chosen, frameworks)).groupBy("repo_id").agg(*(F.array_sort(F.collect_set(F.when(F.col("category") == c, F.col("value")))).alias(c) for c in lists))
+        wide = inventory_values(files, chosen, found).groupBy("repo_id").agg(*(F.array_sort(F.collect_set(F.when(F.col("category") == c, F.col("value")))).alias(c) for c in lists))
         out = out.join(wide, "repo_id", "left")
         inventory += [F.coalesce(c, _empty("array<string>")).alias(c) for c in lists]
     if "runtime" in chosen:
         order = F.struct(F.collate("language", "UNICODE").alias("a"), F.collate("version", "UNICODE").alias("b"), "language", "version", "source")
-        found = D.runtimes(files).groupBy("repo_id").agg(F.array_sort(F.collect_list(order)).alias("r"))
+        versions = D.runtimes_of(found).groupBy("repo_id").agg(F.array_sort(F.collect_list(order)).alias("r"))
         plain = F.transform("r", lambda x: F.struct(x["language"].alias("language"), x["version"].alias("version"), x["source"].alias("source")))
-        out = out.join(found.select("repo_id", plain.alias("runtimes")), "repo_id", "left")
+        out = out.join(versions.select("repo_id", plain.alias("runtimes")), "repo_id", "left")
         inventory.append(F.coalesce("runtimes", _empty("array<struct<language:string,version:string,source:string>>")).alias("runtimes"))
     if inventory:
         columns.append(F.struct(*inventory).alias("inventory"))

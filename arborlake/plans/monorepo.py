@@ -10,7 +10,6 @@ from arborlake.operators.components import discovered
 from arborlake.operators.rulejoin import by_extension, by_name
 from arborlake.plans import rules as R
 from arborlake.plans.detectors import primary, text_of
-from arborlake.runtime import cut
 
 _HINT = ("repo_id", "stage", "rule", "sub", "path", "name", "description", "manifest_path", "manifest_name")
 _NO_TEXT = "cast(null as string)"
@@ -36,8 +35,7 @@ def _hints(df: DataFrame, number: int, rule: Column | int, sub: Column | int, pa
 
 def sln_projects(files: DataFrame) -> DataFrame:
     rows = primary(files).filter(F.col("ext") == ".sln").withColumn("text", readable(F.col("content"))).filter("text is not null")
-    pattern = r'Project\("[^"]*"\)\s*=\s*"([^"]+)"\s*,\s*"([^"]+\.(?:csproj|fsproj|vbproj))"'
-    both = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("project"))
+    both = F.arrays_zip(*(F.regexp_extract_all("text", F.lit(R.SLN_PROJECT_RE), F.lit(i)).alias(n) for i, n in ((1, "name"), (2, "project"))))
     found = rows.select("repo_id", "relative_path", F.posexplode(both).alias("pos", "p"))
     folder = F.regexp_extract(F.translate(F.col("p")["project"], "\\", "/"), r"^(.*)/[^/]*$", 1)
     # several solutions of a repository are taken by path
@@ -48,9 +46,9 @@ def sln_projects(files: DataFrame) -> DataFrame:
 def pnpm_globs(files: DataFrame, raw: DataFrame) -> DataFrame:
     """``repo_id, pos, glob`` of the workspace file at the top."""
     lines = root_texts(raw, "pnpm-workspace.yaml").join(having(files, "pnpm-workspace.yaml"), "repo_id", "left_semi")
-    lines = lines.select("repo_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "raw")).withColumn("line", F.regexp_replace("raw", "#.*$", ""))
-    item = F.regexp_extract("line", r"""^\s*-\s*['"]?([^'"\s]+)['"]?\s*$""", 1)
-    opens, stops = F.col("line").rlike(r"^\s*packages\s*:"), F.col("line").rlike(r"^\S")
+    lines = lines.select("repo_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "raw")).withColumn("line", F.regexp_replace("raw", R.PNPM_COMMENT_RE, ""))
+    item = F.regexp_extract("line", R.PNPM_ITEM_RE, 1)
+    opens, stops = F.col("line").rlike(R.PNPM_OPEN_RE), F.col("line").rlike(R.PNPM_END_RE)
     state = F.when(opens, F.lit(1)).when((item == "") & stops, F.lit(0))
     # the lines of one small file of each repository
     within = F.last(state, ignorenulls=True).over(Window.partitionBy("repo_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
@@ -75,7 +73,7 @@ def _workspace_hints(globs: DataFrame, files: DataFrame, found: DataFrame, numbe
     literal = globs.filter(~F.col("glob").contains("*")).select("repo_id", "pos", "glob", F.concat("glob", F.lit("/package.json")).alias("relative_path"))
     manifests = primary(files).filter(F.col("name") == "package.json").select("repo_id", "relative_path", "content")
     one = literal.join(manifests, ["repo_id", "relative_path"]).withColumn("json", json_value(F.col("content")))
-    name = F.coalesce(F.nullif(text_of(F.col("json"), "$.name"), F.lit("")), basename(F.col("glob")))
+    name = F.coalesce(text_of(F.col("json"), "$.name"), basename(F.col("glob")))
     first = _hints(one, number, F.col("pos"), 0, F.col("glob"), name, description=text_of(F.col("json"), "$.description"), manifest_path=F.col("relative_path"), manifest_name=F.lit("package.json"))
     parents = globs.filter(F.col("glob").contains("*")).select("repo_id", "pos", F.get(F.split("glob", "/"), F.lit(0)).alias("parent")).filter("parent not in ('', '*')")
     return first.unionByName(_discovered_hints(parents.join(found, ["repo_id", "parent"]), number, F.col("pos")))
@@ -88,11 +86,10 @@ def _discovered_hints(df: DataFrame, number: int, rule: Column | int) -> DataFra
 def go_work_uses(files: DataFrame, raw: DataFrame) -> DataFrame:
     """``repo_id, pos, path`` of the modules that the file at the top uses."""
     rows = root_texts(raw, "go.work").join(having(files, "go.work"), "repo_id", "left_semi")
-    block = r"use\s*\(([^)]*)\)"
-    strip = lambda line: trim(F.regexp_replace(line, r"//.*$", ""))
-    listed = F.filter(F.transform(lines_of(F.regexp_extract("text", block, 1)), strip), lambda x: x != "")
-    single = F.filter(F.transform(lines_of(F.col("text")), lambda x: F.regexp_extract(strip(x), r"^use\s+(\S+)$", 1)), lambda x: x != "")
-    return rows.select("repo_id", F.posexplode(F.when(F.col("text").rlike(block), listed).otherwise(single)).alias("pos", "line")).select("repo_id", "pos", F.regexp_replace("line", r"^\./", "").alias("path"))
+    strip = lambda line: trim(F.regexp_replace(line, R.GO_COMMENT_RE, ""))
+    listed = F.filter(F.transform(lines_of(F.regexp_extract("text", R.GO_USE_BLOCK_RE, 1)), strip), lambda x: x != "")
+    single = F.filter(F.transform(lines_of(F.col("text")), lambda x: F.regexp_extract(strip(x), R.GO_USE_LINE_RE, 1)), lambda x: x != "")
+    return rows.select("repo_id", F.posexplode(F.when(F.col("text").rlike(R.GO_USE_BLOCK_RE), listed).otherwise(single)).alias("pos", "line")).select("repo_id", "pos", F.regexp_replace("line", r"^\./", "").alias("path"))
 
 
 def _go_work_hints(files: DataFrame, raw: DataFrame) -> DataFrame:
@@ -106,28 +103,30 @@ def _go_work_hints(files: DataFrame, raw: DataFrame) -> DataFrame:
 def gradle_modules(raw: DataFrame, settings: str) -> DataFrame:
     """``repo_id, pos, path`` of all quoted modules of include lines; an empty path for a bare ':'."""
     rows = root_texts(raw, settings)
-    lines = F.regexp_extract_all("text", F.lit(r"include\s*\(?([^)\n]+)\)?"), F.lit(1))
-    quoted = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(r"""['"](:?[^'"]+)['"]"""), F.lit(1))))
+    lines = F.regexp_extract_all("text", F.lit(R.GRADLE_INCLUDE_RE), F.lit(1))
+    quoted = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(R.GRADLE_MODULE_RE), F.lit(1))))
     return rows.select("repo_id", F.posexplode(quoted).alias("pos", "module")).select("repo_id", "pos", F.replace(F.regexp_replace("module", "^:", ""), F.lit(":"), F.lit("/")).alias("path"))
 
 
 def maven_modules(raw: DataFrame) -> DataFrame:
     rows = root_texts(raw, "pom.xml").filter(F.col("text").contains("<modules>"))
-    return rows.select("repo_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"<module>([^<]+)</module>"), F.lit(1))).alias("pos", "module")).select("repo_id", "pos", trim(F.col("module")).alias("path"))
+    return rows.select("repo_id", F.posexplode(F.regexp_extract_all("text", F.lit(R.MAVEN_MODULE_RE), F.lit(1))).alias("pos", "module")).select("repo_id", "pos", trim(F.col("module")).alias("path"))
 
 
 def uv_members(raw: DataFrame) -> DataFrame:
     """``repo_id, pos, parent`` of the members' first folders."""
     rows = root_texts(raw, "pyproject.toml").filter(F.col("text").contains("[tool.uv.workspace]"))
-    members = F.regexp_extract("text", r"(?s)\[tool\.uv\.workspace\][^\[]*members\s*=\s*\[([^\]]*)\]", 1)
-    entries = F.regexp_extract_all(members, F.lit(r"""["']([^"']+)["']"""), F.lit(1))
+    members = F.regexp_extract("text", R.UV_MEMBERS_RE, 1)
+    entries = F.regexp_extract_all(members, F.lit(R.QUOTED_RE), F.lit(1))
     return rows.select("repo_id", F.posexplode(entries).alias("pos", "glob")).select("repo_id", "pos", F.get(F.split("glob", "/"), F.lit(0)).alias("parent")).filter("parent not in ('', '*')")
 
 
 def component_hints(files: DataFrame, raw: DataFrame) -> DataFrame:
-    """Hints of all stages, a path's later hints dropped as the stages do: ``repo_id, ord, place, path, name, description, manifest_path, manifest_name, kind``."""
-    # a row per component, read by five stages
-    found = cut(discovered(files))
+    """Hints of all stages, a path's later hints dropped as the stages do: ``repo_id, stage, rule, sub, path, name, description, manifest_path, manifest_name, kind``.
+
+    What comes first is told by (stage, rule, sub).
+    """
+    found = discovered(files)
     umbrella = root_texts(raw, "mix.exs").filter(F.col("text").contains("apps_path")).select("repo_id", F.lit("apps").alias("parent"))
     pubspecs = primary(files).filter((F.col("name") == "pubspec.yaml") & (F.size("segments") > 1)).join(having(files, "melos.yaml"), "repo_id", "left_semi")
     pubspecs = pubspecs.withColumns({"folder": dirname(F.col("relative_path")), "json": json_value(F.col("content"))})
@@ -150,13 +149,11 @@ def component_hints(files: DataFrame, raw: DataFrame) -> DataFrame:
     union = stages[0]
     for s in stages[1:]:
         union = union.unionByName(s)
-    order = F.col("stage").cast("bigint") * 100_000_000 + F.least("rule", F.lit(9_999)) * 10_000 + F.least("sub", F.lit(9_999))
-    # ``ord`` has four digits for rule and sub, so what comes first is told by ``place``
-    rows = union.select("repo_id", order.alias("ord"), F.struct("stage", "rule", "sub").alias("place"), "stage", "path", "name", "description", "manifest_path", "manifest_name", F.expr(_NO_TEXT).alias("kind"))
+    rows = union.withColumn("kind", F.expr(_NO_TEXT))
     # one stage adds its hints whether or not the path is taken
-    first = rows.groupBy("repo_id", "path").agg(F.min(F.struct("place", "ord", "name", "description", "manifest_path", "manifest_name", "kind")).alias("h"))
-    kept = first.select("repo_id", "path", "h.*").unionByName(rows.filter(F.col("stage") == NPM).drop("stage")).distinct()
-    return kept.select("repo_id", "ord", "place", "path", "name", "description", "manifest_path", "manifest_name", "kind")
+    hint = F.struct("stage", "rule", "sub", "name", "description", "manifest_path", "manifest_name", "kind")
+    grouped = rows.groupBy("repo_id", "path").agg(F.min(hint).alias("first"), F.collect_set(F.when(F.col("stage") == NPM, hint)).alias("more"))
+    return grouped.select("repo_id", "path", F.inline(F.array_union(F.array("first"), "more")))
 
 
 def monorepo_findings(files: DataFrame, raw: DataFrame) -> DataFrame:
@@ -169,9 +166,9 @@ def monorepo_findings(files: DataFrame, raw: DataFrame) -> DataFrame:
     def once(df: DataFrame, number: int, value: str, evidence: str) -> DataFrame:
         return rows(df.select("repo_id").distinct(), number, F.lit(value), F.lit(evidence))
 
-    markers = by_name(files, R.MONOREPO_MARKERS).select("repo_id", "rule", "key", "value").distinct()
+    markers = by_name(files, R.MONOREPO_MARKERS).select("repo_id", "rule", F.col("name").alias("key"), "value").distinct()
     solutions = by_extension(primary(files), R.MONOREPO_EXTENSIONS).groupBy("repo_id", "rule", "value").agg(F.min_by("name", "relative_path").alias("name"))
-    sbt = root_texts(raw, "build.sbt").filter(F.col("text").rlike(r"lazy\s+val\s+\w+\s*=\s*\(?project") | F.col("text").contains(".aggregate("))
+    sbt = root_texts(raw, "build.sbt").filter(F.col("text").rlike(R.SBT_PROJECT_RE) | F.col("text").contains(".aggregate("))
     named = [
         rows(markers, 1, F.col("value"), F.concat(F.lit("found "), "key"), F.col("rule")),
         rows(solutions, 2, F.col("value"), F.concat(F.lit("found "), "name"), F.col("rule")),

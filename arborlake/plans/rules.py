@@ -138,3 +138,18 @@ DETECTORS = (
     ("buildSystem", "Build system orchestration detection"), ("containerization", "Container runtime and orchestration detection"),
     ("runtime", "Runtime version detection from project config"),
 )
+# Patterns that texts are read by.  Fixed values as well.
+GO_VERSION_RE = r"(?m)^go\s+([0-9.]+)"
+GEMFILE_RUBY_RE = r"""(?m)^\s*ruby\s+['"]([^'"]+)['"]"""
+REQUIRES_PYTHON_RE = r'(?m)^\s*requires-python\s*=\s*"([^"]+)"'
+RUST_VERSION_RE = r'(?m)^\s*rust-version\s*=\s*"([^"]+)"'
+MISE_TOOL_RE = r'(?m)^\s*([A-Za-z0-9_-]+)\s*=\s*"([^"]+)"'
+TOOL_COMMENT_RE = r"#[^\r\n]*\z"
+SLN_PROJECT_RE = r'Project\("[^"]*"\)\s*=\s*"([^"]+)"\s*,\s*"([^"]+\.(?:csproj|fsproj|vbproj))"'
+PNPM_COMMENT_RE = r"#[^\r\n]*\z"
+PNPM_OPEN_RE, PNPM_ITEM_RE, PNPM_END_RE = r"^\s*packages\s*:", r"""^\s*-\s*['"]?([^'"\s]+)['"]?\s*$""", r"^\S"
+GO_USE_BLOCK_RE, GO_USE_LINE_RE, GO_COMMENT_RE = r"use\s*\(([^)]*)\)", r"^use\s+(\S+)$", r"//[^\r\n]*\z"
+SBT_PROJECT_RE = r"lazy\s+val\s+\w+\s*=\s*\(?project"
+GRADLE_INCLUDE_RE, GRADLE_MODULE_RE = r"include\s*\(?([^)\n]+)\)?", r"""['"](:?[^'"]+)['"]"""
+MAVEN_MODULE_RE = r"<module>([^<]+)</module>"
+UV_MEMBERS_RE, QUOTED_RE = r"(?s)\[tool\.uv\.workspace\][^\[]*members\s*=\s*\[([^\]]*)\]", r"""["']([^"']+)["']"""

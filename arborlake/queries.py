@@ -36,8 +36,16 @@ def _register(name: str, build: Callable[[DataFrame, DataFrame], DataFrame]) ->
     QUERIES[name] = query
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("bigint") for c in ("stage", "rule", "sub")})
+
+
 def _flat(findings: DataFrame) -> DataFrame:
-    return findings.select("ord", "repo_id", "value", "confidence", F.array_join("evidence", "; ").alias("evidence"), "file_path")
+    return _placed(findings).select("stage", "rule", "sub", "repo_id", "value", "confidence", F.array_join("evidence", "; ").alias("evidence"), "file_path")
+
+
+def _versions(hits: DataFrame) -> DataFrame:
+    return hits.select("repo_id", F.col("value").alias("language"), "version", F.col("evidence").alias("source"), F.col("file_path").alias("relative_path"))
 
 
 _register("virtual_files", lambda f, raw: raw.select("repo_id", "relative_path", "name", "ext", "content"))
@@ -45,7 +53,7 @@ _register("derived_columns", lambda f, raw: raw.select("repo_id", "relative_path
 _register("pruned_files", lambda f, raw: f.select("repo_id", "relative_path"))
 _register("line_counts", lambda f, raw: f.select("repo_id", "relative_path", line_count(F.col("content")).alias("lines")))
 _register("language_stats", lambda f, raw: D.language_stats(f).select("repo_id", "language", "files", "lines", "percentage", "total_files", "total_lines"))
-_register("language_confidence", lambda f, raw: D.language_findings(f).withColumn("evidence", F.array_join("evidence", "; ")))
+_register("language_confidence", lambda f, raw: D.language_findings(f).withColumns({"evidence": F.array_join("evidence", "; "), "position": F.col("position").cast("bigint")}))
 for _s in D.FRAMEWORK_STAGES:
     _register(_s.__name__, lambda f, raw, s=_s: s(f).select(*_STAGE))
 for _s in (D.pm_lockfile, D.pm_manifest, D.pm_extension, D.pm_field, D.pm_pip):
@@ -53,7 +61,7 @@ for _s in (D.pm_lockfile, D.pm_manifest, D.pm_extension, D.pm_field, D.pm_pip):
 for _s in (D.frameworks, D.package_managers, D.ci_providers, D.build_systems, D.containers):
     _register(_s.__name__, lambda f, raw, s=_s: _flat(s(f)))
 for _s in D.RUNTIME_STAGES:
-    _register(_s.__name__, lambda f, raw, s=_s: s(f).select("repo_id", "language", "version", "source", "relative_path"))
+    _register(_s.__name__, lambda f, raw, s=_s: _versions(s(f)))
 _register("runtimes", lambda f, raw: D.runtimes(f))
 _register("python_signals", lambda f, raw: D.python_signal_folders(f))
 _register("sln_projects", lambda f, raw: M.sln_projects(f).select("repo_id", "path", "name"))
@@ -64,7 +72,7 @@ _register("maven_modules", lambda f, raw: M.maven_modules(raw).withColumn("pos",
 _register("uv_members", lambda f, raw: M.uv_members(raw).withColumn("pos", F.col("pos").cast("bigint")))
 _register("component_discovery", lambda f, raw: C.discovered(f))
 _register("leaf_components", lambda f, raw: C.discovered(f).select("repo_id", "path"))
-_register("component_hints_derived", lambda f, raw: M.component_hints(f, raw).drop("kind", "place"))
+_register("component_hints_derived", lambda f, raw: _placed(M.component_hints(f, raw)).drop("kind"))
 _register("components", lambda f, raw: C.classified(M.component_hints(f, raw)))
 _register("secondary_kinds", lambda f, raw: C.secondary_kinds(_components(f, raw), f).select("repo_id", "path", "kind", F.coalesce(F.array_join("secondary_kinds", ","), F.lit("")).alias("secondary_kinds")))
 _register("component_owner", lambda f, raw: C.owner_of(f, "relative_path", _components(f, raw)))
@@ -74,9 +82,11 @@ _register("monorepo_findings", lambda f, raw: M.monorepo_findings(f, raw))
 _register("monorepo_flag", lambda f, raw: M.monorepo_flags(f, raw))
 _register("inventory_flat", lambda f, raw: A.inventory_values(f))
 _register("ignore_rules", lambda f, raw: I.ignore_rules(f).select("repo_id", F.col("ord").cast("bigint").alias("ord"), "pattern", "negated", "dir_only", "anchored"))
-_register("ignore_verdicts", lambda f, raw: I.verdicts(f.select("repo_id", "relative_path"), I.ignore_rules(f), "relative_path", "file_regex"))
+_register("ignore_verdicts", lambda f, raw: I.verdicts(f.select("repo_id", "relative_path"), I.ignore_rules(f), "relative_path"))
 _register("pruned_folders", lambda f, raw: I.pruned_folders(f, I.ignore_rules(f)))
 _register("indexed_files", lambda f, raw: I.indexed_files(raw).select("repo_id", "relative_path"))
+_register("files_matching", lambda f, raw: L.matching(f, "*.TOML").unionByName(L.matching(f, "Dockerfile")).select("repo_id", "relative_path"))
+_register("ini_entries", lambda f, raw: L.ini_entries(L.with_name(f, "setup.cfg"), ["repo_id", "relative_path"], "content"))
 _register("find_files", lambda f, raw: L.matching_any(f, ["package.json", "Dockerfile", "*.ts", "*.toml"]).select("repo_id", "relative_path"))
 _register("files_under", lambda f, raw: L.under(f, "apps/web").select("repo_id", "relative_path"))
 _register("repos_with", lambda f, raw: L.has_any(f, ["turbo.json", "*.sln"]))
@@ -105,11 +115,22 @@ def detector_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(R.DETECTORS)], "ord int, id string, description string")
 
 
+def _as_json(report: DataFrame) -> DataFrame:
+    """The parts of nested reports as JSON, without the time of the scan."""
+    parts = {"inventory": "inventory", "architecture": "architecture", "languageStats": "language_stats"}
+    return report.select("repo_id", *(F.to_json(c, {"ignoreNullFields": "false"}).alias(n) for c, n in parts.items() if c in report.columns))
+
+
 @_query
 def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole nested report of every virtual repository, as JSON, without the time of the scan."""
-    report = A.scan_results(virtual_files(spark, sf_dir))
-    return report.select("repo_id", F.to_json(F.struct("inventory", "architecture", "languageStats")).alias("report"))
+    """The whole nested report of every virtual repository, as JSON."""
+    return _as_json(A.scan_results(virtual_files(spark, sf_dir)))
+
+
+@_query
+def scan_report_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of two detectors alone."""
+    return _as_json(A.scan_results(virtual_files(spark, sf_dir), ["runtime", "language"]))
 
 
 def _checkouts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +143,31 @@ def _checkouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_per_key(D.compact(files), ["repo_id", "relative_path"])
 
 
+def _checkout(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
+    """A query over the stored files."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return build(_checkouts(spark, sf_dir))
+
+    query.__name__ = name
+    QUERIES[name] = query
+
+
+for _n, _f in {"frameworks": D.frameworks, "package_managers": D.package_managers, "ci_providers": D.ci_providers, "containers": D.containers}.items():
+    _checkout(f"checkout_{_n}", lambda files, f=_f: _flat(f(files)))
+_checkout("checkout_runtimes", D.runtimes)
+_checkout("checkout_confidence", lambda files: D.language_findings(files).withColumns({"evidence": F.array_join("evidence", "; "), "position": F.col("position").cast("bigint")}))
+_checkout("checkout_components", lambda files: C.classified(M.component_hints(files, files)))
+_checkout("checkout_monorepos", lambda files: M.monorepo_flags(files, files))
+_checkout("checkout_inventory", A.inventory_values)
+
+
+@_query
+def checkout_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole nested report of every stored repository, as JSON."""
+    return _as_json(A.scan_results(_checkouts(spark, sf_dir)))
+
+
 @_query
 def checkout_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.language_stats(_checkouts(spark, sf_dir)).select("repo_id", "language", "files", "lines", "percentage", "total_files", "total_lines")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +14,14 @@ MAX_BROADCAST_ROWS = 200_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a local one is set only where none is configured."""
+    """The shared folder named in ``spark.checkpoint.dir``; where none is configured a local one is set for a local master, and others are refused."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="arborlake-"))
     return context.getCheckpointDir()
 
@@ -29,6 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Keep what ``df`` gives once something asks for it, for a plan that reads it more than once; nothing runs now.
+
+    The lineage stays, so parts that are lost with an executor are made again.  ``spark.catalog.clearCache()`` frees what is kept.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, bound: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if the counted ``rows`` stay within ``bound``; otherwise leave the join to Catalyst."""
     return F.broadcast(df) if rows <= bound else df

@@ -2,27 +2,43 @@
 
 Each document becomes a file of one of 20 repositories; folder and name follow
 from its id, and manifests get one of four fixed texts, so that every rule has
-rows that match and rows that don't.
+rows that match and rows that don't.  Every other one of the first documents
+of a repository becomes a file at its top (workspace manifests, ignore rules)
+or a file that those refer to.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.functions.paths import derive
+from arborlake.functions.paths import basename, derive
 from arborlake.runtime import read
 
 FOLDERS = (
-    "", "apps/web", "apps/web/src", "apps/admin", "services/api", "packages/ui", "packages/ui/src", "packages/core", "libs/util/tests", "crates/engine",
+    "docs", "apps/web", "apps/web/src", "apps/admin", "services/api", "packages/ui", "packages/ui/src", "packages/core", "libs/util/tests", "crates/engine",
     ".github/workflows", "node_modules/dep", "examples/demo", "infra/prod", "tools/gen", ".cache/tmp",
+    "db/migrations", "/".join(["d"] * 50), "/".join(["e"] * 51),
 )
 NAMES = (
     "index.ts", "main.py", "package.json", "Dockerfile", "lib.rs", "main.go", "go.mod", "Cargo.toml", "pyproject.toml", "requirements.txt", "Makefile", "App.tsx",
     "util.js", "Gemfile", ".nvmrc", ".tool-versions", "pom.xml", "build.gradle", "yarn.lock", "poetry.lock", "turbo.json", "server.ts", "vite.config.ts", "README.md",
     "ci.yml", "composer.json", "mix.exs", "App.csproj", "build.sbt", "settings.gradle", "settings.gradle.kts", "go.work", "pnpm-workspace.yaml", "mise.toml", "All.sln",
     "pubspec.yaml", "melos.yaml", "next.config.js", "Pipfile.lock", "build.gradle.kts", ".gitlab-ci.yml", "index.html", ".scanignore", "vercel.json", "uv.lock",
-    "Rakefile", "Jenkinsfile",
+    "Rakefile", "Jenkinsfile", "schema.gen.ts", "api.pb.go", "Form.Designer.cs", "setup.cfg",
+)
+#: Files at the top, each in most repositories.
+ROOTS = (
+    ".scanignore", "package.json", "pnpm-workspace.yaml", "go.work", "settings.gradle", "pom.xml", "Cargo.toml", "mix.exs", "build.sbt", "pyproject.toml", "melos.yaml", "settings.gradle.kts",
+    "turbo.json", "All.sln", "README.md", ".nvmrc", "Dockerfile", ".gitlab-ci.yml", "setup.cfg",
+)
+#: Files that those at the top refer to.
+PARTS = (
+    "packages/core/package.json", "services/api/go.mod", "apps/web/package.json", "apps/admin/package.json", "libs/util/package.json", "packages/ui/pyproject.toml", "packages/core/src/index.ts",
+    "apps/web/src/App.tsx", "services/api/Dockerfile", "crates/engine/Cargo.toml", "mobile/app/pubspec.yaml", "tools/gen/main.py", "examples/demo/index.ts", "services/api/main.go", "tools/log/a.js",
+    "apps/admin/server.ts", "core/Core.java",
 )
 SPAN = len(FOLDERS) * len(NAMES)
 REPOS = 20
@@ -80,24 +96,30 @@ TEXTS = {
         "",
     ),
     "pubspec.yaml": ("name: app\n", '{"name": "mobile", "description": "phone"}', "", "name: other\n"),
+    "setup.cfg": ("; own\n[Metadata]\nName = x\nname=y\n[tool]\nk = a=b\n", "top = 1\n[ A ]\nkey\n=v\n", "# none\n[empty]\n", ""),
     ".scanignore": ("# rules\ntools/\n!tools/gen/\n*.log\n", "examples/\n/README.md\n", "src/*.js\n**/admin\n", "*.t?\n!index.ts\n"),
 }
 
 
 def virtual_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``repo_id, relative_path, content, name, ext, segments, is_secondary``: the unfiltered tree."""
-    docs = read(spark, sf_dir, "documents").filter("doc_id is not null").select("doc_id", "text")
-    r, seq = F.expr(f"doc_id % {REPOS}"), F.expr(f"doc_id div {REPOS}")
-    folder = F.get(F.array(*map(F.lit, FOLDERS)), (F.col("seq") % len(FOLDERS)).cast("int"))
-    name = F.get(F.array(*map(F.lit, NAMES)), ((F.col("seq") + F.col("r")) % len(NAMES)).cast("int"))
-    extra = F.when(F.col("seq") >= SPAN, F.concat(F.lit("p"), F.expr(f"seq div {SPAN}").cast("string")))
-    texts = F.create_map(*(F.lit(x) for n, four in TEXTS.items() for k, t in enumerate(four) for x in (f"{n}#{k}", t)))
-    rows = docs.select("doc_id", "text", r.alias("r"), seq.alias("seq")).withColumn("_name", name)
+    docs = read(spark, sf_dir, "documents").filter("doc_id is not null").select("doc_id", "text", F.expr(f"doc_id % {REPOS}").alias("r"), F.expr(f"doc_id div {REPOS}").alias("seq"))
+    # lists and texts are read from one literal each, which keeps plans small
+    pick = lambda items, at: F.get(F.split(F.lit("|".join(items)), r"\|"), at.cast("int"))
+    r, seq, turn = F.col("r"), F.col("seq"), F.expr("seq div 4")
+    extra = F.when(seq >= SPAN, F.concat(F.lit("p"), F.expr(f"seq div {SPAN}").cast("string")))
+    folder, name = pick(FOLDERS, seq % len(FOLDERS)), pick(NAMES, (seq + r) % len(NAMES))
+    plain = F.concat_ws("/", folder, extra, name)
+    path = (
+        F.when((seq % 4 == 0) & (turn < len(ROOTS)), pick(ROOTS, (turn + r) % len(ROOTS)))
+        .when((seq % 4 == 2) & (turn < len(PARTS)), pick(PARTS, (turn + r) % len(PARTS)))
+        .otherwise(F.when(plain.isin(*PARTS), F.concat_ws("/", folder, F.lit("more"), name)).otherwise(plain))
+    )
+    texts = F.from_json(F.lit(json.dumps({f"{n}#{k}": t for n, four in TEXTS.items() for k, t in enumerate(four)})), "map<string,string>")
+    rows = docs.select("doc_id", "text", r, path.alias("relative_path")).withColumn("_name", basename(F.col("relative_path")))
     fixed = texts[F.concat("_name", F.lit("#"), F.expr("doc_id div 3 % 4").cast("string"))]
-    own = F.col("_name").isin(*TEXTS)
-    path = F.concat_ws("/", F.nullif(folder, F.lit("")), extra, "_name")
-    files = rows.select(F.concat(F.lit("repo"), F.col("r").cast("string")).alias("repo_id"), path.alias("relative_path"), F.when(own, fixed).otherwise(F.col("text")).alias("content"))
-    return derive(files)
+    content = F.when(F.col("_name").isin(*TEXTS), fixed).otherwise(F.col("text"))
+    return derive(rows.select(F.concat(F.lit("repo"), F.col("r").cast("string")).alias("repo_id"), "relative_path", content.alias("content")))
 
 
 def _quoted(text: str) -> str:
@@ -107,8 +129,11 @@ def _quoted(text: str) -> str:
 def virtual_files_sql() -> str:
     """The same as CTEs ``vfiles`` of a DuckDB query: start one with ``with`` + this."""
     cases = " ".join(f"when name = {_quoted(n)} and k = {k} then {_quoted(t)}" for n, four in TEXTS.items() for k, t in enumerate(four))
-    lists = [", ".join(map(_quoted, x)) for x in (FOLDERS, NAMES)]
+    listed = lambda items: "[" + ", ".join(map(_quoted, items)) + "]"
     return f"""v0 as (select doc_id, text, doc_id % {REPOS} as r, doc_id // {REPOS} as seq, doc_id // 3 % 4 as k from documents where doc_id is not null),
-v1 as (select *, ([{lists[0]}])[seq % {len(FOLDERS)} + 1] as dir, ([{lists[1]}])[(seq + r) % {len(NAMES)} + 1] as name from v0),
-vfiles as (select 'repo' || r as repo_id, concat_ws('/', nullif(dir, ''), case when seq >= {SPAN} then 'p' || (seq // {SPAN}) end, name) as relative_path, name,
- case {cases} else text end as content, lower(regexp_extract(name, '^.+(\\.[^.]*)$', 1)) as ext from v1)"""
+v1 as (select *, ({listed(FOLDERS)})[seq % {len(FOLDERS)} + 1] as dir, ({listed(NAMES)})[(seq + r) % {len(NAMES)} + 1] as plain_name, seq // 4 as turn from v0),
+v2 as (select *, concat_ws('/', dir, case when seq >= {SPAN} then 'p' || (seq // {SPAN}) end, plain_name) as plain from v1),
+v3 as (select *, case when seq % 4 = 0 and turn < {len(ROOTS)} then ({listed(ROOTS)})[(turn + r) % {len(ROOTS)} + 1] when seq % 4 = 2 and turn < {len(PARTS)} then ({listed(PARTS)})[(turn + r) % {len(PARTS)} + 1]
+ when list_contains({listed(PARTS)}, plain) then dir || '/more/' || plain_name else plain end as relative_path from v2),
+v4 as (select *, string_split(relative_path, '/')[-1] as name from v3),
+vfiles as (select 'repo' || r as repo_id, relative_path, name, case {cases} else text end as content, lower(regexp_extract(name, '^.+(\\.[^.]*)$', 1)) as ext from v4)"""

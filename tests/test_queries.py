@@ -8,7 +8,7 @@ SQL = entry_module.oracle_sql()
 NAMES = [
     "language_stats", "language_confidence", "line_counts", "derived_columns", "pruned_files", "indexed_files", "ignore_verdicts", "frameworks", "package_managers", "ci_providers", "runtimes",
     "workspace_globs", "component_discovery", "component_hints_derived", "secondary_kinds", "component_languages", "component_frameworks", "monorepo_flag", "inventory_flat",
-    "checkout_languages", "stored_findings", "component_kinds", "stored_component_frameworks", "share_text", "test_files",
+    "checkout_languages", "checkout_package_managers", "checkout_runtimes", "checkout_confidence", "checkout_report", "scan_report", "scan_report_part", "ini_entries", "files_matching", "stored_findings", "component_kinds", "stored_component_frameworks", "share_text", "test_files",
 ]
 
 
