@@ -10,9 +10,12 @@ text, so the scan is one narrow stage without a shuffle.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborlake.operators.rulejoin import let
 from arborlake.plans.rules import EXT_TO_LANGUAGE
 
 #: Extensions of source files and their languages.
@@ -69,12 +72,15 @@ _MINIFIED_NOTICE = r"(?m)^[ \t]*//[#@] sourceMappingURL="
 # Java's matcher recurses into repeated groups: what may be long is matched by possessive classes or possessive groups only. No literal opens
 # at an escaped quote, so an unclosed one is tried once a line and not at each quote in it. Triple quotes are signs of their own here: what
 # they enclose counts line by line, as notes on code often stand in them.
-_STRINGS = r"""(?<!\\)(?:"{3}|'{3})|(?<!\\)"(?:[^"\\\n]++|\\.)*+"|(?<!\\)'(?:[^'\\\n]++|\\.)*+'|`[^`]*+`"""
-_LONG_STRINGS = r"""(?<!\\)"{3}(?:[^"\\]++|\\[\s\S]|"(?!""))*+"{3}|(?<!\\)'{3}(?:[^'\\]++|\\[\s\S]|'(?!''))*+'{3}"""
-_NUMBERS = r"(?<![\w.])-?(?:0[xX][0-9A-Fa-f]+|\d+(?:\.\d+)?)(?![\w])"
+# Alternatives begin with a look at the next sign, so that most positions cost one comparison.
+_STRINGS = r"""(?=["'])(?<!\\)(?:"{3}|'{3}|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+')|`[^`]*+`"""
+_LONG_STRINGS = r"""(?=["'])(?<!\\)(?:"{3}(?:[^"\\]++|\\[\s\S]|"(?!""))*+"{3}|'{3}(?:[^'\\]++|\\[\s\S]|'(?!''))*+'{3})"""
+_NUMBERS = r"(?=[-0-9])(?<![\w.])-?(?:0[xX][0-9A-Fa-f]+|\d+(?:\.\d+)?)(?![\w])"
 _ENCODED = r"[A-Za-z0-9+/=_\-]{40,}+|[\\x0-9A-Fa-f]{40,}+"
 # Encoded runs that can't be rulers, paths or long names: with some digits, or long and of letters and digits alone.
 _BLOBS = r"(?<![A-Za-z0-9+/=_\-])(?=(?:[A-Za-z+/=_\-]*+\d){3})[A-Za-z0-9+/=_\-]{40,}+|[A-Za-z0-9+]{60,}+|(?:\\x[0-9A-Fa-f]{2}){10,}+"
+# A text without this holds no encoded run of either kind.
+_ANY_RUN = r"[A-Za-z0-9+/=_\\\-]{40}"
 
 #: Layout thresholds: (line length, mean line length, white space at most) that make a text minified; (numeric literals per 100 characters,
 #: share of letters outside literals at most, share of encoded runs, alphanumeric share) that make it data.
@@ -95,6 +101,7 @@ ORDINARY_CHARS, ORDINARY_LETTERS = 40, 0.6
 #: Steps of a running count of numbers, and share of lines of the same shape as the one a period (of 2 to 8 lines) before, that only tools write.
 LEAST_COUNT, LEAST_REPEATS = 6, 0.8
 
+
 def extension_of(ext: Column, name: Column) -> Column:
     """The extension in lower case, from the name where it is null; '' for names without one."""
     own = F.regexp_extract(name, r"^.+(\.[^.]*)$", 1)
@@ -133,8 +140,40 @@ def _repeat_share(text: Column) -> Column:
         pairs = F.zip_with(here, lines, lambda x, y: F.coalesce(x == y, F.lit(False)))
         return F.when(F.size(lines) > 3 * period, F.size(F.filter(pairs, lambda same: same)) / (F.size(lines) - period)).otherwise(0.0)
 
-    # the shapes are made once, as the one element of a list
-    return F.get(F.transform(F.array(shapes), lambda lines: F.greatest(*(share(lines, k) for k in range(2, 9)))), F.lit(0))
+    return let(shapes, lambda lines: F.greatest(*(share(lines, k) for k in range(2, 9))))
+
+
+def _statistics(content: Column) -> Column:
+    """The layout statistics of a text as one struct, in which each part of the work is done once."""
+
+    def made(text: Column, base: Column, run: Column) -> Column:
+        chars, dense = base["chars"], base["dense"]
+        letters = lambda *patterns: F.length(F.regexp_replace(F.regexp_replace(text, "|".join(patterns), ""), r"[^A-Za-z\u0080-\uffff]+", ""))
+        runs = base["runs"]
+        bare = lambda *literals: F.when(runs, letters(*literals, _BLOBS, _NUMBERS)).otherwise(letters(*literals, _NUMBERS))
+        run_chars = lambda pattern: F.when(runs, chars - F.length(F.regexp_replace(text, pattern, ""))).otherwise(0)
+        return let(bare(_STRINGS), lambda closed: F.struct(
+            chars.alias("chars"),
+            F.array_max(base["lengths"]).alias("max_line"),
+            _share(dense.cast("double"), F.size(F.filter(base["lengths"], lambda n: n > 0))).alias("mean_line"),
+            _share(chars - dense, chars).alias("white_share"),
+            _share(F.length(F.regexp_replace(text, r"[^A-Za-z0-9\u0080-\uffff]+", "")), chars).alias("alnum_share"),
+            (100 * _share(F.regexp_count(text, F.lit(_NUMBERS)), chars)).alias("number_density"),
+            _share(run_chars(_ENCODED), chars).alias("encoded_share"),
+            _share(run_chars(_BLOBS), chars).alias("blob_share"),
+            _share(closed, dense).alias("letter_share"),
+            # without triple quotes there is nothing more to leave out
+            _share(F.when(F.contains(text, F.lit('"""')) | F.contains(text, F.lit("'''")), bare(_LONG_STRINGS, _STRINGS)).otherwise(closed), dense).alias("open_share"),
+            run.alias("count_run"),
+            F.when(run >= LEAST_COUNT, _repeat_share(text)).otherwise(0.0).alias("repeat_share"),
+        ))
+
+    def based(text: Column) -> Column:
+        lengths = F.transform(F.split(text, r"\r?\n"), lambda line: F.length(F.rtrim(line)))
+        base = F.struct(F.length(text).alias("chars"), F.length(F.regexp_replace(text, r"\s+", "")).alias("dense"), lengths.alias("lengths"), text.rlike(_ANY_RUN).alias("runs"))
+        return let(base, lambda b: let(_count_run(text), lambda run: made(text, b, run)))
+
+    return let(F.coalesce(content, F.lit("")), based)
 
 
 def layout_statistics(df: DataFrame, content: str = "content") -> DataFrame:
@@ -150,80 +189,110 @@ def layout_statistics(df: DataFrame, content: str = "content") -> DataFrame:
     numbers; ``repeat_share``, the share of lines shaped like those a period
     before, is measured only where there is such a count, and 0 elsewhere.
     """
-    text = F.coalesce(F.col(content), F.lit(""))
-    chars = F.length(text)
-    lengths = F.transform(F.split(text, r"\r?\n"), lambda line: F.length(F.rtrim(line)))
-    filled = F.size(F.filter(lengths, lambda n: n > 0))
-    dense = F.length(F.regexp_replace(text, r"\s+", ""))
-    bare = lambda literals: F.regexp_replace(F.regexp_replace(text, "|".join((literals, _BLOBS, _NUMBERS)), ""), r"[^A-Za-z\u0080-\uffff]+", "")
-    return df.withColumns(
-        {
-            "chars": chars,
-            "max_line": F.array_max(lengths),
-            "mean_line": _share(dense.cast("double"), filled),
-            "white_share": _share(chars - dense, chars),
-            "alnum_share": _share(F.length(F.regexp_replace(text, r"[^A-Za-z0-9\u0080-\uffff]+", "")), chars),
-            "number_density": 100 * _share(F.regexp_count(text, F.lit(_NUMBERS)), chars),
-            "encoded_share": _share(chars - F.length(F.regexp_replace(text, _ENCODED, "")), chars),
-            "blob_share": _share(chars - F.length(F.regexp_replace(text, _BLOBS, "")), chars),
-            "letter_share": _share(F.length(bare(_STRINGS)), dense),
-            "open_share": _share(F.length(bare(_LONG_STRINGS + "|" + _STRINGS)), dense),
-            "count_run": _count_run(text),
-        }
-    ).withColumn("repeat_share", F.when(F.col("count_run") >= LEAST_COUNT, _repeat_share(text)).otherwise(0.0))
+    out = df.withColumn("_layout", _statistics(F.col(content)))
+    return out.withColumns({n: F.col("_layout")[n] for n in out.schema["_layout"].dataType.names}).drop("_layout")
 
 
-def source_origin(df: DataFrame, path: str = "relative_path", name: str = "name", ext: str = "ext", content: str = "content") -> DataFrame:
-    """``df`` with ``language``, the layout statistics, ``origin`` and ``evidence`` of each file; columns of these names are replaced.
+_LIMIT_NAMES = ("longest", "mean", "white", "numbers", "letters", "encoded", "alnum")
 
-    ``origin`` is null for files that are no source (language null as well),
-    'handwritten', or the first that holds of 'vendored', 'generated',
-    'minified' and 'data'.  ``evidence`` lists which of 'path', 'name',
-    'notice' and 'layout' speak against hand-written source.  A null path, name
-    or text simply gives no evidence; the shorter a text, the less its layout
-    counts, and an empty one has none; line ends may be CRLF.  Rows are judged one by one: nothing is dropped, repeated rows get
-    the same verdict, an empty table stays empty.
-    """
-    file_name = F.coalesce(F.col(name), F.element_at(F.split(F.col(path), "/"), -1))
-    suffix = extension_of(F.col(ext), file_name)
-    pairs = [F.lit(x) for item in LANGUAGE_OF_EXTENSION.items() for x in item]
-    language = F.create_map(*pairs)[suffix]
-    measured = layout_statistics(df, content).withColumn("language", language)
-    kinds = [F.create_map(*[F.lit(x) for k, v in LIMITS.items() for x in (k, float(v[i]))])[F.col("language")] for i in range(7)]
-    longest, mean, white, numbers, letters, encoded, alnum = (F.coalesce(k, F.lit(float(d))) for k, d in zip(kinds, DEFAULT_LIMITS))
-    folders = F.lower(F.coalesce(F.col(path), F.lit("")))
-    in_folder = lambda names: folders.rlike(r"(?:^|/)(?:" + "|".join(n.replace("-", r"\-") for n in names) + r")/(?=.)")
-    text = F.coalesce(F.col(content), F.lit(""))
-    named = lambda pattern: F.coalesce(file_name.rlike(pattern), F.lit(False))
-    chars, filled = F.col("chars"), F.col("chars") * (1 - F.col("white_share"))
-    packed = (F.col("max_line") >= longest) & (F.col("mean_line") >= mean) & (F.col("white_share") <= white)
+
+def _limits(language: Column) -> Column:
+    """The layout thresholds of a language as one struct."""
+    named = lambda values: dict(zip(_LIMIT_NAMES, map(float, values)))
+    kind = "struct<" + ",".join(f"{n}:double" for n in _LIMIT_NAMES) + ">"
+    own = F.from_json(F.lit(json.dumps({k: named(v) for k, v in LIMITS.items()})), f"map<string,{kind}>")[language]
+    return F.coalesce(own, F.from_json(F.lit(json.dumps(named(DEFAULT_LIMITS))), kind))
+
+
+def _layout_verdict(s: Column, limit: Column) -> Column:
+    """'generated', 'minified' or 'data' where the statistics ``s`` say so, else null."""
+    chars = s["chars"]
+    packed = (s["max_line"] >= limit["longest"]) & (s["mean_line"] >= limit["mean"]) & (s["white_share"] <= limit["white"])
     signs = (
-        (_settled(F.col("number_density"), chars) >= numbers) | (_settled(F.col("encoded_share"), chars) >= encoded) | (_settled(F.col("alnum_share"), chars, ORDINARY_LETTERS) >= alnum)
-    )
-    closed, opened = (_settled(F.col(c), filled, ORDINARY_LETTERS) for c in ("letter_share", "open_share"))
-    few = (closed <= letters) | ((F.least(closed, opened) <= 2 * letters) & signs)
+        (_settled(s["number_density"], chars) >= limit["numbers"]) | (_settled(s["encoded_share"], chars) >= limit["encoded"])
+        | (_settled(s["alnum_share"], chars, ORDINARY_LETTERS) >= limit["alnum"])
+    )
+    closed, opened = (_settled(s[c], chars * (1 - s["white_share"]), ORDINARY_LETTERS) for c in ("letter_share", "open_share"))
+    few = (closed <= limit["letters"]) | ((F.least(closed, opened) <= 2 * limit["letters"]) & signs)
     # a text that is encoded for the most part is data whatever else it holds; a small blob in code is not
-    data = few | (_settled(F.col("blob_share"), chars) >= 2 * encoded)
-    counted = (F.col("count_run") >= LEAST_COUNT) & (F.col("repeat_share") >= LEAST_REPEATS)
-    vendor_path, tool_path = in_folder(VENDOR_FOLDERS), in_folder(GENERATED_FOLDERS)
-    vendor_name, tool_name, packed_name = named(_VENDOR_NAME), named(_GENERATED_NAME), named(_MINIFIED_NAME)
-    vendor_notice, tool_notice, packed_notice = text.rlike(_VENDOR_NOTICE), text.rlike(_GENERATED_NOTICE), text.rlike(_MINIFIED_NOTICE) & (F.col("max_line") >= longest)
-    known = F.col("language").isNotNull()
-    origin = (
-        F.when(~known, F.lit(None).cast("string"))
-        .when(vendor_path | vendor_name | vendor_notice, "vendored")
-        .when(tool_path | tool_name | tool_notice | counted, "generated")
-        .when(packed_name | packed | packed_notice, "minified")
-        .when(data, "data")
-        .otherwise("handwritten")
-    )
-    signs_of = {"path": vendor_path | tool_path, "name": vendor_name | tool_name | packed_name, "notice": vendor_notice | tool_notice | packed_notice, "layout": counted | packed | data}
-    evidence = F.when(known, F.array_compact(F.array(*(F.when(sign, F.lit(k)) for k, sign in signs_of.items()))))
-    return measured.withColumns({"origin": origin, "evidence": evidence})
+    data = few | (_settled(s["blob_share"], chars) >= 2 * limit["encoded"])
+    counted = (s["count_run"] >= LEAST_COUNT) & (s["repeat_share"] >= LEAST_REPEATS)
+    return F.when(counted, "generated").when(packed, "minified").when(data, "data")
+
+
+class _Signs:
+    """What path, name and text of a file say, as columns."""
+
+    def __init__(self, path: str, name: str, ext: str, content: str):
+        file_name = F.coalesce(F.col(name), F.element_at(F.split(F.col(path), "/"), -1))
+        folders = F.lower(F.coalesce(F.col(path), F.lit("")))
+        in_folder = lambda names: folders.rlike(r"(?:^|/)(?:" + "|".join(n.replace("-", r"\-") for n in names) + r")/(?=.)")
+        named = lambda pattern: F.coalesce(file_name.rlike(pattern), F.lit(False))
+        text = F.coalesce(F.col(content), F.lit(""))
+        self.language = F.from_json(F.lit(json.dumps(LANGUAGE_OF_EXTENSION)), "map<string,string>")[extension_of(F.col(ext), file_name)]
+        self.vendor_path, self.tool_path = in_folder(VENDOR_FOLDERS), in_folder(GENERATED_FOLDERS)
+        self.vendor_name, self.tool_name, self.packed_name = named(_VENDOR_NAME), named(_GENERATED_NAME), named(_MINIFIED_NAME)
+        self.vendor_notice, self.tool_notice, self.packed_notice = text.rlike(_VENDOR_NOTICE), text.rlike(_GENERATED_NOTICE), text.rlike(_MINIFIED_NOTICE)
+
+    def packed_text(self, s: Column, limit: Column) -> Column:
+        return self.packed_notice & (s["max_line"] >= limit["longest"])
+
+    def origin(self, layout: Column) -> Column:
+        """Path and name are asked before the text, notices before the layout; what is settled is not asked further."""
+
+        def by_layout(s: Column, limit: Column) -> Column:
+            verdict = _layout_verdict(s, limit)
+            return let(verdict, lambda v: F.when(v == "generated", v).when(self.packed_name | self.packed_text(s, limit), "minified").otherwise(F.coalesce(v, F.lit("handwritten"))))
+
+        return (
+            F.when(self.language.isNull(), F.lit(None).cast("string"))
+            .when(self.vendor_path | self.vendor_name, "vendored")
+            .when(self.tool_path | self.tool_name, "generated")
+            .when(self.vendor_notice, "vendored")
+            .when(self.tool_notice, "generated")
+            .when(self.packed_name, "minified")
+            .otherwise(let(layout, lambda s: let(_limits(self.language), lambda limit: by_layout(s, limit))))
+        )
+
+    def evidence(self, layout: Column) -> Column:
+        """All kinds of signs that speak against hand-written source; null for files that are no source."""
+        notice = self.vendor_notice | self.tool_notice
+        kinds = lambda s, limit: F.array(
+            F.when(self.vendor_path | self.tool_path, "path"), F.when(self.vendor_name | self.tool_name | self.packed_name, "name"),
+            F.when(notice | self.packed_text(s, limit), "notice"), F.when(_layout_verdict(s, limit).isNotNull(), "layout"),
+        )
+        return F.when(self.language.isNotNull(), let(layout, lambda s: let(_limits(self.language), lambda limit: F.array_compact(kinds(s, limit)))))
+
+
+def with_origin(df: DataFrame, path: str = "relative_path", name: str = "name", ext: str = "ext", content: str = "content", evidence: bool = False) -> DataFrame:
+    """``df`` with ``language`` and ``origin`` of each file, and ``evidence`` if asked for; columns of these names are replaced.
+
+    ``origin`` is null for files that are no source (language null as well),
+    'handwritten', or one of 'vendored', 'generated', 'minified' and 'data':
+    the first that path and name tell, then notices, then the layout.
+    ``evidence`` lists which of 'path', 'name', 'notice' and 'layout' speak
+    against hand-written source.  A null path, name or text simply gives no
+    evidence; the shorter a text, the less its layout counts, and an empty one
+    has none; line ends may be CRLF.  Rows are judged one by one: nothing is
+    dropped, repeated rows get the same verdict, an empty table stays empty.
+    """
+    signs = _Signs(path, name, ext, content)
+    layout = _statistics(F.col(content))
+    more = {"evidence": signs.evidence(layout)} if evidence else {}
+    return df.withColumns({"language": signs.language, "origin": signs.origin(layout), **more})
+
+
+def source_origin(df: DataFrame, path: str = "relative_path", name: str = "name", ext: str = "ext", content: str = "content") -> DataFrame:
+    """``with_origin`` and its evidence together with the layout statistics, which are made once."""
+    signs = _Signs(path, name, ext, content)
+    out = df.withColumn("_layout", _statistics(F.col(content)))
+    out = out.withColumns({"language": signs.language, "origin": signs.origin(F.col("_layout")), "evidence": signs.evidence(F.col("_layout"))})
+    statistics = out.schema["_layout"].dataType.names
+    return out.withColumns({n: F.col("_layout")[n] for n in statistics}).drop("_layout")
 
 
 def handwritten_source(df: DataFrame, path: str = "relative_path", name: str = "name", ext: str = "ext", content: str = "content") -> DataFrame:
     """The rows of ``df`` that are hand-written source, with their own columns only, whatever these are called."""
     names = {"_path": path, "_name": name, "_ext": ext, "_content": content}
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *(F.col(c).alias(k) for k, c in names.items()))
-    return source_origin(rows, *names).filter("origin = 'handwritten'").select("_row.*")
+    return with_origin(rows, *names).filter("origin = 'handwritten'").select("_row.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arborlake.llm.cooccurrence import cooccurrence
 from arborlake.llm.frequency import term_frequencies
-from arborlake.llm.handwritten import source_origin
+from arborlake.llm.handwritten import with_origin
 from arborlake.llm.mixing import Mix, mix
 from arborlake.llm.packing import divided, fill, pack_texts
 from arborlake.llm.percentiles import merge_summaries, percentile_summary, radix_percentiles, summary_percentiles
@@ -128,8 +128,8 @@ select language, scan_month, n, q, case when v = 0 then 0.0::double else round(f
 # 4 ---------------------------------------------------------------------------------------------------------------------------------------
 
 
-def _origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_origin(read(spark, sf_dir, "files").select("repo_id", "relative_path", "name", "ext", "content"))
+def _origins(spark: SparkSession, sf_dir: str, evidence: bool = False) -> DataFrame:
+    return with_origin(read(spark, sf_dir, "files").select("repo_id", "relative_path", "name", "ext", "content"), evidence=evidence)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +144,7 @@ def p4_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files by origin and by what speaks against hand-written source: path, name, notice, layout."""
-    files = _origins(spark, sf_dir).filter("origin is not null").select("repo_id", "relative_path", "origin", F.array_join("evidence", "+").alias("evidence"))
+    files = _origins(spark, sf_dir, True).filter("origin is not null").select("repo_id", "relative_path", "origin", F.array_join("evidence", "+").alias("evidence"))
     return one_per_key(files, ["repo_id", "relative_path"]).groupBy("origin", "evidence").agg(F.count("*").alias("files"))
 
 
