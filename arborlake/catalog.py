@@ -3,4 +3,4 @@
 from arborlake import nested_queries, oracle, queries
 
 QUERIES: dict = {**queries.QUERIES, **nested_queries.QUERIES}
-SQL: dict = oracle.build()
+SQL: dict = {**oracle.build(), **nested_queries.SQL}

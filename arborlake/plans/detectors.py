@@ -34,6 +34,8 @@ READ_NAMES = tuple(
 )
 READ_EXTENSIONS = (".csproj", ".sln")
 _JSON_NAMES = ("package.json", "composer.json")
+#: Read whatever their size: JSON manifests have no limit.
+UNLIMITED_NAMES = (*_JSON_NAMES, "pubspec.yaml")
 
 
 def compact(files: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from arborlake.plans import aggregate as A
 from arborlake.plans import detectors as D
 from arborlake.plans import monorepo as M
 from arborlake.plans import rules as R
-from arborlake.runtime import clean, one_per_key, read
+from arborlake.runtime import clean, keep, one_per_key, read
 from arborlake.sources import lookup as L
 from arborlake.sources.vfiles import virtual_files
 
@@ -25,11 +25,11 @@ QUERIES: dict[str, Query] = {}
 _STAGE = ("repo_id", "value", "confidence", "evidence", "file_path")
 
 
-def _register(name: str, build: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """A query over the virtual files: ``build`` gets the reachable and the raw ones."""
+def _register(name: str, build: Callable[[DataFrame, DataFrame], DataFrame], often: bool = False) -> None:
+    """A query over the virtual files: ``build`` gets the reachable and the raw ones; those that are read ``often`` are kept."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        raw = virtual_files(spark, sf_dir)
+        raw = keep(D.compact(virtual_files(spark, sf_dir))) if often else virtual_files(spark, sf_dir)
         return build(I.walkable(raw), raw)
 
     query.__name__ = name
@@ -65,21 +65,21 @@ for _s in D.RUNTIME_STAGES:
 _register("runtimes", lambda f, raw: D.runtimes(f))
 _register("python_signals", lambda f, raw: D.python_signal_folders(f))
 _register("sln_projects", lambda f, raw: M.sln_projects(f).select("repo_id", "path", "name"))
-_register("workspace_globs", lambda f, raw: _globs(M.pnpm_globs(f, raw), "pnpm").unionByName(_globs(M.npm_globs(raw).filter("glob is not null"), "npm")))
+_register("workspace_globs", lambda f, raw: _globs(M.pnpm_globs(f, raw), "pnpm").unionByName(_globs(M.npm_globs(raw).filter("glob is not null"), "npm")), often=True)
 _register("go_work", lambda f, raw: M.go_work_uses(f, raw).withColumn("pos", F.col("pos").cast("bigint")))
 _register("gradle_modules", lambda f, raw: _gradle(raw, "settings.gradle").unionByName(_gradle(raw, "settings.gradle.kts")))
 _register("maven_modules", lambda f, raw: M.maven_modules(raw).withColumn("pos", F.col("pos").cast("bigint")))
 _register("uv_members", lambda f, raw: M.uv_members(raw).withColumn("pos", F.col("pos").cast("bigint")))
 _register("component_discovery", lambda f, raw: C.discovered(f))
 _register("leaf_components", lambda f, raw: C.discovered(f).select("repo_id", "path"))
-_register("component_hints_derived", lambda f, raw: _placed(M.component_hints(f, raw)).drop("kind"))
-_register("components", lambda f, raw: C.classified(M.component_hints(f, raw)))
-_register("secondary_kinds", lambda f, raw: C.secondary_kinds(_components(f, raw), f).select("repo_id", "path", "kind", F.coalesce(F.array_join("secondary_kinds", ","), F.lit("")).alias("secondary_kinds")))
-_register("component_owner", lambda f, raw: C.owner_of(f, "relative_path", _components(f, raw)))
-_register("component_languages", lambda f, raw: A.component_languages(f, _components(f, raw)).select("repo_id", "path", "language", "files", "lines", "percentage", "total_files", "total_lines"))
-_register("component_frameworks", lambda f, raw: A.component_frameworks(D.frameworks(f), _components(f, raw)))
-_register("monorepo_findings", lambda f, raw: M.monorepo_findings(f, raw))
-_register("monorepo_flag", lambda f, raw: M.monorepo_flags(f, raw))
+_register("component_hints_derived", lambda f, raw: _placed(M.component_hints(f, raw)).drop("kind"), often=True)
+_register("components", lambda f, raw: C.classified(M.component_hints(f, raw)), often=True)
+_register("secondary_kinds", lambda f, raw: C.secondary_kinds(_components(f, raw), f).select("repo_id", "path", "kind", F.coalesce(F.array_join("secondary_kinds", ","), F.lit("")).alias("secondary_kinds")), often=True)
+_register("component_owner", lambda f, raw: C.owner_of(f, "relative_path", _components(f, raw)), often=True)
+_register("component_languages", lambda f, raw: A.component_languages(f, _components(f, raw)).select("repo_id", "path", "language", "files", "lines", "percentage", "total_files", "total_lines"), often=True)
+_register("component_frameworks", lambda f, raw: A.component_frameworks(D.frameworks(f), _components(f, raw)), often=True)
+_register("monorepo_findings", lambda f, raw: M.monorepo_findings(f, raw), often=True)
+_register("monorepo_flag", lambda f, raw: M.monorepo_flags(f, raw), often=True)
 _register("inventory_flat", lambda f, raw: A.inventory_values(f))
 _register("ignore_rules", lambda f, raw: I.ignore_rules(f).select("repo_id", F.col("ord").cast("bigint").alias("ord"), "pattern", "negated", "dir_only", "anchored"))
 _register("ignore_verdicts", lambda f, raw: I.verdicts(f.select("repo_id", "relative_path"), I.ignore_rules(f), "relative_path"))

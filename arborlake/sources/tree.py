@@ -2,14 +2,20 @@
 
 Built-in file sources drop hidden and empty files and follow links, and the
 signals of a repository lie exactly there; this reader lists them.  Each
-folder below ``split_depth`` levels is a partition of its own.  Texts are read
-only where ``wanted`` names or extensions ask for them.
+folder below ``splitDepth`` levels is a partition of its own.
+
+Options: ``path`` (roots, separated like search paths), ``splitDepth``,
+``extensions`` (a comma-separated list; only such files are listed) and
+``texts``: ``wanted`` (the default) reads the texts that rules look at, up to
+the reading limit, ``all`` every text, ``none`` none.  Lines of source files
+are counted in chunks, whatever the size and without keeping the text.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +23,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from arborlake.functions.paths import derive
 from arborlake.plans import rules as R
+from arborlake.plans.detectors import READ_EXTENSIONS, READ_NAMES, UNLIMITED_NAMES
 
 _NEVER, _DOT = frozenset(R.IGNORED_FOLDERS), frozenset(R.KEPT_DOT_FOLDERS)
-SCHEMA = "repo_id string, path string, relative_path string, size bigint, content string"
+_READ, _READ_SUFFIXES, _COUNTED = frozenset(READ_NAMES), frozenset(READ_EXTENSIONS), frozenset(e for e, _ in R.EXT_TO_LANGUAGE)
+SCHEMA = "repo_id string, path string, relative_path string, size bigint, lines bigint, content string"
+_CHUNK = 1 << 20
 
 
 def enters(name: str) -> bool:
@@ -41,18 +50,23 @@ class Part(InputPartition):
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.roots = [os.path.abspath(p) for p in options["path"].split(os.pathsep)]
-        self.split_depth = int(options.get("splitDepth", 1))
-        self.with_text = options.get("content", "true").lower() != "false"
+        self.split_depth = int(options.get("splitDepth", 2))
+        self.texts = options.get("texts", "wanted")
+        if self.texts not in ("wanted", "all", "none"):
+            raise ValueError(f"texts is wanted, all or none, not {self.texts}")
+        listed = [e.strip().lower() for e in options.get("extensions", "").split(",") if e.strip()]
+        self.extensions = frozenset(listed) if listed else None
 
     def partitions(self) -> list[InputPartition]:
         parts: list[InputPartition] = []
-        for root in self.roots:
-            level = [""]
+        level = [(root, "") for root in self.roots]
+        # folders are listed side by side; only those of the upper levels are listed here
+        with ThreadPoolExecutor(32) as pool:
             for _ in range(self.split_depth):
-                parts += [Part(root, root, folder, False) for folder in level]
-                level = [child for folder in level for child in _subfolders(root, folder)]
-            parts += [Part(root, root, folder, True) for folder in level]
-        return parts
+                parts += [Part(root, root, folder, False) for root, folder in level]
+                below = list(pool.map(lambda x: _subfolders(*x), level))
+                level = [(root, child) for (root, _), children in zip(level, below) for child in children]
+        return parts + [Part(root, root, folder, True) for root, folder in level]
 
     def read(self, partition: Part) -> Iterator[tuple]:
         pending = [partition.folder]
@@ -67,8 +81,16 @@ class TreeReader(DataSourceReader):
                         if partition.deep and enters(entry.name) and relative.count("/") + 1 <= R.MAX_DEPTH:
                             pending.append(relative)
                     elif entry.is_file(follow_symlinks=False):
-                        size = entry.stat(follow_symlinks=False).st_size
-                        yield partition.repo_id, entry.path, relative, size, _text(entry.path) if self.with_text else None
+                        suffix = os.path.splitext(entry.name)[1].lower()
+                        if self.extensions is None or suffix in self.extensions:
+                            size = entry.stat(follow_symlinks=False).st_size
+                            lines = _line_count(entry.path) if suffix in _COUNTED and self.texts != "none" else None
+                            yield partition.repo_id, entry.path, relative, size, lines, _text(entry.path) if self._reads(entry.name, suffix, size) else None
+
+    def _reads(self, name: str, suffix: str, size: int) -> bool:
+        if self.texts != "wanted":
+            return self.texts == "all"
+        return (name in _READ or suffix in _READ_SUFFIXES) and (size <= R.MAX_TEXT_BYTES or name in UNLIMITED_NAMES)
 
 
 class _Nothing:
@@ -100,6 +122,19 @@ def _text(path: str) -> str | None:
         return None
 
 
+def _line_count(path: str) -> int | None:
+    """Line ends, and one more for a last line without one, read in chunks."""
+    count, last = 0, b"\n"
+    try:
+        with open(path, "rb") as file:
+            while chunk := file.read(_CHUNK):
+                count += chunk.count(b"\n")
+                last = chunk[-1:]
+    except OSError:
+        return None
+    return count + (last != b"\n")
+
+
 class TreeSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -112,8 +147,8 @@ class TreeSource(DataSource):
         return TreeReader(self.options)
 
 
-def read_tree(spark: SparkSession, *paths: str, split_depth: int = 1, content: bool = True) -> DataFrame:
-    """All files below the ``paths``, one repository each, with derived columns."""
+def read_tree(spark: SparkSession, *paths: str, split_depth: int = 2, texts: str = "wanted", extensions: tuple[str, ...] = ()) -> DataFrame:
+    """All files below the ``paths``, or those with the ``extensions``, one repository each, with derived columns."""
     spark.dataSource.register(TreeSource)
-    reader = spark.read.format("repo_tree").option("path", os.pathsep.join(paths)).option("splitDepth", split_depth).option("content", str(content).lower())
-    return derive(reader.load())
+    options = {"path": os.pathsep.join(paths), "splitDepth": split_depth, "texts": texts, "extensions": ",".join(extensions)}
+    return derive(spark.read.format("repo_tree").options(**options).load())

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 
@@ -160,6 +161,24 @@ def test_tree_lists_hidden_and_empty_files_but_no_links(spark, tree):
     }
 
 
+def test_tree_reads_what_is_wanted(spark, tmp_path):
+    from arborlake.plans.rules import MAX_TEXT_BYTES
+
+    big = b"x\n" * (MAX_TEXT_BYTES // 2) + b"y"
+    deep = tmp_path / "a" / "b" / "c" / "d"
+    deep.mkdir(parents=True)
+    for name, text in {"a.py": big, "requirements.txt": big, "package.json": b" " * MAX_TEXT_BYTES + b"{}", "go.mod": b"module x", "notes.md": b"n", "e.ts": b""}.items():
+        (deep / name).write_bytes(text)
+    for depth in (1, 2, 6):
+        rows = {r.name: (r.lines, r.content and len(r.content)) for r in read_tree(spark, str(tmp_path), split_depth=depth).collect()}
+        assert rows == {"a.py": (MAX_TEXT_BYTES // 2 + 1, None), "requirements.txt": (None, None), "package.json": (None, MAX_TEXT_BYTES + 2), "go.mod": (None, 8), "notes.md": (None, None), "e.ts": (0, None)}
+    assert values(read_tree(spark, str(tmp_path), extensions=(".PY", ".ts")), "name") == ["a.py", "e.ts"]
+    assert {r.name: r.content for r in read_tree(spark, str(tmp_path), texts="all", extensions=(".md",)).collect()} == {"notes.md": "n"}
+    assert {r.lines for r in read_tree(spark, str(tmp_path), texts="none").collect()} == {None}
+    languages = D.language_stats(D.compact(read_tree(spark, str(tmp_path)))).collect()
+    assert {(r.language, r.lines) for r in languages} == {("Python", MAX_TEXT_BYTES // 2 + 1), ("TypeScript", 0)}
+
+
 def test_whole_scan(spark, tree):
     report = report_of(scan(spark, tree).collect()[0])
     assert report["inventory"]["languages"] == ["TypeScript"]
@@ -171,6 +190,7 @@ def test_whole_scan(spark, tree):
     assert set(parts) == {"apps/web", "apps/api"} and parts["apps/api"]["secondaryKinds"] == ["service"] and parts["apps/api"]["description"] == "d"
     assert parts["apps/web"]["scoped"]["languageStats"]["totalLines"] == 2
     assert json.loads(to_json(report)) == report
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}Z", report["scannedAt"]) and report["rootPath"] == tree
     assert "Turbo" not in to_table(report) and "npm/yarn workspaces" in to_table(report)
 
 
@@ -190,6 +210,84 @@ def test_json_of_odd_values():
     assert share_text(1, 0.04) == "< 0.1" and share_text(1, 5.0) == "  5.0"
 
 
+REPORT = {
+    "scannedAt": "2025-01-01T00:00:00.000Z",
+    "rootPath": "/work/own",
+    "inventory": {
+        "languages": ["Go", "Rust"], "frameworks": [], "packageManagers": ["Cargo", "npm"], "ciProviders": ["GitHub Actions"], "buildSystems": [], "containerization": [],
+        "runtimes": [{"language": "Go", "version": "1.22", "source": "go.mod"}, {"language": "Python", "version": "3.11", "source": ".python-version"}],
+    },
+    "architecture": {
+        "monorepo": True, "toolName": "Nx",
+        "components": [
+            {"path": "apps/a", "name": "a", "kind": "app", "secondaryKinds": ["service"], "description": "first", "scoped": {"frameworks": ["A", "B", "C", "D", "E"]}},
+            {"path": "libs/b", "name": "b", "kind": "package"},
+        ],
+    },
+    "languageStats": {"totalFiles": 1001, "totalLines": 1234567, "perLanguage": [{"language": "Go", "files": 1000, "lines": 1234560, "percentage": 99.9}, {"language": "Rust", "files": 1, "lines": 7, "percentage": 0.0}]},
+}
+
+
+def test_table_of_a_report():
+    plain = re.sub(r"\033\[\d+m", "", to_table(REPORT))
+    assert plain == """arborlake — scanned /work/own
+
+Languages
+  1,001 files, 1,234,567 lines
+    Go              99.9%  (1000 files, 1,234,560 lines)
+    Rust           < 0.1%  (   1 files,        7 lines)
+
+Frameworks
+  (none)
+
+Package managers
+  Cargo, npm
+
+Build systems
+  (none)
+
+CI providers
+  GitHub Actions
+
+Containerization
+  (none)
+
+Runtimes
+  Go      1.22  (from go.mod)
+  Python  3.11  (from .python-version)
+
+Monorepo
+  yes (Nx)
+
+Components
+  app      (+service) a — first apps/a  A, B, C +2 more
+  package  b libs/b  (none)
+
+"""
+
+
+def test_colours_and_a_reader_that_went_away(monkeypatch):
+    import io
+
+    from arborlake.render import BOLD, CYAN, GREEN, RESET, YELLOW, colored, write
+
+    class Terminal(io.StringIO):
+        def isatty(self):
+            return True
+
+    monkeypatch.delenv("NO_COLOR", raising=False)
+    assert colored(False, Terminal()) and not colored(True, Terminal()) and not colored(False, io.StringIO())
+    monkeypatch.setenv("NO_COLOR", "1")
+    assert not colored(False, Terminal())
+    assert to_json({"k": "v", "n": 1.5, "t": None}, True) == f'{{\n  {CYAN}"k"{RESET}: {GREEN}"v"{RESET},\n  {CYAN}"n"{RESET}: {YELLOW}1.5{RESET},\n  {CYAN}"t"{RESET}: {BOLD}null{RESET}\n}}'
+
+    class Gone(io.StringIO):
+        def write(self, text):
+            raise BrokenPipeError
+
+    write("x", Gone())
+
+
 def test_cli(tmp_path, capsys):
     from arborlake.cli import main
 
