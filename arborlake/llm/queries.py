@@ -160,10 +160,10 @@ def _framework_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sets of all scans, copies included: these are told by their names, so the nested rows need not be shuffled."""
     scans = read(spark, sf_dir, "scan_results").select("scan_id", "repo_id", "inventory.frameworks", "architecture.components").filter("scan_id is not null")
     name = F.concat(F.lit("s"), F.col("scan_id").cast("string"))
-    whole = scans.select(name.alias("rec"), "repo_id", F.col("frameworks").alias("values"))
-    parts = scans.select(name.alias("rec"), "repo_id", F.explode("components").alias("c"))
-    parts = parts.select(F.concat("rec", F.lit("/"), F.col("c.path")).alias("rec"), "repo_id", F.col("c.scoped.frameworks").alias("values"))
-    return whole.unionByName(parts)
+    whole = F.struct(name.alias("rec"), F.col("frameworks").alias("values"))
+    parts = F.transform("components", lambda c: F.struct(F.concat(name, F.lit("/"), c["path"]).alias("rec"), c["scoped"]["frameworks"].alias("values")))
+    sets = F.concat(F.array(whole), F.coalesce(parts, F.array().cast("array<struct<rec:string,values:array<string>>>")))
+    return scans.select("repo_id", F.inline(sets))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,12 +25,14 @@ from collections.abc import Iterable, Iterator
 from fractions import Fraction
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Independent splits of the universe for each length class.
+#: Independent splits of the universe for each length class.  About one set in 4,000 has a segment without a value in both; it meets the one set in
+#: a hundred that has the same, and the bitmap tells them apart.  A third split would make that one in 250,000 and costs a third of all entries.
 SPLITS = 2
 #: Length classes grow by this ratio; a class of short sets is a single length.
 CLASS_RATIO = 1.08
@@ -68,8 +70,12 @@ def segments(top: int, threshold: Fraction) -> int:
     return max_difference(top, top, threshold) // 2 + 1
 
 
-def _hash(parts: list[int], *key: int) -> int:
-    return struct.unpack("<q", xxhash.xxh3_64_digest(struct.pack(f"<{len(parts) + len(key)}Q", *key, *parts)))[0]
+_MASK = (1 << 64) - 1
+
+
+@lru_cache(maxsize=1_000_000)
+def _salt(*key: int) -> int:
+    return xxhash.xxh3_64_intdigest(struct.pack(f"<{len(key)}Q", *key))
 
 
 def _split(tokens: list[int], top: int, count: int, split: int) -> list[list[int]]:
@@ -80,89 +86,94 @@ def _split(tokens: list[int], top: int, count: int, split: int) -> list[list[int
     return out
 
 
-def _dropped(part: list[int], *key: int) -> Iterator[int]:
-    for k in range(len(part)):
-        yield _hash(part[:k] + part[k + 1 :], *key, _DROPPED)
+def probes_of(tokens: list[int], threshold: Fraction) -> list[int]:
+    """Signatures of a set of 64-bit token hashes as the larger partner: those of its most even split, each segment in every way it may be met.
 
-
-def probes_of(tokens: list[int], threshold: Fraction) -> Iterator[int]:
-    """Signatures of a set of sorted 64-bit token hashes as the larger partner: those of its most even split, each segment in every way it may be met."""
+    A segment's signature is the sum of its hashes and a salt of its place, so that one value is dropped by a subtraction.
+    """
     top = length_class(len(tokens))
     count = segments(top, threshold)
     split, parts = max(((s, _split(tokens, top, count, s)) for s in range(SPLITS)), key=lambda x: min(map(len, x[1])))
+    out = []
     for i, part in enumerate(parts):
-        key = (top, split, i)
-        yield _hash(part, *key, _SAME)
-        yield _hash(part, *key, _NEAR)
+        total = sum(part)
+        near = total + _salt(top, split, i, _NEAR)
+        out += (total + _salt(top, split, i, _SAME) & _MASK, near & _MASK)
         # met by a segment that has one value less
-        for k in range(len(part)):
-            yield _hash(part[:k] + part[k + 1 :], *key, _NEAR)
+        out += [near - t & _MASK for t in part]
         # met by a segment of which one value was dropped
-        yield _hash(part, *key, _DROPPED)
+        out.append(total + _salt(top, split, i, _DROPPED) & _MASK)
+    return out
 
 
-def entries_of(tokens: list[int], threshold: Fraction) -> Iterator[int]:
+def entries_of(tokens: list[int], threshold: Fraction) -> list[int]:
     """Signatures of a set as the smaller partner: for all splits of all classes that a larger partner may be in, as many as cover the difference."""
+    out = []
     for top, count, differ in classes_of_partners(len(tokens), threshold):
         # every segment covers one value of difference; the largest, being the most telling, cover a second one
         twice = differ + 1 - count
         for split in range(SPLITS):
             parts = _split(tokens, top, count, split)
-            order = sorted(range(count), key=lambda i: -len(parts[i]))
+            order = sorted(range(count), key=lambda i: -len(parts[i])) if count > 1 else (0,)
             if twice < 0:
                 order = order[: differ + 1]
             for rank, i in enumerate(order):
+                total = sum(parts[i])
                 if rank < twice:
-                    yield _hash(parts[i], top, split, i, _NEAR)
-                    yield from _dropped(parts[i], top, split, i)
+                    out.append(total + _salt(top, split, i, _NEAR) & _MASK)
+                    dropped = total + _salt(top, split, i, _DROPPED)
+                    out += [dropped - t & _MASK for t in parts[i]]
                 else:
-                    yield _hash(parts[i], top, split, i, _SAME)
+                    out.append(total + _salt(top, split, i, _SAME) & _MASK)
+    return out
 
 
 def _signatures(make, threshold: Fraction):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        columns: tuple[list, list, list, list] = ([], [], [], [])
+
+        def hashed(token: str) -> int:
+            h = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
+            if len(token) <= 64:
+                if len(known) >= 200_000:
+                    known.clear()
+                known[token] = h
+            return h
+
         for batch in batches:
-            for sid, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes = []
-                for t in tokens:
-                    h = known.get(t)
-                    if h is None:
-                        h = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))
-                        if len(t) <= 64:
-                            if len(known) >= 200_000:
-                                known.clear()
-                            known[t] = h
-                    hashes.append(h)
-                hashes.sort()
+            start, made, counts, sizes, bitmaps = 0, [], [], [], []
+            for row, tokens in enumerate(batch.column(1).to_pylist()):
+                hashes = [known[t] if t in known else hashed(t) for t in tokens]
                 bits = 0
                 for h in hashes:
                     bits |= 1 << (h >> 58)
-                bits -= (bits >> 63) << 64
-                made = list(dict.fromkeys(make(hashes, threshold)))
-                n = len(made)
-                for column, values in zip(columns, (made, [sid] * n, [len(hashes)] * n, [bits] * n)):
-                    column += values
-                if len(columns[0]) > 50_000:
-                    yield _batch(columns)
-                    columns = ([], [], [], [])
-        if columns[0]:
-            yield _batch(columns)
+                signatures = dict.fromkeys(make(hashes, threshold))
+                made += signatures
+                counts.append(len(signatures))
+                sizes.append(len(hashes))
+                bitmaps.append(bits)
+                if len(made) > 50_000:
+                    yield _batch(batch.column(0).slice(start, len(counts)), made, counts, sizes, bitmaps)
+                    start, made, counts, sizes, bitmaps = row + 1, [], [], [], []
+            if counts:
+                yield _batch(batch.column(0).slice(start, len(counts)), made, counts, sizes, bitmaps)
 
     return run
 
 
-def _batch(columns: tuple[list, ...]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
+def _batch(sids: pa.Array, made: list[int], counts: list[int], sizes: list[int], bitmaps: list[int]) -> pa.RecordBatch:
+    """A row per signature; what belongs to a set is repeated for each of its signatures."""
+    at = np.repeat(np.arange(len(counts)), counts)
+    signed = lambda values: np.array(values, dtype=np.uint64).view(np.int64)
+    columns = [pa.array(signed(made)), sids.take(pa.array(at)), pa.array(np.array(sizes, dtype=np.int32)[at]), pa.array(signed(bitmaps)[at])]
+    return pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
 
 
 def set_classes(df: DataFrame, record: str, values: Column, min_size: int = 1, group: Column | None = None, copies: bool = False) -> tuple[DataFrame, DataFrame]:
     """Records collapsed to classes of equal sets.
 
-    Returns ``classes`` (``sid``, ``tokens`` and ``wide``: whether records of
-    different ``group`` have this set) and ``members`` (``sid``, ``record``,
-    ``group``).  Nulls within a list are dropped, repeats count once, null lists
+    Returns ``classes`` (``sid``, ``tokens``) and ``members`` (``sid``,
+    ``record``, ``group``, ``size``).  Nulls within a list are dropped, repeats count once, null lists
     and sets of fewer than ``min_size`` values are left out, as are rows with a
     null record.  With ``copies`` a record that occurs several times with the
     same values is one; only the narrow ``members`` are shuffled for that.
@@ -170,9 +181,10 @@ def set_classes(df: DataFrame, record: str, values: Column, min_size: int = 1, g
     own = F.lit(None).cast("string") if group is None else group
     rows = df.select(F.col(record).alias("record"), F.array_sort(F.array_distinct(F.array_compact(values))).alias("tokens"), own.alias("group"))
     rows = rows.filter(F.col("record").isNotNull() & (F.size("tokens") >= max(1, min_size)))
-    rows = rows.withColumn("sid", F.unhex(F.md5(F.to_json("tokens"))))
-    classes = rows.groupBy("sid").agg(F.first("tokens").alias("tokens"), F.coalesce(F.min("group") < F.max("group"), F.lit(False)).alias("wide"))
-    members = rows.select("sid", "record", "group")
+    # never null; joins ask for that, and asking here as well lets all uses of the classes share one shuffle
+    rows = rows.withColumn("sid", F.unhex(F.md5(F.to_json("tokens")))).filter("sid is not null")
+    classes = rows.groupBy("sid").agg(F.first("tokens").alias("tokens"))
+    members = rows.select("sid", "record", "group", F.size("tokens").alias("size"))
     return classes, members.distinct() if copies else members
 
 
@@ -205,7 +217,7 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
 def set_similarity_classes(df: DataFrame, record: str, values: Column, threshold: float, min_size: int = 1, copies: bool = False) -> tuple[DataFrame, DataFrame]:
     """Members (record to class) and the similar pairs between classes; the form in which copies are not expanded."""
     classes, members = set_classes(df, record, values, min_size, copies=copies)
-    return members.drop("group"), similar_classes(classes, threshold)
+    return members.drop("group", "size"), similar_classes(classes, threshold)
 
 
 def set_similarity_pairs(df: DataFrame, record: str, values: Column, group: Column, threshold: float, min_size: int = 1, copies: bool = False) -> DataFrame:
@@ -219,8 +231,9 @@ def set_similarity_pairs(df: DataFrame, record: str, values: Column, group: Colu
     """
     classes, members = set_classes(df, record, values, min_size, group, copies)
     members = members.filter("group is not null")
-    # classes whose records are all of one group have no pairs of their own
-    own = classes.filter("wide").select(F.col("sid").alias("sid_a"), F.col("sid").alias("sid_b"), F.size("tokens").alias("shared"), F.size("tokens").alias("united"))
+    # classes whose records are all of one group have no pairs of their own; the count makes the plan read the shuffled members here as well
+    wide = members.groupBy("sid").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.max("size").alias("size"), F.count("*").alias("n")).filter("lo < hi and n > 1")
+    own = wide.select(F.col("sid").alias("sid_a"), F.col("sid").alias("sid_b"), F.col("size").alias("shared"), F.col("size").alias("united"))
     pairs = similar_classes(classes, threshold).unionByName(own)
     a = members.select(F.col("sid").alias("sid_a"), F.col("record").alias("r_a"), F.col("group").alias("g_a"))
     b = members.select(F.col("sid").alias("sid_b"), F.col("record").alias("r_b"), F.col("group").alias("g_b"))

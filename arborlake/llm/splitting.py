@@ -280,11 +280,11 @@ def split_texts(df: DataFrame, keys: dict[str, Column], text: str, limit: int, o
         raise ValueError("the limit is positive and larger than the overlap")
     small = df.select(*(c.alias(k) for k, c in keys.items()), F.col(text).alias("_text")).filter("_text is not null and _text <> ''")
     key_fields = small.drop("_text").schema.fields
-    ship(df.sparkSession, vocabulary)
+    sent = ship(df.sparkSession, vocabulary)
     schema = T.StructType([*key_fields, *(T.StructField(n, t) for n, t, _ in _PIECE_FIELDS), *([T.StructField("text", T.StringType())] if with_text else [])])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = counter(vocabulary)
+        counts = counter(vocabulary, sent)
 
         def emit() -> pa.RecordBatch:
             columns = batch.select(range(batch.num_columns - 1)).take(pa.array(origin, pa.int32())).columns

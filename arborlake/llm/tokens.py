@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark import SparkFiles, TaskContext
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,30 +54,33 @@ class Counter(dict):
 
 
 @lru_cache(maxsize=2)
-def counter(vocabulary: str) -> Counter:
-    """One counter per worker process; the kept counts serve all tasks that run in it.
+def counter(vocabulary: str, sent: str | None = None) -> Counter:
+    """One counter per worker process; the kept counts serve all tasks that run in it.  ``sent`` is what ``ship`` gave."""
+    path = SparkFiles.get(sent) if sent else vocabulary
+    return Counter(path if os.path.exists(path) else vocabulary)
 
-    The file that ``ship`` sent to the executors is read, or the path itself where nothing was sent.
-    """
-    sent = SparkFiles.get(os.path.basename(vocabulary)) if TaskContext.get() else vocabulary
-    return Counter(sent if os.path.exists(sent) else vocabulary)
 
+def ship(spark: SparkSession, vocabulary: str) -> str | None:
+    """Send the vocabulary's file to the executors, once a session, so that they need no copy at the same path; its name there.
 
-def ship(spark: SparkSession, vocabulary: str) -> None:
-    """Send the vocabulary's file to the executors, once a session; they need no copy at the same path."""
-    known = [os.path.basename(f) for f in spark.sparkContext.listFiles]
-    if os.path.basename(vocabulary) not in known:
+    None if another file of this name was sent before: then the path itself is read.
+    """
+    name = os.path.basename(vocabulary)
+    known = {os.path.basename(f): f for f in spark.sparkContext.listFiles}
+    if name not in known:
         spark.sparkContext.addFile(vocabulary)
+        return name
+    return name if known[name].endswith(os.path.abspath(vocabulary)) else None
 
 
 def token_counts(df: DataFrame, keys: dict[str, Column], text: str, vocabulary: str = DEFAULT_VOCABULARY, name: str = "n_tokens") -> DataFrame:
     """The ``keys`` and the number of tokens of each whole text; 0 for null and empty texts."""
     small = df.select(*(c.alias(k) for k, c in keys.items()), F.col(text).alias("_text"))
     kept = small.drop("_text")
-    ship(df.sparkSession, vocabulary)
+    sent = ship(df.sparkSession, vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = counter(vocabulary)
+        counts = counter(vocabulary, sent)
         for batch in batches:
             *columns, texts = batch.columns
             sizes = pa.array([counts.count(t) for t in texts.to_pylist()], pa.int64())

@@ -275,6 +275,16 @@ def test_counts_equal_whole_encoding(sf_dir, spark):
     assert sorted(map(tuple, token_counts(df, {"id": F.col("id")}, "text").collect())) == [(1, 0), (2, 0), (3, 2), (3, 2)]
 
 
+@needs_vocabulary
+def test_another_vocabulary_of_the_same_name(spark, tmp_path):
+    other = tmp_path / os.path.basename(DEFAULT_VOCABULARY)
+    # single bytes alone: every byte is a token
+    other.write_text("".join(line for line in open(DEFAULT_VOCABULARY) if int(line.split()[1]) < 256))
+    df = spark.createDataFrame([(1, "some words")], "id int, text string")
+    counted = [token_counts(df, {"id": F.col("id")}, "text", v).collect()[0].n_tokens for v in (DEFAULT_VOCABULARY, str(other), DEFAULT_VOCABULARY)]
+    assert counted == [2, 10, 2]
+
+
 @needs_vocabulary
 def test_texts_are_packed(spark):
     df = spark.createDataFrame([(i, "word " * (i * 7)) for i in range(60)] + [(99, None)], "id bigint, text string")
