@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import subprocess
 import sys
 
 from arborlake import __version__
@@ -56,11 +57,34 @@ def completion(shell: str) -> str:
     return "".join(f"complete -c {PROGRAM} -f -a '{w}'\n" for w in ("detectors", "completion")) + f"complete -c {PROGRAM} -f -l detectors -a '{ids}'\n" + "".join(f"complete -c {PROGRAM} -l {f[2:]}\n" for f in FLAGS if f != "--detectors")
 
 
+def _shared_folders(shell: str) -> list[str]:
+    """Folders outside the home that the shell looks into for completions, the best first."""
+    prefixes = list(dict.fromkeys(p for p in (os.environ.get("HOMEBREW_PREFIX"), "/opt/homebrew", "/usr/local") if p))
+    if shell == "bash":
+        return [f"{p}/etc/bash_completion.d" for p in prefixes]
+    if shell == "zsh":
+        return [*_zsh_path(), *(f"{p}/share/zsh/site-functions" for p in prefixes)]
+    return []
+
+
+def _zsh_path() -> list[str]:
+    """The folders that zsh itself names; none without zsh."""
+    try:
+        asked = subprocess.run(["zsh", "-ic", "print -l -- $fpath"], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, stdin=subprocess.DEVNULL, text=True, timeout=20)
+    except (OSError, subprocess.SubprocessError):
+        return []
+    return [line.strip() for line in asked.stdout.splitlines() if line.strip()] if asked.returncode == 0 else []
+
+
 def completion_file(shell: str) -> str:
-    home = os.path.expanduser("~")
+    """Where a completion script belongs: the first shared folder that can be written to, else one in the home."""
+    name = {"bash": PROGRAM, "zsh": f"_{PROGRAM}", "fish": f"{PROGRAM}.fish"}[shell]
+    for folder in _shared_folders(shell):
+        if os.path.isdir(folder) and os.access(folder, os.W_OK):
+            return os.path.join(folder, name)
+    home = os.environ.get("HOME") or os.getcwd()
     data = os.environ.get("XDG_DATA_HOME") or os.path.join(home, ".local/share")
-    config = os.environ.get("XDG_CONFIG_HOME") or os.path.join(home, ".config")
-    return {"bash": f"{data}/bash-completion/completions/{PROGRAM}", "zsh": f"{home}/.zfunc/_{PROGRAM}", "fish": f"{config}/fish/completions/{PROGRAM}.fish"}[shell]
+    return os.path.join({"bash": f"{data}/bash-completion/completions", "zsh": f"{home}/.zfunc", "fish": f"{home}/.config/fish/completions"}[shell], name)
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -298,7 +298,7 @@ def build() -> dict[str, str]:
     }
     out = {k: prelude + v for k, v in own.items()}
     checkouts = _ctes(stored, "vs")
-    alike = {"frameworks": "frameworks", "package_managers": "package_managers", "ci_providers": "ci_providers", "containers": "containers", "runtimes": "runtimes", "confidence": "language_confidence"}
+    alike = {"package_managers": "package_managers", "ci_providers": "ci_providers", "containers": "containers", "runtimes": "runtimes", "confidence": "language_confidence"}
     out |= {f"checkout_{k}": checkouts + own[v] for k, v in (alike | {"components": "components", "monorepos": "monorepo_flag", "inventory": "inventory_flat"}).items()}
     out |= {"scan_report": _ctes(virtual, listed=True) + _report(), "checkout_report": _ctes(stored, listed=True) + _report(), "scan_report_part": _ctes(virtual, listed=True) + _report(False)}
     one_file = "(select repo_id, relative_path, any_value(name) as name, any_value(ext) as ext, any_value(content) as content from files where repo_id is not null and relative_path is not null group by all)"

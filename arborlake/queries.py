@@ -153,7 +153,7 @@ def _checkout(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
     QUERIES[name] = query
 
 
-for _n, _f in {"frameworks": D.frameworks, "package_managers": D.package_managers, "ci_providers": D.ci_providers, "containers": D.containers}.items():
+for _n, _f in {"package_managers": D.package_managers, "ci_providers": D.ci_providers, "containers": D.containers}.items():
     _checkout(f"checkout_{_n}", lambda files, f=_f: _flat(f(files)))
 _checkout("checkout_runtimes", D.runtimes)
 _checkout("checkout_confidence", lambda files: D.language_findings(files).withColumns({"evidence": F.array_join("evidence", "; "), "position": F.col("position").cast("bigint")}))

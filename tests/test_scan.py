@@ -288,6 +288,25 @@ def test_colours_and_a_reader_that_went_away(monkeypatch):
     write("x", Gone())
 
 
+def test_completion_goes_where_the_shell_looks(tmp_path, monkeypatch, capsys):
+    from arborlake import cli
+
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+    monkeypatch.delenv("XDG_DATA_HOME", raising=False)
+    monkeypatch.setenv("HOMEBREW_PREFIX", str(tmp_path / "brew"))
+    monkeypatch.setattr(cli.os, "access", lambda path, mode: str(path).startswith(str(tmp_path)))
+    monkeypatch.setattr(cli, "_zsh_path", lambda: [str(tmp_path / "functions")])
+    assert cli.completion_file("bash") == f"{tmp_path}/home/.local/share/bash-completion/completions/arborlake"
+    assert cli.completion_file("zsh") == f"{tmp_path}/home/.zfunc/_arborlake"
+    assert cli.completion_file("fish") == f"{tmp_path}/home/.config/fish/completions/arborlake.fish"
+    for folder in ("brew/etc/bash_completion.d", "brew/share/zsh/site-functions"):
+        (tmp_path / folder).mkdir(parents=True)
+    assert cli.completion_file("bash") == f"{tmp_path}/brew/etc/bash_completion.d/arborlake" and cli.completion_file("zsh") == f"{tmp_path}/brew/share/zsh/site-functions/_arborlake"
+    (tmp_path / "functions").mkdir()
+    assert cli.main(["completion", "install", "zsh"]) == 0 and (tmp_path / "functions/_arborlake").read_text().startswith("#compdef")
+    assert cli.main(["completion", "uninstall", "zsh"]) == 0 and not (tmp_path / "functions/_arborlake").exists()
+
+
 def test_cli(tmp_path, capsys):
     from arborlake.cli import main
 
