@@ -80,7 +80,7 @@ _ENCODED = r"[A-Za-z0-9+/=_\-]{40,}+|[\\x0-9A-Fa-f]{40,}+"
 # Encoded runs that can't be rulers, paths or long names: with some digits, or long and of letters and digits alone.
 _BLOBS = r"(?<![A-Za-z0-9+/=_\-])(?=(?:[A-Za-z+/=_\-]*+\d){3})[A-Za-z0-9+/=_\-]{40,}+|[A-Za-z0-9+]{60,}+|(?:\\x[0-9A-Fa-f]{2}){10,}+"
 # A text without this holds no encoded run of either kind.
-_ANY_RUN = r"[A-Za-z0-9+/=_\\\-]{40}"
+_ANY_RUN = r"(?<![A-Za-z0-9+/=_\\\-])[A-Za-z0-9+/=_\\\-]{40}"
 
 #: Layout thresholds: (line length, mean line length, white space at most) that make a text minified; (numeric literals per 100 characters,
 #: share of letters outside literals at most, share of encoded runs, alphanumeric share) that make it data.
@@ -119,7 +119,7 @@ def _settled(share: Column, whole: Column, usual: float = 0.0) -> Column:
 
 def _count_run(text: Column) -> Column:
     """The longest run of whole numbers each of which is the one before or one more, in steps up."""
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\w.])(\d{1,9})(?![\w.])"), F.lit(1)), lambda n: n.cast("int"))
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(?=\d)(?<![\w.])(\d{1,9})(?![\w.])"), F.lit(1)), lambda n: n.cast("int"))
     start = F.struct(F.lit(-9).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("top"))
 
     def step(so_far: Column, n: Column) -> Column:
@@ -143,35 +143,45 @@ def _repeat_share(text: Column) -> Column:
     return let(shapes, lambda lines: F.greatest(*(share(lines, k) for k in range(2, 9))))
 
 
-def _statistics(content: Column) -> Column:
-    """The layout statistics of a text as one struct, in which each part of the work is done once."""
+def _statistics(content: Column, all_of_them: bool = True) -> Column:
+    """The layout statistics of a text as one struct, in which each part of the work is done once.
 
-    def made(text: Column, base: Column, run: Column) -> Column:
-        chars, dense = base["chars"], base["dense"]
-        letters = lambda *patterns: F.length(F.regexp_replace(F.regexp_replace(text, "|".join(patterns), ""), r"[^A-Za-z\u0080-\uffff]+", ""))
-        runs = base["runs"]
-        bare = lambda *literals: F.when(runs, letters(*literals, _BLOBS, _NUMBERS)).otherwise(letters(*literals, _NUMBERS))
+    Without ``all_of_them`` the density of numbers and the alphanumeric share, which only matter where letters are few, are 0 elsewhere.
+    """
+    most_letters = 2 * max(v[4] for v in (DEFAULT_LIMITS, *LIMITS.values()))
+
+    def made(text: Column, base: Column, run: Column, closed: Column, opened: Column) -> Column:
+        chars, dense, runs = base["chars"], base["dense"], base["runs"]
+        few = _settled(_share(F.least(closed, opened), dense), dense, ORDINARY_LETTERS) <= most_letters
+        if_few = lambda value: value if all_of_them else F.when(few, value).otherwise(0.0)
         run_chars = lambda pattern: F.when(runs, chars - F.length(F.regexp_replace(text, pattern, ""))).otherwise(0)
-        return let(bare(_STRINGS), lambda closed: F.struct(
+        return F.struct(
             chars.alias("chars"),
             F.array_max(base["lengths"]).alias("max_line"),
             _share(dense.cast("double"), F.size(F.filter(base["lengths"], lambda n: n > 0))).alias("mean_line"),
             _share(chars - dense, chars).alias("white_share"),
-            _share(F.length(F.regexp_replace(text, r"[^A-Za-z0-9\u0080-\uffff]+", "")), chars).alias("alnum_share"),
-            (100 * _share(F.regexp_count(text, F.lit(_NUMBERS)), chars)).alias("number_density"),
+            if_few(_share(F.length(F.regexp_replace(text, r"[^A-Za-z0-9\u0080-\uffff]+", "")), chars)).alias("alnum_share"),
+            if_few(100 * _share(F.regexp_count(text, F.lit(_NUMBERS)), chars)).alias("number_density"),
             _share(run_chars(_ENCODED), chars).alias("encoded_share"),
             _share(run_chars(_BLOBS), chars).alias("blob_share"),
             _share(closed, dense).alias("letter_share"),
-            # without triple quotes there is nothing more to leave out
-            _share(F.when(F.contains(text, F.lit('"""')) | F.contains(text, F.lit("'''")), bare(_LONG_STRINGS, _STRINGS)).otherwise(closed), dense).alias("open_share"),
+            _share(opened, dense).alias("open_share"),
             run.alias("count_run"),
             F.when(run >= LEAST_COUNT, _repeat_share(text)).otherwise(0.0).alias("repeat_share"),
-        ))
+        )
+
+    def letters(text: Column, base: Column, *literals: str) -> Column:
+        left = lambda *patterns: F.length(F.regexp_replace(F.regexp_replace(text, "|".join(patterns), ""), r"[^A-Za-z\u0080-\uffff]+", ""))
+        return F.when(base["runs"], left(*literals, _BLOBS, _NUMBERS)).otherwise(left(*literals, _NUMBERS))
+
+    def opened(text: Column, base: Column, closed: Column) -> Column:
+        # without triple quotes there is nothing more to leave out
+        return F.when(F.contains(text, F.lit('"""')) | F.contains(text, F.lit("'''")), letters(text, base, _LONG_STRINGS, _STRINGS)).otherwise(closed)
 
     def based(text: Column) -> Column:
         lengths = F.transform(F.split(text, r"\r?\n"), lambda line: F.length(F.rtrim(line)))
         base = F.struct(F.length(text).alias("chars"), F.length(F.regexp_replace(text, r"\s+", "")).alias("dense"), lengths.alias("lengths"), text.rlike(_ANY_RUN).alias("runs"))
-        return let(base, lambda b: let(_count_run(text), lambda run: made(text, b, run)))
+        return let(base, lambda b: let(_count_run(text), lambda run: let(letters(text, b, _STRINGS), lambda c: let(opened(text, b, c), lambda o: made(text, b, run, c, o)))))
 
     return let(F.coalesce(content, F.lit("")), based)
 
@@ -277,7 +287,7 @@ def with_origin(df: DataFrame, path: str = "relative_path", name: str = "name",
     dropped, repeated rows get the same verdict, an empty table stays empty.
     """
     signs = _Signs(path, name, ext, content)
-    layout = _statistics(F.col(content))
+    layout = _statistics(F.col(content), False)
     more = {"evidence": signs.evidence(layout)} if evidence else {}
     return df.withColumns({"language": signs.language, "origin": signs.origin(layout), **more})
 

@@ -138,13 +138,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files by language and origin."""
-    files = _origins(spark, sf_dir).filter("origin is not null").select("repo_id", "relative_path", "language", "origin")
+    files = _origins(spark, sf_dir).filter("language is not null").select("repo_id", "relative_path", "language", "origin")
     return one_per_key(files, ["repo_id", "relative_path"]).groupBy("language", "origin").agg(F.count("*").alias("files"))
 
 
 def p4_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files by origin and by what speaks against hand-written source: path, name, notice, layout."""
-    files = _origins(spark, sf_dir, True).filter("origin is not null").select("repo_id", "relative_path", "origin", F.array_join("evidence", "+").alias("evidence"))
+    files = _origins(spark, sf_dir, True).filter("language is not null").select("repo_id", "relative_path", "origin", F.array_join("evidence", "+").alias("evidence"))
     return one_per_key(files, ["repo_id", "relative_path"]).groupBy("origin", "evidence").agg(F.count("*").alias("files"))
 
 
