@@ -180,7 +180,7 @@ def pack_items(items: DataFrame, key: str, size: str, capacity: int) -> DataFram
         roomy = rest.filter(~small).orderBy("size", "_bin").limit(count).select("_bin")
         last = rest.filter(small).select("_bin").unionByName(roomy)
         last = broadcast_if_small(cut(last), 2 * count)
-        together, _ = merge(rest.join(last, "_bin", "left_semi").drop("_bin").coalesce(1))
+        together, _ = merge(rest.join(last, "_bin", "left_semi").drop("_bin").repartition(1))
         rest = rest.join(last, "_bin", "left_anti").drop("_bin").unionByName(together)
     bins = rest
     for part in finished:
