@@ -27,10 +27,10 @@ def having(files: DataFrame, name: str) -> DataFrame:
     return files.filter(F.col("name") == name).select("repo_id").distinct()
 
 
-def _hints(df: DataFrame, number: int, rule: Column | int, sub: Column | int, path: Column, name: Column, **more: Column) -> DataFrame:
+def _hints(df: DataFrame, number: Column | int, rule: Column | int, sub: Column | int, path: Column, name: Column, **more: Column) -> DataFrame:
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     extra = [more.get(c, F.expr(_NO_TEXT)).alias(c) for c in ("description", "manifest_path", "manifest_name")]
-    return df.select("repo_id", F.lit(number).alias("stage"), as_column(rule).cast("int").alias("rule"), as_column(sub).cast("int").alias("sub"), path.alias("path"), name.alias("name"), *extra)
+    return df.select("repo_id", as_column(number).alias("stage"), as_column(rule).cast("int").alias("rule"), as_column(sub).cast("int").alias("sub"), path.alias("path"), name.alias("name"), *extra)
 
 
 def sln_projects(files: DataFrame) -> DataFrame:
@@ -68,18 +68,22 @@ def npm_workspace_field(raw: DataFrame) -> DataFrame:
     return rows.filter("ws is not null and kind <> 'VOID' and shown not in ('false', '0', '\"\"')")
 
 
-def _workspace_hints(globs: DataFrame, files: DataFrame, found: DataFrame, number: int) -> DataFrame:
-    globs = globs.filter("glob is not null and not startswith(glob, '!')")
-    literal = globs.filter(~F.col("glob").contains("*")).select("repo_id", "pos", "glob", F.concat("glob", F.lit("/package.json")).alias("relative_path"))
+def _literal_hints(globs: DataFrame, files: DataFrame) -> DataFrame:
+    """Hints of globs without wildcards, which name the folder of a manifest; ``globs`` of all stages at once."""
+    literal = globs.filter(~F.col("glob").contains("*")).withColumn("relative_path", F.concat("glob", F.lit("/package.json")))
     manifests = primary(files).filter(F.col("name") == "package.json").select("repo_id", "relative_path", "content")
     one = literal.join(manifests, ["repo_id", "relative_path"]).withColumn("json", json_value(F.col("content")))
     name = F.coalesce(text_of(F.col("json"), "$.name"), basename(F.col("glob")))
-    first = _hints(one, number, F.col("pos"), 0, F.col("glob"), name, description=text_of(F.col("json"), "$.description"), manifest_path=F.col("relative_path"), manifest_name=F.lit("package.json"))
-    parents = globs.filter(F.col("glob").contains("*")).select("repo_id", "pos", F.get(F.split("glob", "/"), F.lit(0)).alias("parent")).filter("parent not in ('', '*')")
-    return first.unionByName(_discovered_hints(parents.join(found, ["repo_id", "parent"]), number, F.col("pos")))
+    return _hints(one, F.col("stage"), F.col("pos"), 0, F.col("glob"), name, description=text_of(F.col("json"), "$.description"), manifest_path=F.col("relative_path"), manifest_name=F.lit("package.json"))
 
 
-def _discovered_hints(df: DataFrame, number: int, rule: Column | int) -> DataFrame:
+def _wildcard_parents(globs: DataFrame) -> DataFrame:
+    """The top folders below which globs with wildcards look for components."""
+    parents = globs.filter(F.col("glob").contains("*")).select("repo_id", "stage", "pos", F.get(F.split("glob", "/"), F.lit(0)).alias("parent"))
+    return parents.filter("parent not in ('', '*')")
+
+
+def _discovered_hints(df: DataFrame, number: Column | int, rule: Column | int) -> DataFrame:
     return _hints(df, number, rule, 0, F.col("path"), F.col("name"), description=F.col("description"), manifest_path=F.col("manifest_path"), manifest_name=F.col("manifest_name"))
 
 
@@ -127,22 +131,24 @@ def component_hints(files: DataFrame, raw: DataFrame) -> DataFrame:
     What comes first is told by (stage, rule, sub).
     """
     found = discovered(files)
-    umbrella = root_texts(raw, "mix.exs").filter(F.col("text").contains("apps_path")).select("repo_id", F.lit("apps").alias("parent"))
+    staged = lambda df, number: df.withColumn("stage", F.lit(number))
+    globs = staged(pnpm_globs(files, raw), PNPM).unionByName(staged(npm_globs(raw), NPM)).filter("glob is not null and not startswith(glob, '!')")
+    umbrella = root_texts(raw, "mix.exs").filter(F.col("text").contains("apps_path")).select("repo_id", F.lit(0).alias("pos"), F.lit("apps").alias("parent"))
+    # the folders that any stage looks below meet the discovered components in one join
+    parents = _wildcard_parents(globs).unionByName(staged(umbrella, ELIXIR)).unionByName(staged(uv_members(raw), UV))
     pubspecs = primary(files).filter((F.col("name") == "pubspec.yaml") & (F.size("segments") > 1)).join(having(files, "melos.yaml"), "repo_id", "left_semi")
     pubspecs = pubspecs.withColumns({"folder": dirname(F.col("relative_path")), "json": json_value(F.col("content"))})
     convention = F.array_position(F.array(*map(F.lit, R.CONVENTION_FOLDERS)), F.col("parent"))
     stages = [
         sln_projects(files),
-        _workspace_hints(pnpm_globs(files, raw), files, found, PNPM),
+        _literal_hints(globs, files),
+        _discovered_hints(parents.join(found, ["repo_id", "parent"]), F.col("stage"), F.col("pos")),
         _go_work_hints(files, raw),
-        _workspace_hints(npm_globs(raw), files, found, NPM),
-        _discovered_hints(umbrella.join(found, ["repo_id", "parent"]), ELIXIR, 0),
         *(
             _hints(gradle_modules(raw, settings).filter("path <> ''"), number, 0, F.col("pos"), F.col("path"), basename(F.col("path")))
             for number, settings in ((GRADLE, "settings.gradle"), (GRADLE_KTS, "settings.gradle.kts"))
         ),
         _hints(maven_modules(raw).filter("path <> ''"), MAVEN, 0, F.col("pos"), F.col("path"), basename(F.col("path"))),
-        _discovered_hints(uv_members(raw).join(found, ["repo_id", "parent"]), UV, F.col("pos")),
         _hints(pubspecs, MELOS, 0, 0, F.col("folder"), F.coalesce(text_of(F.col("json"), "$.name"), basename(F.col("folder"))), description=text_of(F.col("json"), "$.description")),
         _discovered_hints(found.filter(F.col("parent").isin(*R.CONVENTION_FOLDERS)), CONVENTION, convention),
     ]
