@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arborlake.functions import basename, dirname, json_value, lines_of, readable, trim
 from arborlake.operators.components import discovered
-from arborlake.operators.rulejoin import by_extension, by_name
+from arborlake.operators.rulejoin import by_extension, by_name, let
 from arborlake.plans import rules as R
 from arborlake.plans.detectors import primary, text_of
 
@@ -62,10 +62,34 @@ def npm_globs(raw: DataFrame) -> DataFrame:
     return rows.select("repo_id", F.posexplode_outer(listed).alias("pos", "glob"))
 
 
+def _workspaces(content: Column) -> Column:
+    """The field that lists workspaces, if it is there and says anything."""
+    field = F.try_variant_get(json_value(content), "$.workspaces", "variant")
+    return let(field, lambda ws: F.when(ws.isNotNull() & (F.schema_of_variant(ws) != "VOID") & ~F.to_json(ws).isin("false", "0", '""'), ws))
+
+
 def npm_workspace_field(raw: DataFrame) -> DataFrame:
-    rows = raw.filter(F.col("relative_path") == "package.json").select("repo_id", F.try_variant_get(json_value(F.col("content")), "$.workspaces", "variant").alias("ws"))
-    rows = rows.withColumn("kind", F.schema_of_variant("ws")).withColumn("shown", F.to_json("ws"))
-    return rows.filter("ws is not null and kind <> 'VOID' and shown not in ('false', '0', '\"\"')")
+    rows = raw.filter(F.col("relative_path") == "package.json").select("repo_id", _workspaces(F.col("content")).alias("ws"))
+    return rows.filter("ws is not null").withColumn("kind", F.schema_of_variant("ws"))
+
+
+def _root_findings(raw: DataFrame) -> DataFrame:
+    """What manifests at the top say of the layout, read past ignore rules, in one pass: ``repo_id, ord, value, evidence``."""
+    has = lambda name, test: (F.col("relative_path") == name) & test(F.col("text"))
+    told = (
+        ("npm/yarn workspaces", "package.json contains workspaces field", (F.col("relative_path") == "package.json") & _workspaces(F.col("content")).isNotNull()),
+        ("Cargo workspace", "Cargo.toml contains [workspace]", has("Cargo.toml", lambda t: t.contains("[workspace]"))),
+        ("Elixir umbrella", "mix.exs contains apps_path (umbrella project)", has("mix.exs", lambda t: t.contains("apps_path"))),
+        ("SBT multi-project", "build.sbt contains multi-project definitions", has("build.sbt", lambda t: t.rlike(R.SBT_PROJECT_RE) | t.contains(".aggregate("))),
+        ("Gradle multi-project", "settings.gradle contains include directives", has("settings.gradle", lambda t: F.size(_gradle_quoted(t)) > 0)),
+        ("Gradle multi-project (Kotlin DSL)", "settings.gradle.kts contains include directives", has("settings.gradle.kts", lambda t: F.size(_gradle_quoted(t)) > 0)),
+        ("Maven multi-module", "pom.xml contains <modules>", has("pom.xml", lambda t: t.contains("<modules>") & t.rlike(R.MAVEN_MODULE_RE))),
+        ("uv workspace", "pyproject.toml contains [tool.uv.workspace]", has("pyproject.toml", lambda t: t.contains("[tool.uv.workspace]"))),
+    )
+    names = ("package.json", "Cargo.toml", "mix.exs", "build.sbt", "settings.gradle", "settings.gradle.kts", "pom.xml", "pyproject.toml")
+    rows = raw.filter(F.col("relative_path").isin(*names)).withColumn("text", readable(F.col("content")))
+    hits = (F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit((3 + i) * 10_000).cast("bigint").alias("ord"), F.lit(v).alias("value"), F.lit(e).alias("evidence"))) for i, (v, e, test) in enumerate(told))
+    return rows.select("repo_id", F.inline(F.array_compact(F.array(*hits)))).distinct()
 
 
 def _literal_hints(globs: DataFrame, files: DataFrame) -> DataFrame:
@@ -104,12 +128,14 @@ def _go_work_hints(files: DataFrame, raw: DataFrame) -> DataFrame:
     return _hints(joined, GO_WORK, F.col("pos"), 0, F.col("path"), basename(F.col("path")), manifest_path=F.when(known, F.col("relative_path")), manifest_name=F.col("manifest_name"))
 
 
+def _gradle_quoted(text: Column) -> Column:
+    lines = F.regexp_extract_all(text, F.lit(R.GRADLE_INCLUDE_RE), F.lit(1))
+    return F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(R.GRADLE_MODULE_RE), F.lit(1))))
+
+
 def gradle_modules(raw: DataFrame, settings: str) -> DataFrame:
     """``repo_id, pos, path`` of all quoted modules of include lines; an empty path for a bare ':'."""
-    rows = root_texts(raw, settings)
-    lines = F.regexp_extract_all("text", F.lit(R.GRADLE_INCLUDE_RE), F.lit(1))
-    quoted = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(R.GRADLE_MODULE_RE), F.lit(1))))
-    return rows.select("repo_id", F.posexplode(quoted).alias("pos", "module")).select("repo_id", "pos", F.replace(F.regexp_replace("module", "^:", ""), F.lit(":"), F.lit("/")).alias("path"))
+    return root_texts(raw, settings).select("repo_id", F.posexplode(_gradle_quoted(F.col("text"))).alias("pos", "module")).select("repo_id", "pos", F.replace(F.regexp_replace("module", "^:", ""), F.lit(":"), F.lit("/")).alias("path"))
 
 
 def maven_modules(raw: DataFrame) -> DataFrame:
@@ -174,18 +200,10 @@ def monorepo_findings(files: DataFrame, raw: DataFrame) -> DataFrame:
 
     markers = by_name(files, R.MONOREPO_MARKERS).select("repo_id", "rule", F.col("name").alias("key"), "value").distinct()
     solutions = by_extension(primary(files), R.MONOREPO_EXTENSIONS).groupBy("repo_id", "rule", "value").agg(F.min_by("name", "relative_path").alias("name"))
-    sbt = root_texts(raw, "build.sbt").filter(F.col("text").rlike(R.SBT_PROJECT_RE) | F.col("text").contains(".aggregate("))
     named = [
         rows(markers, 1, F.col("value"), F.concat(F.lit("found "), "key"), F.col("rule")),
         rows(solutions, 2, F.col("value"), F.concat(F.lit("found "), "name"), F.col("rule")),
-        once(npm_workspace_field(raw), 3, "npm/yarn workspaces", "package.json contains workspaces field"),
-        once(root_texts(raw, "Cargo.toml").filter(F.col("text").contains("[workspace]")), 4, "Cargo workspace", "Cargo.toml contains [workspace]"),
-        once(root_texts(raw, "mix.exs").filter(F.col("text").contains("apps_path")), 5, "Elixir umbrella", "mix.exs contains apps_path (umbrella project)"),
-        once(sbt, 6, "SBT multi-project", "build.sbt contains multi-project definitions"),
-        once(gradle_modules(raw, "settings.gradle"), 7, "Gradle multi-project", "settings.gradle contains include directives"),
-        once(gradle_modules(raw, "settings.gradle.kts"), 8, "Gradle multi-project (Kotlin DSL)", "settings.gradle.kts contains include directives"),
-        once(maven_modules(raw), 9, "Maven multi-module", "pom.xml contains <modules>"),
-        once(root_texts(raw, "pyproject.toml").filter(F.col("text").contains("[tool.uv.workspace]")), 10, "uv workspace", "pyproject.toml contains [tool.uv.workspace]"),
+        _root_findings(raw),
     ]
     union = named[0]
     for n in named[1:]:
